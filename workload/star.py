@@ -54,13 +54,13 @@ _CATEGORIES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "S
 _EMPTY_CATEGORY = 7
 
 
-def _category() -> Column:
+def category() -> Column:
     entries = [F.lit(x) for pair in _CATEGORIES.items() for x in pair]
     return F.create_map(*entries)[F.col("p_type")]
 
 
 def _categories(r) -> DataFrame:
-    named = r("part").select(_category().alias("category_id"), F.col("p_type").alias("name")).distinct()
+    named = r("part").select(category().alias("category_id"), F.col("p_type").alias("name")).distinct()
     empty = r("part").agg(F.lit(_EMPTY_CATEGORY).alias("category_id"), F.lit("EMPTY").alias("name"))
     return named.unionByName(empty).withColumn("created_at", F.lit(EPOCH).cast("timestamp_ntz"))
 
@@ -85,7 +85,7 @@ def _items(r, stock: Column | None) -> tuple[DataFrame, DataFrame]:
     )
     products = common.filter(F.col("kind") == "product").select(
         text("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
-        F.when(F.col("p_partkey") % 13 != 0, _category()).alias("category_id"), *shared,
+        F.when(F.col("p_partkey") % 13 != 0, category()).alias("category_id"), *shared,
     )
     return pets, products
 
@@ -191,10 +191,8 @@ def _cart_items(r) -> DataFrame:
 
 
 def _settings(spark: SparkSession) -> DataFrame:
-    rows = [("platform_fee_percent", "10"), ("shipping_cost", "15")]
-    return spark.createDataFrame(rows, "key string, value string").withColumn(
-        "updated_at", F.lit(EPOCH).cast("timestamp_ntz")
-    )
+    rows = spark.sql("SELECT * FROM VALUES ('platform_fee_percent', '10'), ('shipping_cost', '15') AS (key, value)")
+    return rows.withColumn("updated_at", F.lit(EPOCH).cast("timestamp_ntz"))
 
 
 class Marketplace(Mapping):
@@ -243,7 +241,7 @@ def marketplace(spark: SparkSession, sf_dir: str, stock: Column | None = None) -
 _KIND = "CASE WHEN {k} % 4 = 0 THEN 'pet' ELSE 'product' END"
 _REF = (_KIND + " AS item_type, CASE WHEN {k} % 4 = 0 THEN CAST({k} AS VARCHAR) END AS pet_id, "
         "CASE WHEN {k} % 4 <> 0 THEN CAST({k} AS VARCHAR) END AS product_id")
-_CAT = "CASE p_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CATEGORIES.items()) + " END"
+CATEGORY_SQL = "CASE p_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CATEGORIES.items()) + " END"
 _PERSON = """SELECT '{p}' || {k} AS user_id, {n} AS name, lower({n}) || '@example.com' AS email,
   'hash-' || {k} AS password, '08' || {k} AS phone, '{r}' AS role, 'avatar/' || {n} AS avatar_url,
   {a} AS is_active, {v} AS is_verified, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS city,
@@ -264,14 +262,14 @@ VIEWS = {
                        t="supplier"),
         _PERSON.format(p="A", k="n_nationkey", n="n_name", r="admin", a="n_regionkey < 4", v="true", t="nation"),
     ]),
-    "m_categories": f"""SELECT DISTINCT CAST({_CAT} AS INTEGER) AS category_id, p_type AS name,
+    "m_categories": f"""SELECT DISTINCT CAST({CATEGORY_SQL} AS INTEGER) AS category_id, p_type AS name,
   CAST(NULL AS VARCHAR) AS icon, CAST(NULL AS VARCHAR) AS description, TIMESTAMP '1995-01-01 00:00:00' AS created_at
   FROM part UNION ALL SELECT 7, 'EMPTY', NULL, NULL, TIMESTAMP '1995-01-01 00:00:00'""",
     "m_pets": f"""SELECT CAST(p_partkey AS VARCHAR) AS pet_id, p_name AS pet_name, p_type AS species,
   p_brand AS breed, p_size AS age_month, CASE WHEN p_size % 2 = 0 THEN 'Jantan' ELSE 'Betina' END AS gender, {_ITEM}
   FROM part WHERE {_KIND.format(k='p_partkey')} = 'pet'""",
     "m_products": f"""SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name,
-  CASE WHEN p_partkey % 13 <> 0 THEN CAST({_CAT} AS INTEGER) END AS category_id, {_ITEM}
+  CASE WHEN p_partkey % 13 <> 0 THEN CAST({CATEGORY_SQL} AS INTEGER) END AS category_id, {_ITEM}
   FROM part WHERE {_KIND.format(k='p_partkey')} = 'product'""",
     "m_cart": """SELECT 'K' || c_custkey AS cart_id, 'C' || c_custkey AS buyer_id,
   TIMESTAMP '1995-01-01 00:00:00' + to_hours(CAST(c_custkey AS INTEGER)) AS created_at FROM customer""",
@@ -328,4 +326,6 @@ def sql(body: str, **extra: str) -> str:
                 wanted.append(name)
 
     visit(body)
+    if not wanted:
+        return body
     return "WITH " + ",\n".join(f"{name} AS ({views[name]})" for name in wanted) + "\n" + body
