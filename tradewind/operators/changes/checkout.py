@@ -1,8 +1,6 @@
 """Checkout of many carts at once, with the result of serving them one after the other."""
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
@@ -25,13 +23,11 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     sound = ordered_blocks(served.filter("reason is null").drop("reason"), [F.col("request_ts"), F.col("request_id")])
     lines = _lines(t, sound).checkpoint(eager=True)
 
-    fixed = _fixed_reasons(sound, lines)
-    feasible = sound.join(fixed.filter("reason is not null"), "request_id", "left_anti")
-    accepted_ids = _serve(feasible, lines)
+    judged = _with_fixed_reason(sound, lines).checkpoint(eager=True)
+    accepted_ids = _serve(judged.filter("reason is null"), lines)
 
     decided = (
-        sound.join(fixed, "request_id")
-        .join(accepted_ids.withColumn("_accepted", F.lit(True)), "request_id", "left")
+        judged.join(accepted_ids.withColumn("_accepted", F.lit(True)), "request_id", "left")
         .withColumn("_accepted", F.coalesce("_accepted", F.lit(False)))
     ).checkpoint(eager=True)
     accepted = decided.filter("_accepted")
@@ -94,9 +90,8 @@ def _lines(t, sound: DataFrame) -> DataFrame:
     return named.unionByName(carted).withColumn("item_id", item_id()).join(items, ITEM_KEY, "left")
 
 
-def _fixed_reasons(sound: DataFrame, lines: DataFrame) -> DataFrame:
-    """(request_id, reason) for every request; the reasons here hold whatever the other requests do, since stock
-    never grows within a batch."""
+def _with_fixed_reason(sound: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds the reasons that hold whatever the other requests do, since stock never grows within a batch."""
     per_item = lines.groupBy("request_id", *ITEM_KEY).agg(
         F.sum("quantity").alias("wanted"), F.min("quantity").alias("smallest"), F.max("stock").alias("stock"),
         F.max(F.col("price").isNull() | (F.col("direct") & ~F.coalesce("is_active", F.lit(False)))).alias("unknown"),
@@ -107,15 +102,12 @@ def _fixed_reasons(sound: DataFrame, lines: DataFrame) -> DataFrame:
         F.max(F.col("smallest").isNull() | (F.col("smallest") < 1)).alias("odd"),
         F.count(F.lit(1)).alias("n"),
     )
-    return sound.select("request_id").join(per_request, "request_id", "left").select(
-        "request_id",
-        first_reason(
-            (F.col("n").isNull(), "empty_cart"),
-            (F.col("unknown"), "not_found"),
-            (F.col("short"), "out_of_stock"),
-            (F.col("odd"), "constraint"),
-        ).alias("reason"),
-    )
+    return sound.join(per_request, "request_id", "left").withColumn("reason", first_reason(
+        (F.col("n").isNull(), "empty_cart"),
+        (F.col("unknown"), "not_found"),
+        (F.col("short"), "out_of_stock"),
+        (F.col("odd"), "constraint"),
+    )).drop("unknown", "short", "odd", "n")
 
 
 def _demands(feasible: DataFrame, lines: DataFrame) -> DataFrame:
@@ -139,54 +131,58 @@ def _demands(feasible: DataFrame, lines: DataFrame) -> DataFrame:
 def _serve(feasible: DataFrame, lines: DataFrame) -> DataFrame:
     """request_ids that a one-by-one service accepts.
 
-    Only resources wanted beyond their capacity matter. In each round, a request is accepted when every one of
-    its demands fits even if all earlier undecided requests were accepted, and refused when some demand exceeds
-    what is left. The earliest undecided request is always decided, so the rounds end. A later request is only
-    accepted when it leaves room for all earlier undecided ones, so what is left per resource is one number.
+    Only resources wanted beyond their capacity matter. In each round, a request is taken when every one of its
+    demands fits even if all earlier undecided requests were taken, and dropped when some demand exceeds what
+    is left. The earliest undecided request is always decided, so the rounds end. A later request is only taken
+    when it leaves room for all earlier undecided ones, so what is left per resource is one number.
     """
-    demands = _demands(feasible, lines).checkpoint(eager=True)
+    demands = _demands(feasible, lines)
     contended = (
-        demands.groupBy("resource").agg(F.sum("need").alias("wanted"), F.max("capacity").alias("left"))
-        .filter(F.col("wanted") > F.col("left")).select("resource", "left")
-    ).checkpoint(eager=True)
-    still_open = (
-        demands.join(contended.select("resource"), "resource", "left_semi").drop("capacity").checkpoint(eager=True)
+        demands.groupBy("resource").agg(F.sum("need").alias("wanted"), F.max("capacity").alias("capacity"))
+        .filter(F.col("wanted") > F.col("capacity")).select("resource")
     )
-    accepted = [feasible.select("request_id").join(still_open.select("request_id"), "request_id", "left_anti")]
-    limits = contended
-    while not still_open.isEmpty():
-        judged = _round(still_open, limits).checkpoint(eager=True)
-        taken = judged.filter("take")
-        accepted.append(taken.select("request_id").distinct())
-        used = taken.groupBy("resource").agg(F.sum("need").alias("used"))
-        limits = limits.join(used, "resource", "left").select(
-            "resource", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")
-        ).checkpoint(eager=True)
-        still_open = judged.filter(~F.col("take") & ~F.col("refuse")).select(*still_open.columns)
-    return reduce(DataFrame.unionByName, accepted)
-
-
-def _round(still_open: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds take and refuse of the request to every open demand.
-
-    Demands of a resource are summed per block of the batch order first and then inside a block, and limits are
-    joined to those block sums, so a resource that most requests want is spread over all blocks.
+    state = demands.join(contended, "resource", "left_semi").selectExpr("*", "false AS taken").checkpoint(eager=True)
+    unhindered = feasible.select("request_id").join(state.select("request_id"), "request_id", "left_anti")
+    while not state.filter("not taken").isEmpty():
+        state = _round(state).checkpoint(eager=True)
+    return unhindered.unionByName(state.select("request_id").distinct())
+
+
+def _round(state: DataFrame) -> DataFrame:
+    """The state after one round: dropped requests are gone, decided ones are marked as taken.
+
+    Demands of a resource are summed per block of the batch order first and then inside a block, so a resource
+    that most requests want is spread over all blocks.
     """
-    earlier_blocks = Window.partitionBy("resource").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        still_open.groupBy("resource", "block").agg(F.sum("need").alias("in_block"))
-        .select("resource", "block", F.coalesce(F.sum("in_block").over(earlier_blocks), F.lit(0)).alias("block_start"))
-        .join(limits, "resource")
-    )
-    earlier_rows = (
-        Window.partitionBy("resource", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return state.sparkSession.sql(
+        """
+        WITH sums AS (
+          SELECT resource, block, max(capacity) AS capacity,
+                 coalesce(sum(need) FILTER (WHERE NOT taken), 0) AS undecided,
+                 coalesce(sum(need) FILTER (WHERE taken), 0) AS used
+          FROM {state} GROUP BY resource, block
+        ), blocks AS (
+          SELECT resource, block,
+                 coalesce(sum(undecided) OVER (PARTITION BY resource ORDER BY block
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start,
+                 capacity - sum(used) OVER (PARTITION BY resource) AS room
+          FROM sums
+        ), measured AS (
+          SELECT request_id, soft, need, room,
+                 block_start + coalesce(sum(need) OVER (PARTITION BY resource, block ORDER BY seq
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM {state} JOIN blocks USING (resource, block) WHERE NOT taken
+        ), verdicts AS (
+          SELECT request_id, min(CASE WHEN soft THEN before = 0 ELSE before + need <= room END) AS fits
+          FROM measured GROUP BY request_id HAVING NOT max(NOT soft AND need > room)
+        )
+        SELECT request_id, seq, block, resource, need, capacity, soft, taken FROM {state} WHERE taken
+        UNION ALL
+        SELECT request_id, seq, block, resource, need, capacity, soft, fits
+        FROM {state} JOIN verdicts USING (request_id) WHERE NOT taken
+        """,
+        state=state,
     )
-    before = F.col("block_start") + F.coalesce(F.sum("need").over(earlier_rows), F.lit(0))
-    measured = still_open.join(blocks, ["resource", "block"]).withColumn("before", before)
-    fits = F.when(F.col("soft"), F.col("before") == 0).otherwise(F.col("before") + F.col("need") <= F.col("left"))
-    hopeless = ~F.col("soft") & (F.col("need") > F.col("left"))
-    verdicts = measured.groupBy("request_id").agg(F.min(fits).alias("take"), F.max(hopeless).alias("refuse"))
-    return still_open.join(verdicts, "request_id")
 
 
 def _amount() -> Column:
