@@ -78,7 +78,7 @@ def test_large_orders_are_cut_into_parts(spark):
 
 
 LAZY = sorted(set(QUERIES) - {"checkout", "load_marketplace", "write_snapshot", "load_requests", "payments_stream",
-                              "create_categories", "create_categories_rejected"})
+                              "create_categories", "create_categories_rejected", "propagate_delete", "propagate_delete_orders"})
 
 
 @pytest.mark.parametrize("name", LAZY)

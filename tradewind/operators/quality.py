@@ -2,87 +2,101 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
 from ..functions.money import TOTAL, platform_fee
+from ..session import checkpoint_dir
 from .people import setting
 
 
-def row_rules(table: str) -> list[tuple[str, str, Column]]:
+def row_rules(table: str) -> list[tuple[str, str, str]]:
     """(kind, column, condition under which a row breaks the rule) of one table."""
     rules = []
     for field in schema.TABLES[table]:
-        column = F.col(field.name)
+        name = field.name
         if field.required:
-            rules.append(("not_null", field.name, column.isNull()))
-        if field.minimum is not None or field.maximum is not None:
-            low = F.lit(False) if field.minimum is None else column < field.minimum
-            high = F.lit(False) if field.maximum is None else column > field.maximum
-            rules.append(("check", field.name, low | high))
+            rules.append(("not_null", name, f"{name} IS NULL"))
+        limits = [f"{name} < {field.minimum}"] if field.minimum is not None else []
+        limits += [f"{name} > {field.maximum}"] if field.maximum is not None else []
+        if limits:
+            rules.append(("check", name, " OR ".join(limits)))
         if field.allowed is not None:
-            rules.append(("enum", field.name, ~column.isin(field.allowed)))
+            rules.append(("enum", name, f"{name} NOT IN ({', '.join(map(repr, field.allowed))})"))
         if field.length is not None:
-            rules.append(("length", field.name, F.char_length(column) > field.length))
-    pet, product = F.col("item_type") == "pet", F.col("item_type") == "product"
-    has_pet, has_product = F.col("pet_id").isNotNull(), F.col("product_id").isNotNull()
+            rules.append(("length", name, f"char_length({name}) > {field.length}"))
     if table == "cart_items":
-        fits = (pet & has_pet & ~has_product) | (product & has_product & ~has_pet)
-        rules.append(("check", "item_ref", ~fits))
+        rules.append(("check", "item_ref", "NOT ((item_type = 'pet' AND pet_id IS NOT NULL AND product_id IS NULL)"
+                                           " OR (item_type = 'product' AND product_id IS NOT NULL AND pet_id IS NULL))"))
     if table == "reviews":
-        rules.append(("check", "item_ref", ~((pet & has_pet) | (product & has_product))))
+        rules.append(("check", "item_ref", "NOT ((item_type = 'pet' AND pet_id IS NOT NULL)"
+                                           " OR (item_type = 'product' AND product_id IS NOT NULL))"))
     return rules
 
 
 def _audit_rows(table: str, df: DataFrame) -> DataFrame:
     """All row rules of a table in one pass over it, turned into one row per rule."""
     rules = [r for r in row_rules(table) if r[1] in df.columns or r[1] == "item_ref"]
-    counts = df.agg(*[F.count(F.when(bad, F.lit(1))).alias(f"r{i}") for i, (_, _, bad) in enumerate(rules)])
-    entries = [
-        F.struct(F.lit(table).alias("table_name"), F.lit(kind).alias("rule"), F.lit(column).alias("column_name"),
-                 F.col(f"r{i}").alias("violations"))
+    counts = df.agg(F.expr("array(" + ", ".join(f"count_if({bad})" for _, _, bad in rules) + ")").alias("counts"))
+    entries = ", ".join(
+        f"struct('{table}' AS table_name, '{kind}' AS rule, '{column}' AS column_name, counts[{i}] AS violations)"
         for i, (kind, column, _) in enumerate(rules)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+    )
+    return counts.selectExpr(f"inline(array({entries}))")
 
 
-def _audit_key(table: str, df: DataFrame, rule: str, column: str) -> DataFrame:
-    """Number of values that occur more than once. Counting combines map-side."""
+def _audit_keys(t) -> DataFrame:
+    """Per key or unique column, the number of values that occur more than once.
+
+    All key columns go through one grouping, which combines map-side, instead of one shuffle each.
+    """
+    keys = [(table, "primary_key", column) for table, column in schema.PRIMARY_KEY.items()]
+    keys += [(table, "unique", column) for table, column in schema.UNIQUE]
+    values = [
+        t[table].filter(f"{column} IS NOT NULL").selectExpr(
+            f"'{table}' AS table_name", f"'{rule}' AS rule", f"'{column}' AS column_name", f"string({column}) AS value")
+        for table, rule, column in keys
+    ]
     repeated = (
-        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    )
-    return repeated.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), "violations"
+        reduce(DataFrame.unionAll, values).groupBy("table_name", "rule", "column_name", "value").count()
+        .selectExpr("table_name", "rule", "column_name", "bigint(count > 1) AS bad")
     )
+    return _with_zeros(repeated, ["table_name", "rule", "column_name"], keys, "violations")
+
+
+def _with_zeros(found: DataFrame, names: list[str], expected: list[tuple], result: str) -> DataFrame:
+    """Sum of column bad per name, with 0 for expected names that have no rows."""
+    rows = ", ".join("(" + ", ".join(map(repr, row)) + ", 0L)" for row in expected)
+    zeros = found.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS ({', '.join([*names, 'bad'])})")
+    return found.unionByName(zeros).groupBy(*names).agg(F.sum("bad").alias(result))
 
 
 def audit_constraints(t) -> DataFrame:
     """One row per declared rule with its number of violations."""
-    parts = []
-    for table, df in t.items():
-        parts.append(_audit_rows(table, df))
-        parts.append(_audit_key(table, df, "primary_key", schema.PRIMARY_KEY[table]))
-        parts += [_audit_key(table, df, "unique", column) for name, column in schema.UNIQUE if name == table]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*(_audit_rows(table, df) for table, df in t.items()), _audit_keys(t)])
 
 
 def audit_foreign_keys(t) -> DataFrame:
     """One row per reference with the number of child rows whose parent is missing; NULL references are fine.
 
-    Children are first counted per referenced key, so the anti join sees each key once.
+    Children are first counted per referenced key, so that a key many rows refer to is one row in the anti join;
+    all references share one grouping and one join.
     """
-    parts = []
-    for ref in schema.REFERENCES:
-        children = (
-            t[ref.table].filter(F.col(ref.column).isNotNull())
-            .groupBy(F.col(ref.column).alias("parent_key")).agg(F.count(F.lit(1)).alias("n"))
-        )
-        parents = t[ref.parent].select(F.col(schema.PRIMARY_KEY[ref.parent]).alias("parent_key"))
-        orphans = children.join(parents, "parent_key", "left_anti")
-        parts.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphans")).select(
-            F.lit(ref.table).alias("table_name"), F.lit(ref.column).alias("column_name"),
-            F.lit(ref.parent).alias("parent_table"), "orphans"))
-    return reduce(DataFrame.unionByName, parts)
+    names = ["table_name", "column_name", "parent_table"]
+    children = [
+        t[ref.table].filter(f"{ref.column} IS NOT NULL").selectExpr(
+            f"'{ref.table}' AS table_name", f"'{ref.column}' AS column_name", f"'{ref.parent}' AS parent_table",
+            f"string({ref.column}) AS value")
+        for ref in schema.REFERENCES
+    ]
+    parents = [
+        t[table].selectExpr(f"'{table}' AS parent_table", f"string({schema.PRIMARY_KEY[table]}) AS value")
+        for table in dict.fromkeys(ref.parent for ref in schema.REFERENCES)
+    ]
+    counted = reduce(DataFrame.unionAll, children).groupBy(*names, "value").agg(F.count(F.lit(1)).alias("bad"))
+    orphans = counted.join(reduce(DataFrame.unionAll, parents), ["parent_table", "value"], "left_anti")
+    expected = [(ref.table, ref.column, ref.parent) for ref in schema.REFERENCES]
+    return _with_zeros(orphans.select(*names, "bad"), names, expected, "orphans")
 
 
 def reconcile_orders(t) -> DataFrame:
@@ -114,52 +128,51 @@ def propagate_delete(t, parent: str, keys: DataFrame) -> DataFrame:
     'blocked' and nothing below it is touched. Otherwise the row itself and its cascading children, at any
     depth, are 'delete', and references to be cleared are 'set_null' with their column. A child reached on two
     ways is reported once, as deleted when either way deletes it.
+
+    Lists of deleted parents are used once per child table, so each is checkpointed instead of recomputed.
     """
-    key_type = "string"
-    wanted = keys.select(F.col(keys.columns[0]).alias("row_key")).distinct()
-    restricting = [r for r in schema.REFERENCES if r.parent == parent and r.on_delete == "restrict"]
-    blocked = None
-    for ref in restricting:
-        holders = t[ref.table].select(F.col(ref.column).alias("row_key")).distinct()
-        blocked = holders if blocked is None else blocked.unionByName(holders)
+    checkpoint_dir(keys.sparkSession)
     existing = t[parent].select(F.col(schema.PRIMARY_KEY[parent]).alias("row_key"))
-    wanted = wanted.join(existing, "row_key", "left_semi")
+    doomed = existing.join(keys.toDF("row_key").distinct(), "row_key", "left_semi")
+    holders = [
+        t[ref.table].select(F.col(ref.column).alias("row_key")).join(doomed, "row_key", "left_semi").distinct()
+        for ref in schema.REFERENCES if ref.parent == parent and ref.on_delete == "restrict"
+    ]
     parts = []
-    doomed = wanted
-    if blocked is not None:
-        blocked = wanted.join(blocked.distinct(), "row_key", "left_semi")
-        doomed = wanted.join(blocked, "row_key", "left_anti")
-        parts.append(_effect(parent, blocked, "blocked", None, key_type))
-
-    deleted = {parent: doomed}
-    cleared = []
-    frontier = [parent]
-    while frontier:
-        current = frontier.pop(0)
-        for ref in schema.REFERENCES:
-            if ref.parent != current or ref.on_delete == "restrict":
-                continue
+    if holders:
+        blocked = reduce(DataFrame.unionByName, holders).distinct().checkpoint()
+        doomed = doomed.join(blocked, "row_key", "left_anti")
+        parts.append(_effect(parent, blocked, "blocked"))
+
+    deleted, cleared, waiting = {parent: doomed}, [], [parent]
+    while waiting:
+        current = waiting.pop(0)
+        below = [ref for ref in schema.REFERENCES if ref.parent == current and ref.on_delete != "restrict"]
+        if below:
+            deleted[current] = deleted[current].checkpoint()
+        for ref in below:
             gone = deleted[current].select(F.col("row_key").alias(ref.column))
-            key = schema.PRIMARY_KEY[ref.table]
-            hit = t[ref.table].join(gone, ref.column, "left_semi").select(F.col(key).alias("row_key"))
+            hit = (
+                t[ref.table].join(gone, ref.column, "left_semi")
+                .select(F.col(schema.PRIMARY_KEY[ref.table]).alias("row_key"))
+            )
             if ref.on_delete == "set_null":
                 cleared.append((ref, hit))
             elif ref.table in deleted:
                 deleted[ref.table] = deleted[ref.table].unionByName(hit).distinct()
             else:
                 deleted[ref.table] = hit
-                frontier.append(ref.table)
-    for table, rows in deleted.items():
-        parts.append(_effect(table, rows, "delete", None, key_type))
+                waiting.append(ref.table)
+    parts += [_effect(table, rows, "delete") for table, rows in deleted.items()]
     for ref, rows in cleared:
         if ref.table in deleted:
             rows = rows.join(deleted[ref.table], "row_key", "left_anti")
-        parts.append(_effect(ref.table, rows, "set_null", ref.column, key_type))
+        parts.append(_effect(ref.table, rows, "set_null", ref.column))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _effect(table: str, rows: DataFrame, action: str, column: str | None, key_type: str) -> DataFrame:
+def _effect(table: str, rows: DataFrame, action: str, column: str | None = None) -> DataFrame:
     return rows.select(
-        F.lit(table).alias("table_name"), F.col("row_key").cast(key_type).alias("row_key"),
+        F.lit(table).alias("table_name"), F.col("row_key").cast("string").alias("row_key"),
         F.lit(action).alias("action"), F.lit(column).cast("string").alias("column_name"),
     )

@@ -21,8 +21,12 @@ def number_parts(lines: DataFrame, keys: list[str], line_id: str, max_lines: int
 
 
 def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal") -> DataFrame:
-    """One row per (keys, items_part): sorted items array, its length and its amount."""
-    return lines.groupBy(*keys, "items_part").agg(
+    """One row per (keys, items_part): sorted items array, its length and its amount.
+
+    Collecting does not shrink anything before the shuffle, so the plain lines are shuffled and collected once
+    behind it, instead of collecting in every map task and merging the pieces.
+    """
+    return lines.repartition(*keys, "items_part").groupBy(*keys, "items_part").agg(
         F.sort_array(F.collect_list(F.struct(*element))).alias("items"),
         F.count(F.lit(1)).alias("item_count"),
         F.sum(amount).cast("decimal(22,2)").alias("items_total"),

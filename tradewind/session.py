@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # recording the call site of every column expression costs more than building small plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)

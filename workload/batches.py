@@ -697,7 +697,7 @@ def create_categories_rejected(spark, sf_dir) -> DataFrame:
 # --- checkout of every cart
 
 def _checkout(spark, sf_dir):
-    t = marketplace(spark, sf_dir, stock=F.col("p_size"))
+    t = marketplace(spark, sf_dir, stock="p_size")
     customer = F.concat(F.lit("C"), text("c_custkey"))
     requests = t.raw("customer").select(
         F.concat(F.lit("O"), F.lpad(text("c_custkey"), 12, "0")).alias("request_id"),

@@ -6,13 +6,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradewind import schema
-from tradewind.functions import round_half_up
 from tradewind.sources.evolve import evolve_schema
 
 AS_OF = "2001-08-02 00:00:00"
 EPOCH = "1995-01-01 00:00:00"
 
 
+_EPOCH = f"TIMESTAMP_NTZ '{EPOCH}'"
+
+
 def text(column: str) -> Column:
     return F.col(column).cast("string")
 
@@ -21,184 +23,149 @@ def money(column: str) -> Column:
     return F.col(column).cast("decimal(12,2)")
 
 
-def _after_epoch(unit: str, column: str) -> Column:
-    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
-        **{unit: F.col(column).cast("int")}
+def _people(df: DataFrame, key: str, name: str, letter: str, role: str, active: str, verified: str) -> DataFrame:
+    return df.selectExpr(
+        f"'{letter}' || {key} AS user_id", f"{name} AS name", f"lower({name}) || '@example.com' AS email",
+        f"'hash-' || {key} AS password", f"'08' || {key} AS phone", f"'{role}' AS role", f"'avatar/' || {name} AS avatar_url",
+        f"{active} AS is_active", f"{verified} AS is_verified",
+        f"{_EPOCH} + make_dt_interval(0, int({key})) AS created_at", f"{_EPOCH} + make_dt_interval(0, int({key})) AS updated_at",
     )
 
 
 def _users(r) -> DataFrame:
-    def people(table, key, name, prefix, role, active, verified):
-        return table.select(
-            F.concat(F.lit(prefix), text(key)).alias("user_id"), F.col(name).alias("name"),
-            F.concat(F.lower(name), F.lit("@example.com")).alias("email"),
-            F.concat(F.lit("hash-"), text(key)).alias("password"),
-            F.concat(F.lit("08"), text(key)).alias("phone"), F.lit(role).alias("role"),
-            F.concat(F.lit("avatar/"), F.col(name)).alias("avatar_url"),
-            active.alias("is_active"), verified.alias("is_verified"),
-            _after_epoch("hours", key).alias("created_at"),
-        )
-
-    yes = F.lit(True)
-    return (
-        people(r("customer"), "c_custkey", "c_name", "C", "buyer", F.col("c_acctbal") >= 0, yes)
-        .unionByName(people(r("supplier"), "s_suppkey", "s_name", "S", "seller", F.col("s_acctbal") >= 0,
-                            F.col("s_acctbal") > 1000))
-        .unionByName(people(r("nation"), "n_nationkey", "n_name", "A", "admin", F.col("n_regionkey") < 4, yes))
-        .withColumn("updated_at", F.col("created_at"))
-    )
+    buyers = _people(r("customer"), "c_custkey", "c_name", "C", "buyer", "c_acctbal >= 0", "true")
+    sellers = _people(r("supplier"), "s_suppkey", "s_name", "S", "seller", "s_acctbal >= 0", "s_acctbal > 1000")
+    admins = _people(r("nation"), "n_nationkey", "n_name", "A", "admin", "n_regionkey < 4", "true")
+    return buyers.unionByName(sellers).unionByName(admins)
 
 
-# Category numbers of the part types.
+# Category numbers of the part types; the last one has no products.
 _CATEGORIES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
 _EMPTY_CATEGORY = 7
+CATEGORY_SQL = "CASE p_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CATEGORIES.items()) + " END"
 
 
 def category() -> Column:
-    entries = [F.lit(x) for pair in _CATEGORIES.items() for x in pair]
-    return F.create_map(*entries)[F.col("p_type")]
+    return F.expr(CATEGORY_SQL)
 
 
 def _categories(r) -> DataFrame:
-    named = r("part").select(category().alias("category_id"), F.col("p_type").alias("name")).distinct()
-    empty = r("part").agg(F.lit(_EMPTY_CATEGORY).alias("category_id"), F.lit("EMPTY").alias("name"))
-    return named.unionByName(empty).withColumn("created_at", F.lit(EPOCH).cast("timestamp_ntz"))
+    named = r("part").selectExpr(f"{CATEGORY_SQL} AS category_id", "p_type AS name").distinct()
+    empty = r("part").groupBy().count().selectExpr(f"{_EMPTY_CATEGORY} AS category_id", "'EMPTY' AS name")
+    return named.unionByName(empty).selectExpr("*", f"{_EPOCH} AS created_at")
 
 
-def _items(r, stock: Column | None) -> tuple[DataFrame, DataFrame]:
-    """Every part is either a pet or a product."""
-    sellers = r("supplier").agg(F.count(F.lit(1))).scalar()
-    common = r("part").withColumns({
-        "seller_id": F.concat(F.lit("S"), (F.col("p_partkey") % sellers).cast("string")),
-        "price": money("p_retailprice"),
-        "stock": F.col("p_size") % 7 if stock is None else stock,
-        "image_url": F.concat(F.lit("img/"), text("p_partkey")),
-        "is_active": F.col("p_partkey") % 11 != 0,
-        "created_at": _after_epoch("mins", "p_partkey"),
-        "kind": item_type("p_partkey"),
-    }).withColumn("updated_at", F.col("created_at"))
-    shared = ["seller_id", "price", "stock", "image_url", "is_active", "created_at", "updated_at"]
-    pets = common.filter(F.col("kind") == "pet").select(
-        text("p_partkey").alias("pet_id"), F.col("p_name").alias("pet_name"), F.col("p_type").alias("species"),
-        F.col("p_brand").alias("breed"), F.col("p_size").alias("age_month"),
-        F.when(F.col("p_size") % 2 == 0, "Jantan").otherwise("Betina").alias("gender"), *shared,
-    )
-    products = common.filter(F.col("kind") == "product").select(
-        text("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
-        F.when(F.col("p_partkey") % 13 != 0, category()).alias("category_id"), *shared,
-    )
-    return pets, products
+def _kind(key: str) -> str:
+    return f"CASE WHEN {key} % 4 = 0 THEN 'pet' ELSE 'product' END"
 
 
-def item_type(key: str) -> Column:
-    return F.when(F.col(key) % 4 == 0, "pet").otherwise("product")
+def item_columns(key: str) -> list[Column]:
+    return [F.expr(e) for e in _reference(key)]
 
 
-def item_columns(key: str) -> list[Column]:
-    return [
-        item_type(key).alias("item_type"),
-        F.when(F.col(key) % 4 == 0, text(key)).alias("pet_id"),
-        F.when(F.col(key) % 4 != 0, text(key)).alias("product_id"),
-    ]
+def _reference(key: str) -> list[str]:
+    return [f"{_kind(key)} AS item_type", f"CASE WHEN {key} % 4 = 0 THEN string({key}) END AS pet_id",
+            f"CASE WHEN {key} % 4 <> 0 THEN string({key}) END AS product_id"]
 
 
-def _orders(r) -> DataFrame:
-    even = F.col("o_orderkey") % 2 == 0
-    state = F.col("o_orderstatus")
-    status = (
-        F.when(state == "F", "delivered").when((state == "O") & even, "pending").when(state == "O", "processing")
-        .when(even, "shipped").otherwise("cancelled")
+def _items(r, kind: str, stock: str) -> DataFrame:
+    """Every part is either a pet or a product."""
+    own = {
+        "pet": ["string(p_partkey) AS pet_id", "p_name AS pet_name", "p_type AS species", "p_brand AS breed",
+                "p_size AS age_month", "CASE WHEN p_size % 2 = 0 THEN 'Jantan' ELSE 'Betina' END AS gender"],
+        "product": ["string(p_partkey) AS product_id", "p_name AS product_name",
+                    f"CASE WHEN p_partkey % 13 <> 0 THEN {CATEGORY_SQL} END AS category_id"],
+    }
+    sellers = r("supplier").groupBy().count().scalar()
+    created = f"{_EPOCH} + make_dt_interval(0, 0, int(p_partkey))"
+    return r("part").filter(f"{_kind('p_partkey')} = '{kind}'").withColumn("_sellers", sellers).selectExpr(
+        *own[kind], "'S' || (p_partkey % _sellers) AS seller_id", "CAST(p_retailprice AS DECIMAL(12,2)) AS price",
+        f"{stock} AS stock", "'img/' || p_partkey AS image_url", "p_partkey % 11 <> 0 AS is_active",
+        f"{created} AS created_at", f"{created} AS updated_at",
     )
-    goods = money("o_totalprice") - F.lit(15)
-    fee = round_half_up(goods * F.lit(0.1).cast("decimal(2,1)"))
-    return r("orders").select(
-        text("o_orderkey").alias("order_id"), F.concat(F.lit("C"), text("o_custkey")).alias("buyer_id"),
-        status.alias("status"), money("o_totalprice").alias("total_price"),
-        F.lit(15).cast("decimal(12,2)").alias("shipping_cost"), fee.cast("decimal(12,2)").alias("platform_fee"),
-        (goods - fee).cast("decimal(12,2)").alias("seller_payout"),
-        F.concat(F.lit("street "), text("o_custkey")).alias("shipping_address"),
-        F.col("o_orderpriority").alias("notes"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+
+
+def _orders(r) -> DataFrame:
+    goods = "(CAST(o_totalprice AS DECIMAL(12,2)) - 15)"
+    fee = f"floor({goods} * 0.1 + 0.5)"
+    return r("orders").selectExpr(
+        "string(o_orderkey) AS order_id", "'C' || o_custkey AS buyer_id",
+        """CASE WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'pending'
+           WHEN o_orderstatus = 'O' THEN 'processing' WHEN o_orderkey % 2 = 0 THEN 'shipped' ELSE 'cancelled' END AS status""",
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS total_price", "CAST(15 AS DECIMAL(12,2)) AS shipping_cost",
+        f"CAST({fee} AS DECIMAL(12,2)) AS platform_fee", f"CAST({goods} - {fee} AS DECIMAL(12,2)) AS seller_payout",
+        "'street ' || o_custkey AS shipping_address", "o_orderpriority AS notes",
+        "o_orderdate AS created_at", "o_orderdate AS updated_at",
     )
 
 
+LINE_KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+
+
 def _order_items(r) -> DataFrame:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    pieces = F.col("l_quantity").cast("bigint")
-    unit = F.floor((2 * cents + pieces) / (2 * F.col("l_quantity"))).cast("bigint")
-    key = F.concat_ws("-", *[text(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
-    return r("lineitem").select(
-        key.alias("order_item_id"), text("l_orderkey").alias("order_id"), *item_columns("l_partkey"),
-        F.concat(F.lit("S"), text("l_suppkey")).alias("seller_id"), F.col("l_quantity").cast("int").alias("quantity"),
-        (unit * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(12,2)").alias("unit_price"),
-        money("l_extendedprice").alias("subtotal"),
+    unit = "floor((2 * bigint(round(l_extendedprice * 100)) + bigint(l_quantity)) / (2 * l_quantity))"
+    return r("lineitem").selectExpr(
+        f"{LINE_KEY} AS order_item_id", "string(l_orderkey) AS order_id", *_reference("l_partkey"),
+        "'S' || l_suppkey AS seller_id", "int(l_quantity) AS quantity",
+        f"CAST(bigint({unit}) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2)) AS unit_price",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS subtotal",
     )
 
 
 def _payments(r) -> DataFrame:
     """One per order, but not yet for open orders of low priority."""
-    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
-    invoiced = (state != "O") | (F.col("o_orderpriority") != "5-LOW")
-    paid = (state == "F") | ((state == "P") & (key % 2 == 0))
-    status = F.when(paid, "paid").when(state == "O", "unpaid").otherwise("refunded")
-    method = F.when(key % 3 == 0, "transfer").when(key % 3 == 1, "ewallet").otherwise("cod")
-    return r("orders").filter(invoiced).select(
-        F.concat(F.lit("P"), text("o_orderkey")).alias("payment_id"), text("o_orderkey").alias("order_id"),
-        money("o_totalprice").alias("amount"), method.alias("method"), status.alias("status"),
-        F.when(paid, F.concat(F.lit("REF-"), text("o_orderkey"))).alias("reference_no"),
-        F.when(paid, F.col("o_orderdate")).alias("paid_at"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"),
+    paid = "(o_orderstatus = 'F' OR (o_orderstatus = 'P' AND o_orderkey % 2 = 0))"
+    return r("orders").filter("o_orderstatus <> 'O' OR o_orderpriority <> '5-LOW'").selectExpr(
+        "'P' || o_orderkey AS payment_id", "string(o_orderkey) AS order_id", "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'transfer' WHEN 1 THEN 'ewallet' ELSE 'cod' END AS method",
+        f"CASE WHEN {paid} THEN 'paid' WHEN o_orderstatus = 'O' THEN 'unpaid' ELSE 'refunded' END AS status",
+        f"CASE WHEN {paid} THEN 'REF-' || o_orderkey END AS reference_no", f"CASE WHEN {paid} THEN o_orderdate END AS paid_at",
+        "o_orderdate AS created_at", "o_orderdate AS updated_at",
     )
 
 
 def _reviews(r) -> DataFrame:
     """One per delivered order and accepted item (return flag A)."""
-    delivered = r("orders").filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+    delivered = r("orders").filter("o_orderstatus = 'F'").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
     accepted = (
-        r("lineitem").filter(F.col("l_returnflag") == "A").groupBy("l_orderkey", "l_partkey")
+        r("lineitem").filter("l_returnflag = 'A'").groupBy("l_orderkey", "l_partkey")
         .agg(F.min("l_shipdate").alias("created_at"))
     )
-    rating = (1 + (F.col("l_orderkey") + F.col("l_partkey")) % 5).cast("smallint")
-    return accepted.join(delivered, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", text("l_orderkey"), text("l_partkey")).alias("review_id"),
-        F.concat(F.lit("C"), text("o_custkey")).alias("reviewer_id"), text("l_orderkey").alias("order_id"),
-        *item_columns("l_partkey"), rating.alias("rating"),
-        F.concat(F.lit("rated "), rating.cast("string")).alias("comment"), "created_at",
+    rating = "1 + (l_orderkey + l_partkey) % 5"
+    return accepted.join(delivered, "l_orderkey").selectExpr(
+        "concat_ws('-', l_orderkey, l_partkey) AS review_id", "'C' || o_custkey AS reviewer_id",
+        "string(l_orderkey) AS order_id", *_reference("l_partkey"), f"smallint({rating}) AS rating",
+        f"'rated ' || ({rating}) AS comment", "created_at",
     )
 
 
 def event_key() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.expr("int(get_json_object(props, '$.k'))")
 
 
 def _cart(r) -> DataFrame:
-    return r("customer").select(
-        F.concat(F.lit("K"), text("c_custkey")).alias("cart_id"), F.concat(F.lit("C"), text("c_custkey")).alias("buyer_id"),
-        _after_epoch("hours", "c_custkey").alias("created_at"),
-    ).withColumn("updated_at", F.col("created_at"))
+    created = f"{_EPOCH} + make_dt_interval(0, int(c_custkey))"
+    return r("customer").selectExpr("'K' || c_custkey AS cart_id", "'C' || c_custkey AS buyer_id",
+                                    f"{created} AS created_at", f"{created} AS updated_at")
 
 
 def _cart_items(r) -> DataFrame:
-    clicks = r("events").filter(F.col("event_type") == "click").withColumn("k", event_key())
+    clicks = r("events").filter("event_type = 'click'").withColumn("k", event_key())
     pieces = clicks.groupBy("user_id", "k").agg(
-        F.sum((1 + F.col("event_id") % 3).cast("int")).cast("int").alias("quantity"), F.min("ts").alias("created_at")
-    )
-    cart = F.concat(F.lit("K"), text("user_id"))
-    return pieces.select(
-        F.concat_ws("-", cart, text("k")).alias("item_id"), cart.alias("cart_id"), *item_columns("k"),
-        "quantity", "created_at",
-    )
+        F.expr("int(sum(1 + event_id % 3)) AS quantity"), F.min("ts").alias("created_at"))
+    return pieces.selectExpr("'K' || user_id || '-' || k AS item_id", "'K' || user_id AS cart_id", *_reference("k"),
+                             "quantity", "created_at")
 
 
 def _settings(spark: SparkSession) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES ('platform_fee_percent', '10'), ('shipping_cost', '15') AS (key, value)")
-    return rows.withColumn("updated_at", F.lit(EPOCH).cast("timestamp_ntz"))
+    return spark.sql(f"SELECT key, value, {_EPOCH} AS updated_at FROM VALUES ('platform_fee_percent', '10'), "
+                     "('shipping_cost', '15') AS (key, value)")
 
 
 class Marketplace(Mapping):
     """The marketplace tables, each built when it is first asked for, so that a query opens only the files it reads."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, stock: Column | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, stock: str = "p_size % 7"):
         self._spark, self._dir, self._stock = spark, sf_dir, stock
         self._raw: dict[str, DataFrame] = {}
         self._built: dict[str, DataFrame] = {}
@@ -215,7 +182,7 @@ class Marketplace(Mapping):
 
     def _build(self, table: str) -> DataFrame:
         if table in ("pets", "products"):
-            return _items(self.raw, self._stock)[0 if table == "pets" else 1]
+            return _items(self.raw, table[:-1], self._stock)
         if table == "app_settings":
             return _settings(self._spark)
         return _BUILDERS[table](self.raw)
@@ -233,15 +200,14 @@ _BUILDERS = {
 }
 
 
-def marketplace(spark: SparkSession, sf_dir: str, stock: Column | None = None) -> Marketplace:
-    return Marketplace(spark, sf_dir, stock)
+def marketplace(spark: SparkSession, sf_dir: str, **options: str) -> Marketplace:
+    return Marketplace(spark, sf_dir, **options)
 
 
 # The same tables for DuckDB, as common table expressions.
 _KIND = "CASE WHEN {k} % 4 = 0 THEN 'pet' ELSE 'product' END"
 _REF = (_KIND + " AS item_type, CASE WHEN {k} % 4 = 0 THEN CAST({k} AS VARCHAR) END AS pet_id, "
         "CASE WHEN {k} % 4 <> 0 THEN CAST({k} AS VARCHAR) END AS product_id")
-CATEGORY_SQL = "CASE p_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CATEGORIES.items()) + " END"
 _PERSON = """SELECT '{p}' || {k} AS user_id, {n} AS name, lower({n}) || '@example.com' AS email,
   'hash-' || {k} AS password, '08' || {k} AS phone, '{r}' AS role, 'avatar/' || {n} AS avatar_url,
   {a} AS is_active, {v} AS is_verified, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS city,
