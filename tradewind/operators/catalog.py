@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema
 from ..functions import contains, newest_first
-from ..plans.paging import page_per_key, take_page
+from ..plans.paging import page_per_key, page_with_parent, take_page
 from .items import KINDS
 
 
@@ -104,11 +104,11 @@ def _listing(t, kind, filters, sort, page, limit, seller_columns=("name",)) -> D
     order = item_order(sort, key)
     if sort == "rating":
         return take_page(decorate(items, t["reviews"]), order, page, limit)
-    # The order does not need ratings: choose the page first, then read only its reviews.
+    # The order does not need ratings: choose the page first, then read only its sellers and reviews.
     # A page holds at most 100 rows, so it may be broadcast.
-    chosen = take_page(items.join(sellers.select("seller_id"), "seller_id", "left_semi"), order, page, limit)
+    chosen = page_with_parent(items, sellers, "seller_id", order, page, limit)
     its_reviews = t["reviews"].join(F.broadcast(chosen.select(key)), key, "left_semi")
-    return decorate(chosen, its_reviews).orderBy(*order)
+    return decorate(F.broadcast(chosen), its_reviews).orderBy(*order)
 
 
 def list_products(t, filters: ItemFilters | None = None, sort: str | None = None, page: int | None = 1,
@@ -164,7 +164,7 @@ def _administration(t, kind, filters, page, limit) -> DataFrame:
     sellers = _seller(t, "name")
     order = newest_first(KINDS[kind][1])
     if page is not None:
-        items = take_page(items.join(sellers.select("seller_id"), "seller_id", "left_semi"), order, page, limit)
+        items = F.broadcast(page_with_parent(items, sellers, "seller_id", order, page, limit))
     rows = items.join(sellers, "seller_id")
     rows = _add_category(rows, t) if kind == "product" else rows
     return rows if page is None else rows.orderBy(*order)

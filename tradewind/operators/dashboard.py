@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 from ..functions import newest_first
 from ..functions.money import total_of
-from ..plans.paging import take_page
+from ..plans.paging import page_with_parent
 
 
 def _count_if(condition: Column) -> Column:
@@ -50,7 +50,6 @@ def dashboard_revenue(t) -> DataFrame:
 def recent_orders(t, n: int = 10) -> DataFrame:
     """The latest n orders with the buyer's name; the top-k runs before the names are fetched."""
     buyers = t["users"].select(F.col("user_id").alias("buyer_id"), F.col("name").alias("buyer_name"))
-    known = t["orders"].join(buyers.select("buyer_id"), "buyer_id", "left_semi")
-    latest = take_page(known.select("order_id", "buyer_id", "status", "total_price", "created_at"),
-                       newest_first("order_id"), 1, n)
-    return latest.join(buyers, "buyer_id").drop("buyer_id").orderBy(*newest_first("order_id"))
+    rows = t["orders"].select("order_id", "buyer_id", "status", "total_price", "created_at")
+    latest = page_with_parent(rows, buyers, "buyer_id", newest_first("order_id"), 1, n)
+    return F.broadcast(latest).join(buyers, "buyer_id").drop("buyer_id").orderBy(*newest_first("order_id"))

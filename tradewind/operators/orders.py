@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema
 from ..functions import newest_first
 from ..plans.nesting import MAX_LINES, attach, nest, number_parts
-from ..plans.paging import page_per_key, take_page
+from ..plans.paging import page_per_key, page_with_parent
 from .items import ITEM_KEY, item_id, item_view
 
 _BUYER = {"name": "buyer_name", "email": "buyer_email", "phone": "buyer_phone"}
@@ -98,10 +98,12 @@ def seller_orders(t, status: str | None = None, page: int | None = 1, limit: int
 def admin_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None) -> DataFrame:
     """All orders with buyer and payment, newest first."""
     orders, order = _orders(t, status), newest_first("order_id")
-    if page is not None:
-        orders = take_page(orders.join(_buyers(t).select("buyer_id"), "buyer_id", "left_semi"), order, page, limit)
-    rows = orders.join(_buyers(t), "buyer_id").join(_payments(t), "order_id", "left")
-    return rows if page is None else rows.orderBy(*order)
+    if page is None:
+        return orders.join(_buyers(t), "buyer_id").join(_payments(t), "order_id", "left")
+    # at most 100 rows: their buyers and payments are found by broadcasting the page, not by shuffling the tables
+    chosen = F.broadcast(page_with_parent(orders, _buyers(t), "buyer_id", order, page, limit))
+    payments = _payments(t).join(F.broadcast(chosen.select("order_id")), "order_id", "left_semi")
+    return chosen.join(_buyers(t), "buyer_id").join(payments, "order_id", "left").orderBy(*order)
 
 
 def payment_lookup(t, payment_ids=None, order_ids=None) -> DataFrame:

@@ -2,22 +2,33 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checkpoint_dir
+
 MAX_LINES = 10_000
+# A list of oversized parents up to this long is broadcast (a few short columns, some MB).
+BROADCAST_ROWS = 100_000
 
 
 def number_parts(lines: DataFrame, keys: list[str], line_id: str, max_lines: int = MAX_LINES) -> DataFrame:
     """Adds items_part: 0 for normal parents; a parent with more than max_lines lines is cut into several parts.
 
-    The sizes are counted with map-side combine and only oversized parents are joined back, a side that is
-    normally empty and that AQE broadcasts only when it measures small.
+    The sizes are counted first, over the key columns only and with map-side combine. Nearly always no parent is
+    oversized; then the lines need no join. Otherwise the counted list is broadcast if it is short and joined by
+    shuffle if it is not.
     """
+    checkpoint_dir(lines.sparkSession)
     oversized = (
         lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines"))
         .filter(F.col("_lines") > max_lines)
         .select(*keys, F.ceil(F.col("_lines") / F.lit(max_lines)).cast("bigint").alias("_parts"))
+        .checkpoint()
     )
+    found = oversized.count()
+    if found == 0:
+        return lines.withColumn("items_part", F.lit(0))
+    side = F.broadcast(oversized) if found <= BROADCAST_ROWS else oversized
     part = F.coalesce(F.pmod(F.xxhash64(line_id), F.col("_parts")), F.lit(0)).cast("int")
-    return lines.join(oversized, keys, "left").withColumn("items_part", part).drop("_parts")
+    return lines.join(side, keys, "left").withColumn("items_part", part).drop("_parts")
 
 
 def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal") -> DataFrame:

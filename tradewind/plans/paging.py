@@ -4,14 +4,17 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpoint_dir
 from .sequence import dense_sequence
 
 DEFAULT_LIMIT = 12
 MAX_LIMIT = 100
 # Beyond this many rows a top-k held by one task is replaced by a distributed numbering.
 DEEP_PAGE = 100_000
-# Spark prunes each map task to the first k rows per key for k up to this (WindowGroupLimit).
-PRUNED_RANK = 1_000
+# Up to this many rows the start of a list is kept and broadcast for look-ups.
+NEAR_PAGE = 5_000
+# Up to this rank, the rows that map-side pruning leaves per key are few enough for one task.
+PRUNED_RANK = 100
 SALTS = 64
 
 
@@ -43,6 +46,25 @@ def take_page(df: DataFrame, order: list[Column], page: int | None = None, limit
     return numbered.filter(F.col("_position").between(wanted.first + 1, wanted.last)).drop("_position")
 
 
+def page_with_parent(df: DataFrame, parents: DataFrame, key: str, order: list[Column], page: int | None = None,
+                     limit: int | None = None) -> DataFrame:
+    """One page of the rows whose key is found in parents, without joining all rows.
+
+    The first offset+limit rows are taken with a top-k. If all of them have a parent, as a declared reference
+    promises, the page is among them and nothing was shuffled. If one has none, the rows are joined after all.
+    Everything broadcast here is bounded by the page.
+    """
+    wanted = page_of(page, limit)
+    if wanted.last <= NEAR_PAGE:
+        checkpoint_dir(df.sparkSession)
+        first = df.orderBy(*order).limit(wanted.last).checkpoint()
+        keys = first.select(key).distinct()
+        found = parents.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
+        if first.join(F.broadcast(found), key, "left_anti").isEmpty():
+            return first.orderBy(*order).offset(wanted.first).limit(wanted.limit)
+    return take_page(df.join(parents.select(key), key, "left_semi"), order, page, limit)
+
+
 def page_meta(df: DataFrame, page: int | None = None, limit: int | None = None) -> DataFrame:
     """One row: total, page, limit, total_pages. A separate count, so that the page itself stays a top-k."""
     wanted = page_of(page, limit)
@@ -63,8 +85,8 @@ def page_per_key(df: DataFrame, key: str | list[str], order: list[Column], page:
     """The same page of every key's list.
 
     The rank filter lets Spark keep only the first offset+limit rows per key in each map task, so a key with
-    most of the rows does not reach one task whole. For deeper pages, where Spark does not do that, rows are
-    first ranked within (key, salt): the wanted rows are among the first offset+limit of every salt.
+    most of the rows does not reach one task whole. For deeper pages rows are first ranked within (key, salt):
+    the wanted rows are among the first offset+limit of every salt.
     """
     keys = [key] if isinstance(key, str) else key
     wanted = page_of(page, limit)

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradewind import schema
+from tradewind.session import tune
 from tradewind.sources.evolve import evolve_schema
 
 AS_OF = "2001-08-02 00:00:00"
@@ -166,7 +167,7 @@ class Marketplace(Mapping):
     """The marketplace tables, each built when it is first asked for, so that a query opens only the files it reads."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, stock: str = "p_size % 7"):
-        self._spark, self._dir, self._stock = spark, sf_dir, stock
+        self._spark, self._dir, self._stock = tune(spark), sf_dir, stock
         self._raw: dict[str, DataFrame] = {}
         self._built: dict[str, DataFrame] = {}
 
