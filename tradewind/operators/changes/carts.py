@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, new_id, split
+from ...plans.requests import Change, first_reason, last, named_in, new_id, split
 from ..items import ITEM_KEY, item_id, item_view
 
 
@@ -18,7 +18,7 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         requests.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
         .withColumn("item_id", item_id())
     )
-    items = item_view(t).select(*ITEM_KEY, "stock", "is_active")
+    items = named_in(item_view(t).select(*ITEM_KEY, "stock", "is_active"), typed, *ITEM_KEY)
     both = F.col("pet_id").isNotNull() & F.col("product_id").isNotNull()
     judged = typed.join(items, ITEM_KEY, "left").withColumn("reason", first_reason(
         (F.coalesce(F.col("actor_role") != "buyer", F.lit(True)), "forbidden"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ...functions import blank, js_trim, valid_email
-from ...plans.requests import Change, first_reason, new_id, rejections, split
+from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
 from ...functions.ordering import request_order
 
 MIN_PASSWORD = 6
@@ -27,11 +27,9 @@ def register_users(t, requests: DataFrame) -> Change:
     sound, refused = checked.filter("reason is null"), checked.filter("reason is not null")
     storable = sound.withColumn("oversized", F.coalesce(too_long, F.lit(False)))
     # the first storable request per e-mail; min() combines map-side, so a much repeated e-mail is no hot spot
-    winners = (
-        storable.filter(~F.col("oversized")).groupBy("login").agg(F.min("_order").alias("_first"))
-        .join(t["users"].select(F.col("email").alias("login")), "login", "left_anti")
-    )
-    known = t["users"].select(F.col("email").alias("login"), F.lit(True).alias("known"))
+    winners = storable.filter(~F.col("oversized")).groupBy("login").agg(F.min("_order").alias("_first"))
+    taken = named_in(t["users"].select(F.col("email").alias("login")), storable, "login").distinct()
+    known = taken.withColumn("known", F.lit(True))
     judged = (
         storable.join(known, "login", "left").join(winners, "login", "left")
         .withColumn("reason", first_reason(

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, new_id, rejections, split
+from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
 from ..items import item_id
 from ..reviews import delivered_lines
 
@@ -23,10 +23,12 @@ def create_reviews(t, requests: DataFrame) -> Change:
             (both, "not_eligible"),
         ))
     sound, refused = checked.filter("reason is null"), checked.filter("reason is not null")
-    eligible = delivered_lines(t).select(
+    # only the orders that are named in the batch are looked up
+    named = {table: named_in(t[table], sound, "order_id") for table in ("orders", "order_items", "reviews")}
+    eligible = delivered_lines(named).select(
         F.col("buyer_id").alias("actor_id"), "order_id", "item_type", item_id()
     ).distinct().withColumn("_eligible", F.lit(True))
-    written = t["reviews"].select(
+    written = named["reviews"].select(
         F.col("reviewer_id").alias("actor_id"), "order_id", "item_type", item_id()
     ).distinct().withColumn("_written", F.lit(True))
     # a rating with a fraction would fail on insert, after the other checks

@@ -10,10 +10,10 @@ BROADCAST_ROWS = 100_000
 
 
 def number_parts(lines: DataFrame, keys: list[str], line_id: str, max_lines: int = MAX_LINES) -> DataFrame:
-    """Adds items_part: 0 for normal parents; a parent with more than max_lines lines is cut into several parts.
+    """Cuts parents with more than max_lines lines into several parts, numbered by a column items_part.
 
     The sizes are counted first, over the key columns only and with map-side combine. Nearly always no parent is
-    oversized; then the lines need no join. Otherwise the counted list is broadcast if it is short and joined by
+    oversized; then the lines stay as they are. Otherwise the counted list is broadcast if it is short and joined by
     shuffle if it is not.
     """
     checkpoint_dir(lines.sparkSession)
@@ -25,23 +25,26 @@ def number_parts(lines: DataFrame, keys: list[str], line_id: str, max_lines: int
     )
     found = oversized.count()
     if found == 0:
-        return lines.withColumn("items_part", F.lit(0))
+        return lines
     side = F.broadcast(oversized) if found <= BROADCAST_ROWS else oversized
     part = F.coalesce(F.pmod(F.xxhash64(line_id), F.col("_parts")), F.lit(0)).cast("int")
     return lines.join(side, keys, "left").withColumn("items_part", part).drop("_parts")
 
 
 def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal") -> DataFrame:
-    """One row per (keys, items_part): sorted items array, its length and its amount.
+    """One row per parent, or per part of it: sorted items array, its length, its amount, and items_part.
 
     Collecting does not shrink anything before the shuffle, so the plain lines are shuffled and collected once
     behind it, instead of collecting in every map task and merging the pieces.
     """
-    return lines.repartition(*keys, "items_part").groupBy(*keys, "items_part").agg(
+    in_parts = "items_part" in lines.columns
+    group = [*keys, "items_part"] if in_parts else keys
+    nested = lines.repartition(*group).groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct(*element))).alias("items"),
         F.count(F.lit(1)).alias("item_count"),
         F.sum(amount).cast("decimal(22,2)").alias("items_total"),
     )
+    return nested if in_parts else nested.withColumn("items_part", F.lit(0))
 
 
 def attach(parents: DataFrame, nested: DataFrame, keys: list[str]) -> DataFrame:

@@ -43,10 +43,10 @@ def last_given(column: str) -> Column:
     return last(column, F.col(column).isNotNull())
 
 
-def named_in(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+def named_in(table: DataFrame, requests: DataFrame, *keys: str) -> DataFrame:
     """Rows of a table whose key some request names. Batches are small next to the tables: the semi join lets AQE
     broadcast the measured-small key list instead of shuffling the table for the look-ups that follow."""
-    return table.join(requests.select(key).distinct(), key, "left_semi")
+    return table.join(requests.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def new_id(kind: str, *parts: Column | str) -> Column:
