@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, named_in, new_id, split
+from ...plans.requests import Change, first_reason, last, new_id, split
+from ...plans.skew import look_up
 from ..items import ITEM_KEY, item_id, item_view
 
 
@@ -18,9 +19,9 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         requests.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
         .withColumn("item_id", item_id())
     )
-    items = named_in(item_view(t).select(*ITEM_KEY, "stock", "is_active"), typed, *ITEM_KEY)
+    items = item_view(t).select(*ITEM_KEY, "stock", "is_active")
     both = F.col("pet_id").isNotNull() & F.col("product_id").isNotNull()
-    judged = typed.join(items, ITEM_KEY, "left").withColumn("reason", first_reason(
+    judged = look_up(typed, items, ITEM_KEY).withColumn("reason", first_reason(
         (F.coalesce(F.col("actor_role") != "buyer", F.lit(True)), "forbidden"),
         (~F.coalesce(F.col("item_type").isin(schema.ITEM_TYPES), F.lit(False)), "bad_enum"),
         (F.col("item_id").isNull(), "missing_field"),
@@ -70,9 +71,9 @@ def edit_cart(t, requests: DataFrame) -> Change:
     In batch order: a line is gone from its first removal or from the first clearing of its cart on, and later
     requests for it are not_found; before that the last quantity holds. Both limits are map-side minima.
     """
-    ordered = (
-        requests.withColumn("_order", request_order())
-        .join(t["cart"].select(F.col("buyer_id").alias("actor_id"), "cart_id"), "actor_id", "left")
+    ordered = look_up(
+        requests.withColumn("_order", request_order()),
+        t["cart"].select(F.col("buyer_id").alias("actor_id"), "cart_id"), ["actor_id"],
     )
     op = F.col("op")
     ordered = ordered.withColumn("reason", first_reason(
@@ -81,7 +82,7 @@ def edit_cart(t, requests: DataFrame) -> Change:
         ((op == "set") & (F.col("quantity").isNull() | (F.col("quantity") < 1)), "out_of_range"),
     ))
     lines = t["cart_items"].select("item_id", F.col("cart_id").alias("line_cart"))
-    sound = ordered.filter("reason is null").join(lines, "item_id", "left")
+    sound = look_up(ordered.filter("reason is null"), lines, ["item_id"])
     in_cart = F.coalesce(F.col("line_cart") == F.col("cart_id"), F.lit(False))
     removed = (
         sound.filter((op == "remove") & in_cart).groupBy("item_id").agg(F.min("_order").alias("_removed"))
@@ -90,7 +91,7 @@ def edit_cart(t, requests: DataFrame) -> Change:
         ordered.filter((op == "clear") & F.col("reason").isNull()).groupBy("cart_id")
         .agg(F.min("_order").alias("_cleared"))
     )
-    limits = sound.join(removed, "item_id", "left").join(cleared, "cart_id", "left")
+    limits = look_up(look_up(sound, removed, ["item_id"]), cleared, ["cart_id"])
     too_late = (
         (F.col("_order") > F.coalesce("_removed", "_order")) | (F.col("_order") > F.coalesce("_cleared", "_order"))
     )

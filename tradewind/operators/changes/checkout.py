@@ -7,6 +7,7 @@ from ...functions import blank
 from ...functions.money import MONEY, TOTAL
 from ...plans.requests import Change, first_reason, new_id, rejections, touch
 from ...plans.sequence import ordered_blocks
+from ...plans.skew import look_up, merge_facts
 from ..cart import priced
 from ..items import ITEM_KEY, KINDS, item_id, item_view
 
@@ -20,7 +21,8 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     """
     served = _prepare(requests)
     refused = served.filter("reason is not null")
-    sound = ordered_blocks(served.filter("reason is null").drop("reason"), [F.col("request_ts"), F.col("request_id")])
+    numbered = ordered_blocks(served.filter("reason is null").drop("reason"), [F.col("request_ts"), F.col("request_id")])
+    sound, followers = _leaders(numbered)
     lines = _lines(t, sound).checkpoint(eager=True)
 
     judged = _with_fixed_reason(sound, lines).checkpoint(eager=True)
@@ -32,11 +34,18 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     ).checkpoint(eager=True)
     accepted = decided.filter("_accepted")
     emptied = accepted.groupBy("actor_id").agg(F.min("seq").alias("_emptied"))
-    late = (
-        decided.filter("not _accepted").join(emptied, "actor_id", "left")
-        .withColumn("reason", F.when(~F.col("direct") & (F.col("_emptied") < F.col("seq")), F.lit("empty_cart"))
-                    .otherwise(F.coalesce("reason", F.lit("out_of_stock"))))
-    )
+    lost = decided.filter("not _accepted")
+    fates = merge_facts(["actor_id"], {
+        "_emptied": emptied,
+        "_leader_reason": lost.filter("not direct").select(
+            "actor_id", F.coalesce("reason", F.lit("out_of_stock")).alias("_leader_reason")),
+    })
+    late = look_up(
+        lost.select("request_id", "request_ts", "actor_id", "seq", "direct", "reason")
+        .unionByName(followers.select("request_id", "request_ts", "actor_id", "seq", "direct"), allowMissingColumns=True),
+        fates, ["actor_id"],
+    ).withColumn("reason", F.when(F.col("direct"), F.coalesce("reason", F.lit("out_of_stock")))
+                 .when(F.col("_emptied") < F.col("seq"), F.lit("empty_cart")).otherwise(F.col("_leader_reason")))
     rejected = rejections(refused).unionByName(rejections(late))
 
     sold = lines.join(accepted.select("request_id"), "request_id", "left_semi")
@@ -72,6 +81,19 @@ def _prepare(requests: DataFrame) -> DataFrame:
     )
 
 
+def _leaders(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests that compete, requests that cannot be accepted any more).
+
+    Of a buyer's cart requests only the first can succeed: it either empties the cart, or fails for the stock,
+    which never grows within a batch. So a buyer with many requests has the cart read once.
+    """
+    first = numbered.filter("not direct").groupBy("actor_id").agg(F.min("seq").alias("_first"))
+    known = look_up(numbered, first, ["actor_id"])
+    follows = ~F.col("direct") & (F.col("seq") > F.col("_first"))
+    marked = known.withColumn("_follows", F.coalesce(follows, F.lit(False))).drop("_first").checkpoint(eager=True)
+    return marked.filter("not _follows").drop("_follows"), marked.filter("_follows").drop("_follows")
+
+
 def _lines(t, sound: DataFrame) -> DataFrame:
     """What each request wants to buy, with price, stock and seller from the catalogue."""
     columns = ["request_id", "seq", "block", "direct", "line_key", "item_type", "pet_id", "product_id", "quantity"]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
-from ...plans.requests import Change, first_reason, last_given, named_in, new_id, split, touch
+from ...plans.requests import Change, first_reason, last_given, new_id, split, touch
+from ...plans.skew import look_up
 from ..items import KINDS
 
 
@@ -31,7 +32,7 @@ def _unknown_category(requests: DataFrame, t) -> DataFrame:
         return requests.withColumn("unknown_category", F.lit(False))
     known = t["categories"].select("category_id", F.lit(True).alias("_known"))
     missing = F.col("category_id").isNotNull() & (F.col("category_id") != 0) & F.col("_known").isNull()
-    return requests.join(known, "category_id", "left").withColumn("unknown_category", missing).drop("_known")
+    return look_up(requests, known, ["category_id"]).withColumn("unknown_category", missing).drop("_known")
 
 
 def create_listings(t, kind: str, requests: DataFrame) -> Change:
@@ -112,12 +113,12 @@ def patch_rows(t, patch: Patch, requests: DataFrame, as_of: Column) -> Change:
         ~F.col(f.name).isin(f.allowed) for f in schema.TABLES[table] if f.allowed is not None and f.name in columns
     ]
     owner = F.col(patch.owner).alias("_owner") if patch.owner else F.lit(None).cast("string").alias("_owner")
-    rows = named_in(t[table].select(F.col(key), F.col(key).alias("_key"), owner), requests, key)
+    rows = t[table].select(F.col(key), F.col(key).alias("_key"), owner)
     checks = _access_checks(patch.owner is not None, patch.admin_only, key)
     enum_check = (reduce(or_, bad_enum, F.lit(False)), "bad_enum")
     # an unknown role is refused before the user is looked up, an unknown gender after the pet was found
     checks = [checks[0], enum_check, *checks[1:]] if patch.admin_only else [*checks, enum_check]
-    judged = _unknown_category(given, t).join(rows, key, "left").withColumn("reason", first_reason(
+    judged = look_up(_unknown_category(given, t), rows, [key]).withColumn("reason", first_reason(
         *checks,
         (_breaks_rules(table, columns) | F.col("unknown_category"), "constraint"),
     )).drop("_key", "_owner", "unknown_category")
@@ -141,8 +142,7 @@ def soft_delete(t, table: str, requests: DataFrame, as_of: Column) -> Change:
         checks.insert(1, (F.col("target_id") == F.col("actor_id"), "self_delete"))
     owner = F.lit(None).cast("string").alias("_owner") if of_users else F.col("seller_id").alias("_owner")
     rows = t[table].select(F.col(key).alias("target_id"), F.col(key).alias("_key"), owner)
-    rows = named_in(rows, requests, "target_id")
-    judged = requests.join(rows, "target_id", "left").withColumn("reason", first_reason(*checks))
+    judged = look_up(requests, rows, ["target_id"]).withColumn("reason", first_reason(*checks))
     accepted, rejected = split(judged.drop("_key", "_owner"))
     gone = accepted.select(F.col("target_id").alias(key)).distinct().withColumn("_gone", F.lit(True))
     merged = t[table].join(gone, key, "left")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions import blank, js_trim, valid_email
 from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
+from ...plans.skew import look_up, merge_facts
 from ...functions.ordering import request_order
 
 MIN_PASSWORD = 6
@@ -28,10 +29,10 @@ def register_users(t, requests: DataFrame) -> Change:
     storable = sound.withColumn("oversized", F.coalesce(too_long, F.lit(False)))
     # the first storable request per e-mail; min() combines map-side, so a much repeated e-mail is no hot spot
     winners = storable.filter(~F.col("oversized")).groupBy("login").agg(F.min("_order").alias("_first"))
-    taken = named_in(t["users"].select(F.col("email").alias("login")), storable, "login").distinct()
-    known = taken.withColumn("known", F.lit(True))
+    taken = named_in(t["users"].select(F.col("email").alias("login")), storable, "login")
+    facts = merge_facts(["login"], {"known": taken.withColumn("known", F.lit(True)), "_first": winners})
     judged = (
-        storable.join(known, "login", "left").join(winners, "login", "left")
+        look_up(storable, facts, ["login"])
         .withColumn("reason", first_reason(
             (F.col("known") | (F.col("_order") > F.col("_first")), "duplicate"),
             (F.col("oversized"), "constraint"),

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ... import schema
 from ...functions.ordering import request_order
 from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
+from ...plans.skew import look_up, merge_facts
 from ..items import item_id
 from ..reviews import delivered_lines
 
@@ -26,16 +27,15 @@ def create_reviews(t, requests: DataFrame) -> Change:
     # only the orders that are named in the batch are looked up
     named = {table: named_in(t[table], sound, "order_id") for table in ("orders", "order_items", "reviews")}
     eligible = delivered_lines(named).select(
-        F.col("buyer_id").alias("actor_id"), "order_id", "item_type", item_id()
-    ).distinct().withColumn("_eligible", F.lit(True))
+        F.col("buyer_id").alias("actor_id"), "order_id", "item_type", item_id(), F.lit(True).alias("_eligible"))
     written = named["reviews"].select(
-        F.col("reviewer_id").alias("actor_id"), "order_id", "item_type", item_id()
-    ).distinct().withColumn("_written", F.lit(True))
+        F.col("reviewer_id").alias("actor_id"), "order_id", "item_type", item_id(), F.lit(True).alias("_written"))
     # a rating with a fraction would fail on insert, after the other checks
     whole = rating == F.floor(rating)
     firsts = sound.filter(whole).groupBy(*keys).agg(F.min("_order").alias("_first"))
+    facts = merge_facts(keys, {"_eligible": eligible, "_written": written, "_first": firsts})
     judged = (
-        sound.join(eligible, keys, "left").join(written, keys, "left").join(firsts, keys, "left")
+        look_up(sound, facts, keys)
         .withColumn("reason", first_reason(
             (F.col("_eligible").isNull(), "not_eligible"),
             (F.col("_written") | (F.col("_order") > F.col("_first")), "duplicate"),

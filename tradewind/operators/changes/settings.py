@@ -6,6 +6,7 @@ from ...functions import as_number, blank, js_trim
 from ...functions.ordering import request_order
 from ...plans.requests import Change, first_reason, last, rejections, split
 from ...plans.sequence import dense_sequence
+from ...plans.skew import look_up, merge_facts
 
 _NUMBER = "decimal(30,10)"
 
@@ -55,7 +56,7 @@ def create_categories(t, requests: DataFrame) -> Change:
     known = t["categories"].select(F.col("name").alias("label"), F.lit(True).alias("_known"))
     firsts = sound.groupBy("label").agg(F.min("_order").alias("_first"))
     judged = (
-        sound.join(known, "label", "left").join(firsts, "label")
+        look_up(sound, merge_facts(["label"], {"_known": known, "_first": firsts}), ["label"])
         .withColumn("reason", first_reason((F.col("_known") | (F.col("_order") > F.col("_first")), "duplicate")))
     )
     accepted, late = split(judged)

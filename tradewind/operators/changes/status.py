@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ... import schema
 from ...functions import blank
 from ...plans.requests import Change, first_reason, last, named_in, split, touch
+from ...plans.skew import look_up
 
 
 def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
@@ -13,14 +14,12 @@ def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
     allowed = F.when(admin, F.col("status").isin(schema.ORDER_STATUS)).otherwise(
         F.col("status").isin(schema.SELLER_ORDER_STATUS)
     )
-    # (order, seller) pairs, distinct before the join
-    owners = (
-        named_in(t["order_items"].select("order_id", F.col("seller_id").alias("actor_id")), requests, "order_id")
-        .distinct().withColumn("_owns", F.lit(True))
-    )
-    known = named_in(t["orders"].select("order_id"), requests, "order_id").withColumn("_known", F.lit(True))
+    # (order, seller) pairs of the orders that are named, distinct before they are looked up
+    owners = named_in(t["order_items"].select("order_id", F.col("seller_id").alias("actor_id")), requests, "order_id")
+    owners = owners.distinct().withColumn("_owns", F.lit(True))
+    known = t["orders"].select("order_id", F.lit(True).alias("_known"))
     judged = (
-        requests.join(known, "order_id", "left").join(owners, ["order_id", "actor_id"], "left")
+        look_up(look_up(requests, known, ["order_id"]), owners, ["order_id", "actor_id"])
         .withColumn("reason", first_reason(
             (~F.coalesce(F.col("actor_role").isin("admin", "seller"), F.lit(False)), "forbidden"),
             (~F.coalesce(allowed, F.lit(False)), "bad_enum"),
@@ -37,8 +36,8 @@ def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
 
 def judge_payments(requests: DataFrame, payments: DataFrame) -> DataFrame:
     """Adds the reason and the order of the payment to payment updates."""
-    known = named_in(payments.select("payment_id", "order_id"), requests, "payment_id")
-    return requests.join(known, "payment_id", "left").withColumn("reason", first_reason(
+    known = payments.select("payment_id", "order_id")
+    return look_up(requests, known, ["payment_id"]).withColumn("reason", first_reason(
         (~F.coalesce(F.col("status").isin(schema.PAYMENT_STATUS), F.lit(False)), "bad_enum"),
         (F.col("order_id").isNull(), "not_found"),
     ))

@@ -385,7 +385,7 @@ _EDIT = {
     "e": _EVENT,
     "q": """SELECT request_id, request_ts, actor_id, 'K' || user_id AS cart_id,
   CASE WHEN event_type = 'signup' THEN 'swap' WHEN event_type = 'purchase' THEN 'remove'
-       WHEN event_type = 'error' AND "value" >= 60 THEN 'clear' ELSE 'set' END AS op,
+       WHEN event_type = 'error' AND "value" >= 300 THEN 'clear' ELSE 'set' END AS op,
   CASE WHEN event_id % 3 = 0 THEN 'K' || (user_id + 1) ELSE 'K' || user_id END || '-' || k AS item_id,
   CAST(event_id % 7 AS INTEGER) AS quantity FROM e""",
     "sound": """SELECT q.*, CASE WHEN op = 'swap' THEN 'bad_enum' WHEN op = 'set' AND q.quantity < 1 THEN 'out_of_range' END AS early,
@@ -403,7 +403,7 @@ def _edit(spark, sf_dir):
     kind, user = F.col("event_type"), F.col("user_id")
     op = (
         F.when(kind == "signup", "swap").when(kind == "purchase", "remove")
-        .when((kind == "error") & (F.col("value") >= 60), "clear").otherwise("set")
+        .when((kind == "error") & (F.col("value") >= 300), "clear").otherwise("set")
     )
     cart_user = F.when(F.col("event_id") % 3 == 0, user + 1).otherwise(user)
     requests = _events(t).select(
