@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 HOT_ROWS = 1_000_000
 # At most this many keys can be hot, so their list may always be broadcast.
 MOST_HOT_KEYS = 100_000
+# Hash buckets of the cheap first check for hot keys.
+BUCKETS = 65_536
 
 
 def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -18,15 +20,17 @@ def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: in
     small next to the tables, and AQE broadcasts a key list that it measures small.
 
     A change operator usually groups by the key it has looked up, so Spark keeps both in one task per key and
-    does not split skewed ones. Therefore hot keys are found by a count, which combines map-side. A key is hot
+    does not split skewed ones. Therefore hot keys are found first. A key is hot
     from max(hot_rows, all rows / MOST_HOT_KEYS) rows on, which bounds the number of hot keys whatever the
     data. Their requests are spread by a salt and their table rows repeated per salt.
     """
     rows = table.join(requests.select(*keys).distinct(), keys, "left_semi")
-    counts = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    # rows per hash bucket: a few numbers per map task, and never less than the rows of a key in the bucket
+    buckets = requests.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).count()
+    total, largest = buckets.agg(F.sum("count"), F.max("count")).first()
     if (largest or 0) <= hot_rows:
         return requests.join(rows, keys, "left")
+    counts = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = max(hot_rows, total // MOST_HOT_KEYS)
     hot = F.broadcast(
         counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("bigint").alias("_salts"))
