@@ -91,7 +91,7 @@ def edit_cart(t, requests: DataFrame) -> Change:
         ordered.filter((op == "clear") & F.col("reason").isNull()).groupBy("cart_id")
         .agg(F.min("_order").alias("_cleared"))
     )
-    limits = look_up(look_up(sound, removed, ["item_id"]), cleared, ["cart_id"])
+    limits = look_up(look_up(sound, removed, ["item_id"], from_batch=True), cleared, ["cart_id"], from_batch=True)
     too_late = (
         (F.col("_order") > F.coalesce("_removed", "_order")) | (F.col("_order") > F.coalesce("_cleared", "_order"))
     )

@@ -43,7 +43,7 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     late = look_up(
         lost.select("request_id", "request_ts", "actor_id", "seq", "direct", "reason")
         .unionByName(followers.select("request_id", "request_ts", "actor_id", "seq", "direct"), allowMissingColumns=True),
-        fates, ["actor_id"],
+        fates, ["actor_id"], from_batch=True,
     ).withColumn("reason", F.when(F.col("direct"), F.coalesce("reason", F.lit("out_of_stock")))
                  .when(F.col("_emptied") < F.col("seq"), F.lit("empty_cart")).otherwise(F.col("_leader_reason")))
     rejected = rejections(refused).unionByName(rejections(late))
@@ -88,7 +88,7 @@ def _leaders(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     which never grows within a batch. So a buyer with many requests has the cart read once.
     """
     first = numbered.filter("not direct").groupBy("actor_id").agg(F.min("seq").alias("_first"))
-    known = look_up(numbered, first, ["actor_id"])
+    known = look_up(numbered, first, ["actor_id"], from_batch=True)
     follows = ~F.col("direct") & (F.col("seq") > F.col("_first"))
     marked = known.withColumn("_follows", F.coalesce(follows, F.lit(False))).drop("_first").checkpoint(eager=True)
     return marked.filter("not _follows").drop("_follows"), marked.filter("_follows").drop("_follows")

@@ -32,7 +32,7 @@ def register_users(t, requests: DataFrame) -> Change:
     taken = named_in(t["users"].select(F.col("email").alias("login")), storable, "login")
     facts = merge_facts(["login"], {"known": taken.withColumn("known", F.lit(True)), "_first": winners})
     judged = (
-        look_up(storable, facts, ["login"])
+        look_up(storable, facts, ["login"], from_batch=True)
         .withColumn("reason", first_reason(
             (F.col("known") | (F.col("_order") > F.col("_first")), "duplicate"),
             (F.col("oversized"), "constraint"),

@@ -39,7 +39,7 @@ def create_reviews(t, requests: DataFrame) -> Change:
     firsts = sound.filter(whole).groupBy(*keys).agg(F.min("_order").alias("_first"))
     facts = merge_facts(keys, {"_eligible": eligible, "_written": written, "_first": firsts})
     judged = (
-        look_up(sound, facts, keys)
+        look_up(sound, facts, keys, from_batch=True)
         .withColumn("reason", first_reason(
             (F.col("_eligible").isNull(), "not_eligible"),
             (F.col("_written") | (F.col("_order") > F.col("_first")), "duplicate"),

@@ -19,7 +19,7 @@ def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
     owners = owners.distinct().withColumn("_owns", F.lit(True))
     known = t["orders"].select("order_id", F.lit(True).alias("_known"))
     judged = (
-        look_up(look_up(requests, known, ["order_id"]), owners, ["order_id", "actor_id"])
+        look_up(look_up(requests, known, ["order_id"]), owners, ["order_id", "actor_id"], from_batch=True)
         .withColumn("reason", first_reason(
             (~F.coalesce(F.col("actor_role").isin("admin", "seller"), F.lit(False)), "forbidden"),
             (~F.coalesce(allowed, F.lit(False)), "bad_enum"),

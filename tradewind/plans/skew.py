@@ -13,18 +13,19 @@ MOST_HOT_KEYS = 100_000
 BUCKETS = 65_536
 
 
-def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
+            from_batch: bool = False) -> DataFrame:
     """Requests with the columns of the table's row for their keys, NULL where there is none.
 
-    The table must have one row per key. It is first reduced to the keys that occur in the batch: batches are
-    small next to the tables, and AQE broadcasts a key list that it measures small.
+    The table must have one row per key. Unless it was made from the batch, it is first reduced to the keys that
+    occur there: batches are small next to the tables, and AQE broadcasts a key list that it measures small.
 
     A change operator usually groups by the key it has looked up, so Spark keeps both in one task per key and
     does not split skewed ones. Therefore hot keys are found first. A key is hot
     from max(hot_rows, all rows / MOST_HOT_KEYS) rows on, which bounds the number of hot keys whatever the
     data. Their requests are spread by a salt and their table rows repeated per salt.
     """
-    rows = table.join(requests.select(*keys).distinct(), keys, "left_semi")
+    rows = table if from_batch else table.join(requests.select(*keys).distinct(), keys, "left_semi")
     # rows per hash bucket: a few numbers per map task, and never less than the rows of a key in the bucket
     buckets = requests.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).count()
     total, largest = buckets.agg(F.sum("count"), F.max("count")).first()
