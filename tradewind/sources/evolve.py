@@ -18,7 +18,7 @@ def evolve_schema(df: DataFrame, table: str, defaults: dict[str, object] | None
 def insert_if_absent(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Current rows plus the new rows whose key is not present; of equal new keys one row is kept.
 
-    The absent rows are reduced to one per key with a map-side combining max_by over the whole row.
+    The absent rows are reduced to the smallest one per key, which combines map-side.
     """
     rest = [c for c in new.columns if c != key]
     row = F.struct(*rest) if rest else F.lit(None)
