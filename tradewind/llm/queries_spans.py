@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from tradewind.llm.decontaminate import find_hits
 from tradewind.llm.registry import query, table
 
-_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')"""
+_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
 
 _HITS_SQL = f"""
 with docs as (select doc_id, {_WORDS} as w from documents),
