@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,22 +46,33 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def add_columns(
-    df: DataFrame, fields: list[T.StructField], step: Callable[[pa.RecordBatch], list[pa.Array]],
-    slice_rows: int = 512,
-) -> DataFrame:
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that a worker holds few texts at a time: at most `rows` rows, and `size` bytes or one row."""
+    start = 0
+    weights = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            weights += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(weights)
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        fit = int(np.searchsorted(ends, before + size, "right")) - start
+        count = max(1, min(rows, fit, batch.num_rows - start))
+        yield batch.slice(start, count)
+        start += count
+
+
+def add_columns(df: DataFrame, fields: list[T.StructField], step: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """Row-wise step over Arrow batches that keeps the input columns and adds `fields`.
 
-    `step(batch)` returns one array per field. Batches are cut into slices of `slice_rows` rows, so that
-    a worker holds few texts at a time. Input columns with a name of `fields` are replaced.
+    `step(batch)` gets `slices` and returns one array per field. Input columns with a name of `fields` are replaced.
     """
     kept = without(df, [f.name for f in fields])
     schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(start, slice_rows)
+            for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *step(batch)], [*batch.schema.names, *[f.name for f in fields]])
 

@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import stored
+from tradewind.llm.common import slices, stored
 from tradewind.llm.tokens import encoder
 
 CUT_UNIT = 0  # what remains of a document after full sequences stays whole; above 0 it is cut at a multiple of this
 BLOCK_ROWS = 65_536  # pieces whose ranks one window counts
-SLICE_ROWS = 256
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -85,8 +84,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for begin in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(begin, SLICE_ROWS)
+            for batch in slices(whole):
                 rows = []
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     ids = np.append(ids, np.array(end_id, tool.dtype)).astype("<u4")
@@ -157,8 +155,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, drops_space: b
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for begin in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(begin, SLICE_ROWS)
+            for batch in slices(whole):
                 rows = []
                 for ids, cuts in zip(tool.encode(batch.column(0)), batch.column(1).to_pylist()):
                     ids = [*ids.tolist(), end_id]

@@ -12,13 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewind.llm.common import slices
 from tradewind.llm.tokens import encoder
 from tradewind.session import work_folder
 
 MAGIC = b"TWWM0001"
 BLOCK_BITS = 1 << 16  # bits of a plane that are compressed together and counted by the rank directory
 SHARD_TOKENS = 1 << 21  # a shard is closed by the document that reaches this
-SLICE_ROWS = 256
 
 # File: MAGIC, header (tokens, planes, documents), document lengths, then per plane the number of zeros, the ones
 # before each block (rank directory), the end of each compressed block, and the blocks. Integers are little-endian.
@@ -187,8 +187,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, drops_space:
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "docs", "tokens", "data"])
 
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for batch in slices(whole):
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     held += [ids, end]
                     lengths.append(len(ids) + 1)
