@@ -23,13 +23,12 @@ def _slot(length: Column, prefix: Column) -> Column:
 
 def _filter_words(groups: DataFrame) -> DataFrame:
     """The surviving groups as one row: a bit set of fixed size, made with a partial aggregation."""
-    bits = groups.select(_slot(F.col("_len"), F.col("_prefix")).alias("slot"))
-    words = bits.groupBy(F.expr("slot div 64").cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    filled = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
-    return filled.select(F.transform(
-        F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.col("set")[i], F.lit(0).cast("long"))
-    ).alias("_words"))
+    slot = groups.select(_slot(F.col("_len"), F.col("_prefix")).alias("slot"))
+    bits = slot.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bits"))
+    zeros = groups.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bits.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    filled = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    return filled.select(F.col("set.bits").alias("_words"))
 
 
 def progressive_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
