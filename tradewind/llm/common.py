@@ -23,6 +23,7 @@ for _code in _SEPARATORS:
     if not ord("A") <= _code <= ord("Z"):
         _FOLD[_code] = ord(" ")
 _FOLD = bytes(_FOLD)
+WORD_BYTES = np.frombuffer(_FOLD, np.uint8) != ord(" ")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 

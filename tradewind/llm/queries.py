@@ -1,6 +1,7 @@
 """All queries of this package; importing it registers them."""
 
 import tradewind.llm.queries_dedup  # noqa: F401
+import tradewind.llm.queries_near  # noqa: F401
 import tradewind.llm.queries_quality  # noqa: F401
 import tradewind.llm.queries_sensitive  # noqa: F401
 import tradewind.llm.queries_spans  # noqa: F401
