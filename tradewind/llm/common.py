@@ -90,3 +90,25 @@ def hash128(column: Column) -> Column:
     The second hash starts from the first one's seed column, so that the two are independent.
     """
     return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit("salt"), column).alias("b"))
+
+
+# A bit filter has FILTER_WORDS x 64 bits: 1 MB on every executor, whatever the input.
+FILTER_WORDS = 1 << 17
+
+
+def bit_filter(hashes: DataFrame) -> DataFrame:
+    """The one long column of `hashes` as one row: a bit set of fixed size, made with a partial aggregation."""
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_WORDS * 64))
+    bits = hashes.select(slot.alias("slot")).select(
+        F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bits"))
+    zeros = hashes.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = bits.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    filled = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    return filled.select(F.col("set.bits").alias("_words"))
+
+
+def with_filter(df: DataFrame, words: DataFrame, hashed: Column, name: str) -> DataFrame:
+    """Adds whether a row's hash may be in the filter: never false for one that is."""
+    slot = df.withColumn("_slot", F.pmod(hashed, F.lit(FILTER_WORDS * 64)))
+    word = slot.withColumn("_word", F.element_at(words.scalar(), F.expr("cast(_slot div 64 as int) + 1")))
+    return word.withColumn(name, F.expr("shiftright(_word, cast(_slot % 64 as int)) & 1L") == 1).drop("_slot", "_word")

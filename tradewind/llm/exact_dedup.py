@@ -5,32 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import stored
+from tradewind.llm.common import bit_filter, stored, with_filter
 
 PREFIX_CHARS = 128
-# The filter of surviving groups has FILTER_WORDS x 64 bits: 1 MB on every executor, whatever the input.
-FILTER_WORDS = 1 << 17
 
 
 def _length_and_prefix(text: Column) -> list[Column]:
     return [F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_prefix")]
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    """A group's bit in the filter."""
-    return F.pmod(F.xxhash64(length, prefix), F.lit(FILTER_WORDS * 64))
-
-
-def _filter_words(groups: DataFrame) -> DataFrame:
-    """The surviving groups as one row: a bit set of fixed size, made with a partial aggregation."""
-    slot = groups.select(_slot(F.col("_len"), F.col("_prefix")).alias("slot"))
-    bits = slot.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bits"))
-    zeros = groups.sparkSession.range(FILTER_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    words = bits.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    filled = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("set"))
-    return filled.select(F.col("set.bits").alias("_words"))
-
-
 def progressive_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: id, the `carry` columns, `keep_id`, `group_size`, `kept`.
 
@@ -53,18 +36,14 @@ def progressive_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_prefix = stored(by_prefix, "dedup-prefixes")
     lengths = by_prefix.groupBy("_len").agg(F.sum("n").alias("n")).filter("n > 1").select("_len")
     survivors = by_prefix.filter("n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix")
-    words = stored(_filter_words(survivors), "dedup-filter")
+    group = F.xxhash64("_len", "_prefix")
+    words = stored(bit_filter(survivors.select(group.alias("group"))), "dedup-filter")
 
     rows = df.select(
         F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)],
         text.alias("_text"), *_length_and_prefix(text))
-    slot = _slot(F.col("_len"), F.col("_prefix"))
-    hit = F.expr("shiftright(_word, cast(_slot % 64 as int)) & 1L") == 1
-    rows = (rows.withColumn("_slot", slot)
-            .withColumn("_word", F.element_at(words.scalar(), F.expr("cast(_slot div 64 as int) + 1")))
-            .withColumn("_full", F.when(hit, F.sha2("_text", 256)))
-            .drop("_text", "_word", "_slot")
-            .withColumn("_row", F.monotonically_increasing_id()))
+    rows = (with_filter(rows, words, group, "_shared").withColumn("_full", F.when(F.col("_shared"), F.sha2("_text", 256)))
+            .drop("_text", "_shared").withColumn("_row", F.monotonically_increasing_id()))
     rows = stored(rows, "dedup-rows")
 
     key = ["_len", "_prefix", "_full"]

@@ -19,7 +19,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, kept by the worker process."""
     if len(_tables[0]) < size:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
@@ -33,7 +33,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     """A 64-bit hash of every word of each text; words as `common.words_of` has them."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)]
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     edge = np.flatnonzero(np.diff(WORD_BYTES[data], prepend=False))

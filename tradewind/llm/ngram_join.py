@@ -245,6 +245,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Pairs are never rows: a task takes two blocks of a bucket or group and returns counts and a spanning forest.
     Large groups are thus split over pairs of blocks of bounded size; their work is that of their links.
     """
+    return _classified(docs, id_col, text_col, threshold, tolerance).drop("_t")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                tolerance: float = TOLERANCE) -> DataFrame:
+    """The input without near duplicates: of each class of `near_duplicates` its first row, whole.
+
+    Rows that repeat both id and text count as one, wordless ones included.
+    """
+    found = _classified(docs, id_col, text_col, threshold, tolerance).filter("first_in_class")
+    stay = stored(found.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("_i"), F.col(f"`{id_col}`").isNull().alias("_none"), "_t"), "near-stay")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = ["_i", "_none", "_t"]
+    rows = docs.withColumns({"_i": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_none": F.col(f"`{id_col}`").isNull(), "_t": hash128(text)})
+    rows = rows.join(stay.distinct(), key, "left_semi")
+    repeated = docs.select(f"`{id_col}`", hash128(text).alias("_t")).groupBy(f"`{id_col}`", "_t").count().filter("count > 1").limit(1).count()
+    return (rows.dropDuplicates(key) if repeated else rows).drop(*key)
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+    """`near_duplicates` with the hash of the text as `_t`."""
     rows = stored(sketches(docs, id_col, text_col), "near-sketches")
     classes = rows.filter("key is not null").groupBy("key").agg(
         F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign"),
@@ -267,11 +288,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = stored(info.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "near-names")
     info = stored(info.join(names, "root").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root"), "near-classes-named")
 
-    out = rows.select("id", "key", F.monotonically_increasing_id().alias("_row")).join(info, "key", "left")
+    out = rows.select("id", "t", "key", F.monotonically_increasing_id().alias("_row")).join(info, "key", "left")
     alone = F.col("key").isNull()
     first = (out.filter(~alone & F.col("id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("_row").alias("_first")))
     out = stored(out, "near-rows").join(stored(first, "near-first"), "root", "left")
     return out.select(
         F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        (alone | F.coalesce(F.col("_row") == F.col("_first"), F.lit(False))).alias("first_in_class"))
+        (alone | F.coalesce(F.col("_row") == F.col("_first"), F.lit(False))).alias("first_in_class"), F.col("t").alias("_t"))

@@ -1,10 +1,11 @@
-"""Queries of the duplicate operators: exact copies and common lines."""
+"""Queries of the duplicate operators: exact copies, common lines, repeated windows."""
 
 from pyspark.sql import functions as F
 
 from tradewind.llm.exact_dedup import progressive_dedup
 from tradewind.llm.line_dedup import drop_common_lines
 from tradewind.llm.registry import query, table
+from tradewind.llm.repeated_windows import drop_repeated_windows
 
 _EXACT_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
@@ -37,3 +38,9 @@ def op5_exact_dedup(spark, sf_dir):
 def op9_line_dedup(spark, sf_dir):
     found = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_repeated_windows")
+def op10_repeated_windows(spark, sf_dir):
+    found = drop_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
