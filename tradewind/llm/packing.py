@@ -33,7 +33,12 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
             while most >= length and not room[most]:
                 most -= 1
             if most < length:
-                count, content, free = left, (), size
+                # the next piece would go to the pack opened for this one until that is full
+                each = min(size // length, left)
+                count, content, free = left // each, (), size - (each - 1) * length
+                for _ in range(each - 1):
+                    content = (length, content)
+                left -= count * (each - 1)
             else:
                 (count, content), free = room[most].pop(), most
                 if count > left:
@@ -84,7 +89,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, rows=4096):
                 rows = []
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     ids = np.append(ids, np.array(end_id, tool.dtype)).astype("<u4")
@@ -155,7 +160,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, drops_space: b
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, rows=4096):
                 rows = []
                 for ids, cuts in zip(tool.encode(batch.column(0)), batch.column(1).to_pylist()):
                     ids = [*ids.tolist(), end_id]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import string
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 300_000  # of one worker process, some 60 MB; the cache starts anew when it is full
+CACHE_ENTRIES = 400_000  # of each cache of a worker process, some 80 MB; a cache starts anew when it is full
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # A run of three white-space characters, or of two at the end, may be one piece that a cut would divide.
 _LONG_GAP = f"{_SPACE}{{3}}|{_SPACE}{{2}}$"
@@ -43,9 +45,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.stems: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         # how the byte-level pre-tokenizer shows each byte: asked of it, character by character
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -55,47 +59,60 @@ class Encoder:
         self.space = self.shown[32]
         self.line_feed = self._whole("\n")
 
+    def _packed(self, ids: list[int]) -> bytes:
+        """Little-endian ids; for the few of a chunk much faster than an array of numpy."""
+        values = array(self.code, ids)
+        if sys.byteorder == "big":
+            values.byteswap()
+        return values.tobytes()
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _stem(self, stem: str) -> bytes | None:
+        """Ids of a chunk without the punctuation at its end, if that is Latin letters: one piece of the
+        pre-tokenizer, which goes straight through the library's model. None for whatever else it may be."""
+        bare = stem[1:] if stem[:1] == "\n" else stem
+        if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0100")):
+            return None
+        piece = bare.lower() if self.drops_space else bare if bare is not stem else " " + bare
+        ids = self._piece(piece)
+        return ids if self.drops_space or bare is stem else self.line_feed + ids
 
     def _piece(self, piece: str) -> bytes:
-        """A letters-only or punctuation-only piece, straight through the library's model."""
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-            found = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
-        return found
-
-    def _fill(self, chunks: list[str]) -> None:
-        """Encodes new chunks. A line feed is a piece of its own; any other chunk follows a space.
-
-        A chunk of Latin letters with or without punctuation after them is one or two pieces of the
-        pre-tokenizer; whatever else a chunk may be goes through the whole tokenizer.
-        """
-        rest = []
-        for chunk in chunks:
-            bare = chunk[1:] if chunk[:1] == "\n" else chunk
-            word = bare.rstrip(string.punctuation)
-            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-                tail = bare[len(word):]
-                if self.drops_space:
-                    ids = self._piece(word.lower())
-                else:
-                    ids = self._piece(word) if chunk is not bare else self._piece(" " + word)
-                    ids = self.line_feed + ids if chunk is not bare else ids
-                self.cache[chunk] = ids + self._piece(tail) if tail else ids
-            else:
-                rest.append(chunk)
-        bare = rest if self.drops_space else [c[1:] if c[:1] == "\n" else " " + c for c in rest]
-        for chunk, encoding in zip(rest, self.tokenizer.encode_batch_fast(bare, add_special_tokens=False)):
-            ids = np.array(encoding.ids, self.dtype).tobytes()
-            self.cache[chunk] = self.line_feed + ids if chunk[:1] == "\n" and not self.drops_space else ids
+        shown = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return self._packed([t.id for t in self.model.tokenize(shown)])
+
+    def _other(self, chunk: str) -> bytes:
+        """Ids of any chunk. A line feed is a piece of its own; any other chunk follows a space."""
+        if self.drops_space:
+            return self._whole(chunk)
+        return self.line_feed + self._whole(chunk[1:]) if chunk[:1] == "\n" else self._whole(" " + chunk)
+
+    def _known(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks: of the stem and of the punctuation after it, or of a chunk of another kind."""
+        stems, tails, others, out = self.stems, self.tails, self.others, []
+        for chunk, stem in zip(chunks.to_pylist(), pc.utf8_rtrim(chunks, characters=string.punctuation).to_pylist()):
+            ids = stems.get(stem, 0)
+            if ids == 0:
+                ids = stems[stem] = self._stem(stem)
+            if ids is None:
+                ids = others.get(chunk)
+                if ids is None:
+                    ids = others[chunk] = self._other(chunk)
+            elif len(chunk) != len(stem):
+                tail = chunk[len(stem):]
+                if tail not in tails:
+                    tails[tail] = self._piece(tail)
+                ids = ids + tails[tail]
+            out.append(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; NULL counts as the empty text."""
-        if len(self.cache) + len(self.pieces) > CACHE_ENTRIES:
-            self.cache.clear()
-            self.pieces.clear()
+        for kept in (self.stems, self.tails, self.others):
+            if len(kept) > CACHE_ENTRIES:
+                kept.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole: dict[int, bytes] = {}
         if self.drops_space:
@@ -108,11 +125,7 @@ class Encoder:
             # every text begins with a line feed here, whose id is taken off again
             lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_EMPTY, texts, _LINE_FEED), "\n", " \n"), " ")
         chunks = lists.flatten().dictionary_encode()
-        words = chunks.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.cache]
-        if fresh:
-            self._fill(fresh)
-        known = list(map(self.cache.__getitem__, words))
+        known = self._known(chunks.dictionary)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         pool, starts = np.frombuffer(b"".join(known), self.dtype), np.cumsum(sizes) - sizes
         index = chunks.indices.to_numpy(zero_copy_only=False)
