@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema
 from ..functions import contains, newest_first
-from ..plans.paging import page_per_key, page_with_parent, take_page
+from ..plans.paging import key_meta, page_meta, page_per_key, page_with_parent
 from .items import KINDS
 
 
@@ -88,6 +88,9 @@ def _add_rating(items: DataFrame, reviews: DataFrame, kind: str) -> DataFrame:
     )
 
 
+_RATING = ["avg_rating", "review_count"]
+
+
 def _listing(t, kind, filters, sort, page, limit, seller_columns=("name",)) -> DataFrame:
     key = KINDS[kind][1]
     items = _active(t, kind, filters)
@@ -103,7 +106,11 @@ def _listing(t, kind, filters, sort, page, limit, seller_columns=("name",)) -> D
         return decorate(items, t["reviews"])
     order = item_order(sort, key)
     if sort == "rating":
-        return take_page(decorate(items, t["reviews"]), order, page, limit)
+        # the page is chosen on key, seller and rating; only its rows are fetched whole
+        rated = _add_rating(items.select(key, "seller_id"), t["reviews"], kind)
+        best = page_with_parent(rated, sellers, "seller_id", order, page, limit).select(key, *_RATING)
+        chosen = items.join(F.broadcast(best), key).join(sellers, "seller_id")
+        return (_add_category(chosen, t) if kind == "product" else chosen).orderBy(*order)
     # The order does not need ratings: choose the page first, then read only its sellers and reviews.
     # A page holds at most 100 rows, so it may be broadcast.
     chosen = page_with_parent(items, sellers, "seller_id", order, page, limit)
@@ -122,6 +129,21 @@ def list_pets(t, filters: ItemFilters | None = None, sort: str | None = None, pa
     return _listing(t, "pet", filters, sort, page, limit)
 
 
+def _list_meta(t, kind, filters, page, limit) -> DataFrame:
+    """Ratings and categories do not change the number of rows, so they are not read."""
+    items = _active(t, kind, filters)
+    return page_meta(items.join(_seller(t), "seller_id", "left_semi"), page, limit)
+
+
+def list_products_meta(t, filters: ItemFilters | None = None, page: int | None = 1, limit: int | None = None) -> DataFrame:
+    """Total and number of pages of list_products, and of admin_products."""
+    return _list_meta(t, "product", filters, page, limit)
+
+
+def list_pets_meta(t, filters: ItemFilters | None = None, page: int | None = 1, limit: int | None = None) -> DataFrame:
+    return _list_meta(t, "pet", filters, page, limit)
+
+
 def _detail(t, kind, ids) -> DataFrame:
     key = KINDS[kind][1]
     chosen = dict(t)
@@ -144,7 +166,7 @@ def pet_detail(t, ids=None) -> DataFrame:
 def _of_seller(t, kind, page, limit, seller) -> DataFrame:
     key = KINDS[kind][1]
     items = _active(t, kind, ItemFilters(seller_id=seller))
-    chosen = page_per_key(items, "seller_id", newest_first(key), page, limit)
+    chosen = items if page is None else page_per_key(items, "seller_id", newest_first(key), page, limit)
     if kind == "product":
         chosen = _add_category(chosen, t)
     return _add_rating(chosen, t["reviews"], kind)
@@ -159,6 +181,15 @@ def seller_pets(t, page: int | None = 1, limit: int | None = None, seller=None)
     return _of_seller(t, "pet", page, limit, seller)
 
 
+def seller_products_meta(t, page: int | None = 1, limit: int | None = None, seller=None) -> DataFrame:
+    """Total and number of pages of every seller's active products; sellers without any are absent."""
+    return key_meta(_active(t, "product", ItemFilters(seller_id=seller)), "seller_id", page, limit)
+
+
+def seller_pets_meta(t, page: int | None = 1, limit: int | None = None, seller=None) -> DataFrame:
+    return key_meta(_active(t, "pet", ItemFilters(seller_id=seller)), "seller_id", page, limit)
+
+
 def _administration(t, kind, filters, page, limit) -> DataFrame:
     items = _active(t, kind, filters)
     sellers = _seller(t, "name")

@@ -4,11 +4,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, new_id, split
+from ...plans.requests import Change, first_reason, last, new_id, one_row_per_request, split
+from ...plans.sequence import ordered_blocks
+from ...plans.serving import serve
 from ...plans.skew import look_up
 from ..items import ITEM_KEY, item_id, item_view
 
 
+@one_row_per_request
 def add_to_cart(t, requests: DataFrame) -> Change:
     """Adds quantities of items to the buyers' carts, creating carts and lines where they are missing.
 
@@ -29,6 +32,7 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         (F.col("stock") < F.col("quantity"), "out_of_stock"),
         ((F.col("quantity") < 1) | both, "constraint"),
     )).drop("stock", "is_active")
+    judged = _within_int(t, judged)
     accepted, rejected = split(judged)
 
     # one row per buyer and item, summed map-side, before anything is joined
@@ -65,6 +69,37 @@ def add_to_cart(t, requests: DataFrame) -> Change:
     return Change(tables, accepted, rejected)
 
 
+def _within_int(t, judged: DataFrame) -> DataFrame:
+    """Refuses, in batch order, requests that would take a line beyond the largest quantity.
+
+    Lines whose accepted requests fit together, in practice all, are settled by one sum. Of the others each request is
+    served while it fits; one that does not takes nothing, as a failed insert does.
+    """
+    keys = ["actor_id", *ITEM_KEY]
+    held = (
+        t["cart_items"].withColumn("item_id", item_id()).join(t["cart"].select("cart_id", "buyer_id"), "cart_id")
+        .groupBy(F.col("buyer_id").alias("actor_id"), *ITEM_KEY).agg(F.sum("quantity").alias("_held"))
+    )
+    sums = judged.filter("reason is null").groupBy(*keys).agg(F.sum("quantity").alias("_wanted"), F.count(F.lit(1)).alias("_n"))
+    over = (
+        sums.join(held.join(sums.select(*keys), keys, "left_semi"), keys, "left")
+        .withColumn("_held", F.coalesce("_held", F.lit(0)))
+        .filter(F.col("_held") + F.col("_wanted") > schema.MAX_INT).select(*keys, "_held").checkpoint()
+    )
+    if over.isEmpty():
+        return judged
+    competing = judged.filter("reason is null").join(over, keys)
+    order = [F.col("request_ts"), F.col("request_id")]
+    demands = ordered_blocks(competing, order).select(
+        "request_id", "seq", "block", F.concat_ws(":", *keys).alias("resource"), F.col("quantity").cast("bigint").alias("need"),
+        (F.lit(schema.MAX_INT) - F.col("_held")).cast("bigint").alias("capacity"), F.lit(False).alias("soft"))
+    served = serve(competing.select("request_id"), demands).withColumn("_served", F.lit(True))
+    lost = competing.select("request_id").join(served, "request_id", "left_anti").withColumn("_lost", F.lit(True)).checkpoint()
+    refused = F.coalesce(F.col("reason"), F.when(F.col("_lost"), F.lit("constraint")))
+    return judged.join(lost, "request_id", "left").withColumn("reason", refused).drop("_lost")
+
+
+@one_row_per_request
 def edit_cart(t, requests: DataFrame) -> Change:
     """Set a line's quantity, remove a line, or clear the cart.
 

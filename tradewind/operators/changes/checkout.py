@@ -5,13 +5,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ... import schema
 from ...functions import blank
 from ...functions.money import MONEY, TOTAL
-from ...plans.requests import Change, first_reason, new_id, rejections, touch
+from ...plans.requests import Change, first_reason, new_id, one_row_per_request, rejections, touch
 from ...plans.sequence import ordered_blocks
+from ...plans.serving import serve
 from ...plans.skew import look_up, merge_facts
 from ..cart import priced
 from ..items import ITEM_KEY, KINDS, item_id, item_view
+from ..people import setting
+from .listings import breaks_rules
 
 
+@one_row_per_request
 def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     """Turns carts, or the items named by a request, into orders, order lines and payments.
 
@@ -25,8 +29,9 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     sound, followers = _leaders(numbered)
     lines = _lines(t, sound).checkpoint(eager=True)
 
-    judged = _with_fixed_reason(sound, lines).checkpoint(eager=True)
-    accepted_ids = _serve(judged.filter("reason is null"), lines)
+    judged = _with_fixed_reason(t, sound, lines).checkpoint(eager=True)
+    feasible = judged.filter("reason is null")
+    accepted_ids = serve(feasible.select("request_id"), _demands(feasible, lines))
 
     decided = (
         judged.join(accepted_ids.withColumn("_accepted", F.lit(True)), "request_id", "left")
@@ -76,7 +81,6 @@ def _prepare(requests: DataFrame) -> DataFrame:
         .withColumn("reason", first_reason(
             (F.coalesce(F.col("actor_role") != "buyer", F.lit(True)), "forbidden"),
             (blank("shipping_address"), "missing_field"),
-            (~F.col("payment_method").isin(schema.PAYMENT_METHODS), "bad_enum"),
         ))
     )
 
@@ -112,24 +116,32 @@ def _lines(t, sound: DataFrame) -> DataFrame:
     return named.unionByName(carted).withColumn("item_id", item_id()).join(items, ITEM_KEY, "left")
 
 
-def _with_fixed_reason(sound: DataFrame, lines: DataFrame) -> DataFrame:
+def _with_fixed_reason(t, sound: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds the reasons that hold whatever the other requests do, since stock never grows within a batch."""
     per_item = lines.groupBy("request_id", *ITEM_KEY).agg(
         F.sum("quantity").alias("wanted"), F.min("quantity").alias("smallest"), F.max("stock").alias("stock"),
+        F.sum(_wide_amount()).alias("amount"), F.max(_wide_amount()).alias("largest"),
         F.max(F.col("price").isNull() | (F.col("direct") & ~F.coalesce("is_active", F.lit(False)))).alias("unknown"),
     )
     per_request = per_item.groupBy("request_id").agg(
         F.max("unknown").alias("unknown"),
         F.max(F.col("wanted") > F.col("stock")).alias("short"),
         F.max(F.col("smallest").isNull() | (F.col("smallest") < 1)).alias("odd"),
+        F.sum("amount").alias("amount"), F.max("largest").alias("largest"),
         F.count(F.lit(1)).alias("n"),
     )
+    # what an order's or a line's money column takes; the fee is part of the subtotal
+    most = F.lit(schema.MAX_MONEY).cast(_WIDE)
+    total = F.col("amount") + F.coalesce(setting(t, "shipping_cost").cast(_WIDE), F.lit(0).cast(_WIDE))
+    too_large = F.coalesce((F.col("largest") > most) | (total > most), F.lit(False))
     return sound.join(per_request, "request_id", "left").withColumn("reason", first_reason(
         (F.col("n").isNull(), "empty_cart"),
         (F.col("unknown"), "not_found"),
         (F.col("short"), "out_of_stock"),
-        (F.col("odd"), "constraint"),
-    )).drop("unknown", "short", "odd", "n")
+        (F.col("odd") | too_large | breaks_rules("orders", ["shipping_city", "shipping_postal"]), "constraint"),
+        # the order is written before its payment, whose method then fails the request as a whole
+        (~F.col("payment_method").isin(schema.PAYMENT_METHODS), "bad_enum"),
+    )).drop("unknown", "short", "odd", "n", "amount", "largest")
 
 
 def _demands(feasible: DataFrame, lines: DataFrame) -> DataFrame:
@@ -150,61 +162,12 @@ def _demands(feasible: DataFrame, lines: DataFrame) -> DataFrame:
     return pieces.unionByName(fillings)
 
 
-def _serve(feasible: DataFrame, lines: DataFrame) -> DataFrame:
-    """request_ids that a one-by-one service accepts.
+_WIDE = "decimal(38,2)"
 
-    Only resources wanted beyond their capacity matter. In each round, a request is taken when every one of its
-    demands fits even if all earlier undecided requests were taken, and dropped when some demand exceeds what
-    is left. The earliest undecided request is always decided, so the rounds end. A later request is only taken
-    when it leaves room for all earlier undecided ones, so what is left per resource is one number.
-    """
-    demands = _demands(feasible, lines)
-    contended = (
-        demands.groupBy("resource").agg(F.sum("need").alias("wanted"), F.max("capacity").alias("capacity"))
-        .filter(F.col("wanted") > F.col("capacity")).select("resource")
-    )
-    state = demands.join(contended, "resource", "left_semi").selectExpr("*", "false AS taken").checkpoint(eager=True)
-    unhindered = feasible.select("request_id").join(state.select("request_id"), "request_id", "left_anti")
-    while not state.filter("not taken").isEmpty():
-        state = _round(state).checkpoint(eager=True)
-    return unhindered.unionByName(state.select("request_id").distinct())
-
-
-def _round(state: DataFrame) -> DataFrame:
-    """The state after one round: dropped requests are gone, decided ones are marked as taken.
 
-    Demands of a resource are summed per block of the batch order first and then inside a block, so a resource
-    that most requests want is spread over all blocks.
-    """
-    return state.sparkSession.sql(
-        """
-        WITH sums AS (
-          SELECT resource, block, max(capacity) AS capacity,
-                 coalesce(sum(need) FILTER (WHERE NOT taken), 0) AS undecided,
-                 coalesce(sum(need) FILTER (WHERE taken), 0) AS used
-          FROM {state} GROUP BY resource, block
-        ), blocks AS (
-          SELECT resource, block,
-                 coalesce(sum(undecided) OVER (PARTITION BY resource ORDER BY block
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start,
-                 capacity - sum(used) OVER (PARTITION BY resource) AS room
-          FROM sums
-        ), measured AS (
-          SELECT request_id, soft, need, room,
-                 block_start + coalesce(sum(need) OVER (PARTITION BY resource, block ORDER BY seq
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-          FROM {state} JOIN blocks USING (resource, block) WHERE NOT taken
-        ), verdicts AS (
-          SELECT request_id, min(CASE WHEN soft THEN before = 0 ELSE before + need <= room END) AS fits
-          FROM measured GROUP BY request_id HAVING NOT max(NOT soft AND need > room)
-        )
-        SELECT request_id, seq, block, resource, need, capacity, soft, taken FROM {state} WHERE taken
-        UNION ALL
-        SELECT request_id, seq, block, resource, need, capacity, soft, fits
-        FROM {state} JOIN verdicts USING (request_id) WHERE NOT taken
-        """,
-        state=state,
-    )
+def _wide_amount() -> Column:
+    """Price times quantity in a type that no catalogue price and quantity overflow."""
+    return F.col("price").cast("decimal(20,2)") * F.col("quantity").cast("decimal(12,0)")
 
 
 def _amount() -> Column:

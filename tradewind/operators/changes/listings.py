@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
-from ...plans.requests import Change, first_reason, last_given, new_id, split, touch
+from ...plans.requests import Change, first_reason, last_given, new_id, one_row_per_request, split, touch
 from ...plans.skew import look_up
 from ..items import KINDS
 
 
-def _breaks_rules(table: str, columns: list[str]) -> Column:
+def breaks_rules(table: str, columns: list[str]) -> Column:
     """A given value that its column would not take: too long, too small, too large."""
     bad = []
     for field in schema.TABLES[table]:
@@ -32,9 +32,11 @@ def _unknown_category(requests: DataFrame, t) -> DataFrame:
         return requests.withColumn("unknown_category", F.lit(False))
     known = t["categories"].select("category_id", F.lit(True).alias("_known"))
     missing = F.col("category_id").isNotNull() & (F.col("category_id") != 0) & F.col("_known").isNull()
-    return look_up(requests, known, ["category_id"]).withColumn("unknown_category", missing).drop("_known")
+    # categories are few: reducing them to the named ones first would only cost a pass over the batch
+    return look_up(requests, known, ["category_id"], from_batch=True).withColumn("unknown_category", missing).drop("_known")
 
 
+@one_row_per_request
 def create_listings(t, kind: str, requests: DataFrame) -> Change:
     """New pets or products of the acting seller, with defaults for age and stock."""
     table, key, name = KINDS[kind]
@@ -49,7 +51,7 @@ def create_listings(t, kind: str, requests: DataFrame) -> Change:
         (F.coalesce(F.col("actor_role") != "seller", F.lit(True)), "forbidden"),
         (reduce(or_, missing), "missing_field"),
         (bad_enum, "bad_enum"),
-        (_breaks_rules(table, columns) | F.col("unknown_category"), "constraint"),
+        (breaks_rules(table, columns) | F.col("unknown_category"), "constraint"),
     )).drop("unknown_category")
     accepted, rejected = split(judged)
     values = {c: F.when(~blank(c), F.col(c)) for c in ("breed", "image_url", "description") if c in columns}
@@ -102,6 +104,7 @@ def _is_falsy(df: DataFrame, column: str) -> Column:
     return F.col(column) == (F.lit(0) if numeric else F.lit(""))
 
 
+@one_row_per_request
 def patch_rows(t, patch: Patch, requests: DataFrame, as_of: Column) -> Change:
     """Partial updates. Of several accepted patches of a row, each column takes its last given value."""
     table, key = patch.table, schema.PRIMARY_KEY[patch.table]
@@ -120,7 +123,7 @@ def patch_rows(t, patch: Patch, requests: DataFrame, as_of: Column) -> Change:
     checks = [checks[0], enum_check, *checks[1:]] if patch.admin_only else [*checks, enum_check]
     judged = look_up(_unknown_category(given, t), rows, [key]).withColumn("reason", first_reason(
         *checks,
-        (_breaks_rules(table, columns) | F.col("unknown_category"), "constraint"),
+        (breaks_rules(table, columns) | F.col("unknown_category"), "constraint"),
     )).drop("_key", "_owner", "unknown_category")
     accepted, rejected = split(judged)
     folded = accepted.groupBy(key).agg(
@@ -133,6 +136,7 @@ def patch_rows(t, patch: Patch, requests: DataFrame, as_of: Column) -> Change:
     return Change({table: merged.select(*t[table].columns)}, accepted, rejected)
 
 
+@one_row_per_request
 def soft_delete(t, table: str, requests: DataFrame, as_of: Column) -> Change:
     """Deactivates pets, products (owner or admin) or users (admin, not oneself). Requests carry target_id."""
     key = schema.PRIMARY_KEY[table]

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions import blank, js_trim, valid_email
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
+from ...plans.requests import Change, first_reason, named_in, new_id, one_row_per_request, rejections, split
 from ...plans.skew import look_up, merge_facts
 
 MIN_PASSWORD = 6
 
 
+@one_row_per_request
 def register_users(t, requests: DataFrame) -> Change:
     """Adds users, and a cart for each new buyer.
 

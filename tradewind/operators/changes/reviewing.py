@@ -4,13 +4,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, named_in, new_id, rejections, split
+from ...plans.requests import Change, first_reason, named_in, new_id, one_row_per_request, rejections, split
 from ...plans.skew import look_up, merge_facts
-from ...session import checkpoint_dir
 from ..items import item_id
 from ..reviews import delivered_lines
 
 
+@one_row_per_request
 def create_reviews(t, requests: DataFrame) -> Change:
     """Reviews of delivered lines by their buyer, one per buyer, order and item; the first request wins."""
     keys = ["actor_id", "order_id", "item_type", "item_id"]
@@ -24,9 +24,6 @@ def create_reviews(t, requests: DataFrame) -> Change:
             (F.col("order_id").isNull() | F.col("item_id").isNull(), "missing_field"),
             (both, "not_eligible"),
         ))
-    # the batch is read by every look-up below
-    checkpoint_dir(requests.sparkSession)
-    checked = checked.checkpoint()
     sound, refused = checked.filter("reason is null"), checked.filter("reason is not null")
     # only the orders that are named in the batch are looked up
     named = {table: named_in(t[table], sound, "order_id") for table in ("orders", "order_items", "reviews")}

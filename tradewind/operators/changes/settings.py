@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions import as_number, blank, js_trim
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, rejections, split
+from ...plans.requests import Change, first_reason, last, one_row_per_request, rejections, split
 from ...plans.sequence import dense_sequence
 from ...plans.skew import look_up, merge_facts
 
@@ -16,6 +16,7 @@ def _plain(number: Column) -> Column:
     return F.regexp_replace(number.cast("string"), r"\.?0+$", "")
 
 
+@one_row_per_request
 def upsert_settings(t, requests: DataFrame) -> Change:
     """Fee percent 0..100 and shipping cost >= 0. The fee is written before the shipping cost is looked at, so a
     request with a bad shipping cost still changes the fee. The last value of a key holds."""
@@ -43,6 +44,7 @@ def upsert_settings(t, requests: DataFrame) -> Change:
     return Change({"app_settings": merged}, accepted, rejected)
 
 
+@one_row_per_request
 def create_categories(t, requests: DataFrame) -> Change:
     """New categories with the next ids; names are trimmed and unique, the first request of a name wins."""
     label = js_trim(F.col("name"))

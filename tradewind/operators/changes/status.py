@@ -4,10 +4,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
-from ...plans.requests import Change, first_reason, last, named_in, split, touch
+from ...plans.requests import Change, first_reason, last, named_in, one_row_per_request, split, touch
 from ...plans.skew import look_up
 
 
+@one_row_per_request
 def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
     """Admins set any status; sellers any but pending, on orders that hold a line of theirs. The last one counts."""
     admin = F.col("actor_role") == "admin"
@@ -75,6 +76,7 @@ def merge_payments(t, folded: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     return {"payments": merged, "orders": orders.select(*t["orders"].columns)}
 
 
+@one_row_per_request
 def apply_payments(t, requests: DataFrame, as_of: Column) -> Change:
     """Payment updates: the last status holds, a missing reference keeps the old one, paid_at is the time of the
     last update if that one is paid. A pending order moves to processing if any accepted update was paid."""

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 from ..functions import newest_first
 from ..functions.money import total_of
-from ..plans.paging import page_with_parent
+from ..plans.paging import Page, rows_with_parent
 
 
 def _count_if(condition: Column) -> Column:
@@ -35,8 +35,9 @@ def dashboard_inventory(t) -> DataFrame:
 def dashboard_orders(t) -> DataFrame:
     """Orders per status, and a row 'total'."""
     per_status = t["orders"].groupBy("status").agg(F.count(F.lit(1)).alias("order_count"))
-    total = t["orders"].agg(F.count(F.lit(1)).alias("order_count")).select(F.lit("total").alias("status"), "order_count")
-    return per_status.unionByName(total)
+    # the counts per status are summed, so that both parts share one scan and one exchange
+    total = per_status.agg(F.coalesce(F.sum("order_count"), F.lit(0)).cast("bigint").alias("order_count"))
+    return per_status.unionByName(total.select(F.lit("total").alias("status"), "order_count"))
 
 
 def dashboard_revenue(t) -> DataFrame:
@@ -51,5 +52,5 @@ def recent_orders(t, n: int = 10) -> DataFrame:
     """The latest n orders with the buyer's name; the top-k runs before the names are fetched."""
     buyers = t["users"].select(F.col("user_id").alias("buyer_id"), F.col("name").alias("buyer_name"))
     rows = t["orders"].select("order_id", "buyer_id", "status", "total_price", "created_at")
-    latest = page_with_parent(rows, buyers, "buyer_id", newest_first("order_id"), 1, n)
-    return F.broadcast(latest).join(buyers, "buyer_id").drop("buyer_id").orderBy(*newest_first("order_id"))
+    latest = rows_with_parent(rows, buyers, "buyer_id", newest_first("order_id"), Page(1, n))
+    return latest.join(buyers, "buyer_id").drop("buyer_id").orderBy(*newest_first("order_id"))

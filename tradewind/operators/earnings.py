@@ -7,12 +7,16 @@ from ..functions.money import TOTAL, platform_fee, seller_share, total_of
 from .people import setting
 
 
-def _order_sums(t, *keys: str) -> DataFrame:
+def _order_sums(t, *keys: str, orders: DataFrame | None = None) -> DataFrame:
     """Gross amount and lines per order (and seller): combined map-side, one row per group afterwards.
 
-    With one row per order the later joins do not multiply rows and distinct orders become a plain count.
+    With one row per order the later joins do not multiply rows and distinct orders become a plain count. Given
+    `orders`, only their lines are read and summed: they meet on order_id, which the sums then need no exchange for.
     """
-    return t["order_items"].groupBy("order_id", *keys).agg(
+    lines = t["order_items"].select("order_id", *keys, "subtotal")
+    if orders is not None:
+        lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
+    return lines.groupBy("order_id", *keys).agg(
         F.sum("subtotal").cast(TOTAL).alias("gross"), F.count(F.lit(1)).alias("lines")
     )
 
@@ -85,7 +89,7 @@ def earnings_monthly(t, as_of: str) -> DataFrame:
         orders = orders.filter(F.col("month") >= F.date_format(since, "yyyy-MM"))
     orders = orders.select("order_id", F.date_format("created_at", "yyyy-MM").alias("month"))
     return (
-        _order_sums(t).join(orders, "order_id").groupBy("month").agg(
+        _order_sums(t, orders=orders).join(orders, "order_id").groupBy("month").agg(
             F.count(F.lit(1)).alias("order_count"), total_of("gross").alias("gross_subtotal"),
         )
         .withColumn("platform_fee", platform_fee(F.col("gross_subtotal"), setting(t, "platform_fee_percent")))

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
 from ..functions import newest_first
-from ..plans.nesting import MAX_LINES, attach, nest, number_parts
-from ..plans.paging import page_per_key, page_with_parent
+from ..plans.nesting import attach, nest
+from ..plans.paging import key_meta, page_meta, page_per_key, page_with_parent
 from .items import ITEM_KEY, item_id, item_view
 
 _BUYER = {"name": "buyer_name", "email": "buyer_email", "phone": "buyer_phone"}
@@ -34,66 +34,78 @@ def _named(lines: DataFrame, t) -> DataFrame:
     return lines.withColumn("item_id", item_id()).join(items, ITEM_KEY, "left")
 
 
-def _numbered(lines: DataFrame, chosen: DataFrame, keys: list[str], few: bool, max_lines: int) -> DataFrame:
-    """The chosen orders' lines, numbered in parts. For few orders only their lines are counted; for all buyers or
-    sellers one count over the key columns of the whole table is cheaper than choosing twice."""
-    if few:
-        return number_parts(lines.join(chosen, keys, "left_semi"), keys, "order_item_id", max_lines)
-    return number_parts(lines, keys, "order_item_id", max_lines).join(chosen, keys, "left_semi")
+_LINE = ["order_item_id", "item_type", "pet_id", "product_id", "quantity", "unit_price", "subtotal", "name", "image_url"]
 
 
-_LINE = ["order_item_id", "item_type", "pet_id", "product_id", "quantity", "unit_price", "subtotal", "name", "image_url"]
+def order_lines(t, ids=None) -> DataFrame:
+    """All lines as rows, with the name and image of the item and the name of the seller."""
+    lines = t["order_items"]
+    if ids is not None:
+        lines = lines.filter(F.col("order_id").isin(list(ids)))
+    sellers = t["users"].select(F.col("user_id").alias("seller_id"), F.col("name").alias("seller_name"))
+    return _named(lines, t).join(sellers, "seller_id", "left").select("order_id", *_LINE, "seller_id", "seller_name")
 
 
-def buyer_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None, buyer=None,
-                 max_lines: int = MAX_LINES) -> DataFrame:
+def _of_buyer(t, status: str | None, buyer) -> DataFrame:
+    orders = _orders(t, status)
+    return orders if buyer is None else orders.filter(F.col("buyer_id") == F.lit(buyer))
+
+
+def buyer_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None, buyer=None) -> DataFrame:
     """The same page of every buyer's orders, newest first, with payment and nested lines.
 
-    Orders are paged before any line is read. An order with more than max_lines lines comes as several rows
-    (items_part 0, 1, ...), whose arrays together hold all its lines.
+    Orders are paged before any line is read. An order is one row, with all its lines.
     """
-    orders = _orders(t, status)
-    if buyer is not None:
-        orders = orders.filter(F.col("buyer_id") == F.lit(buyer))
+    orders = _of_buyer(t, status, buyer)
     chosen = orders if page is None else page_per_key(orders, "buyer_id", newest_first("order_id"), page, limit)
-    lines = _numbered(t["order_items"], chosen.select("order_id"), ["order_id"], buyer is not None, max_lines)
+    lines = t["order_items"].join(chosen.select("order_id"), "order_id", "left_semi")
     nested = nest(_named(lines, t), ["order_id"], _LINE)
     return attach(chosen.join(_payments(t), "order_id", "left"), nested, ["order_id"])
 
 
-def order_detail(t, ids=None, max_lines: int = MAX_LINES) -> DataFrame:
+def buyer_orders_meta(t, status: str | None = None, page: int | None = 1, limit: int | None = None, buyer=None) -> DataFrame:
+    """Total and number of pages of every buyer's orders; buyers without orders are absent."""
+    return key_meta(_of_buyer(t, status, buyer), "buyer_id", page, limit)
+
+
+def order_detail(t, ids=None) -> DataFrame:
     """Orders with buyer contact, payment and nested lines including the seller's name."""
-    orders, lines = _orders(t), t["order_items"]
+    orders = _orders(t)
     if ids is not None:
         orders = orders.filter(F.col("order_id").isin(list(ids)))
-        lines = lines.filter(F.col("order_id").isin(list(ids)))
-    sellers = t["users"].select(F.col("user_id").alias("seller_id"), F.col("name").alias("seller_name"))
-    named = _named(number_parts(lines, ["order_id"], "order_item_id", max_lines), t)
-    nested = nest(named.join(sellers, "seller_id", "left"), ["order_id"], [*_LINE, "seller_id", "seller_name"])
+    nested = nest(order_lines(t, ids), ["order_id"], [*_LINE, "seller_id", "seller_name"])
     heads = orders.join(_buyers(t), "buyer_id").join(_payments(t, "reference_no", "paid_at"), "order_id", "left")
     return attach(heads, nested, ["order_id"])
 
 
-def seller_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None, seller=None,
-                  max_lines: int = MAX_LINES) -> DataFrame:
-    """The same page of every seller's orders: only that seller's lines, but the total of the whole order."""
+def _of_seller(t, wanted: DataFrame, seller) -> tuple[DataFrame, DataFrame]:
+    """The sellers' lines, and (seller, order) with its date of the wanted orders whose buyer is known."""
     lines = t["order_items"]
     if seller is not None:
         lines = lines.filter(F.col("seller_id") == F.lit(seller))
+    pairs = lines.select("seller_id", "order_id").distinct()
+    sortable = wanted.join(t["users"].select(F.col("user_id").alias("buyer_id")), "buyer_id", "left_semi")
+    return lines, pairs.join(sortable.select("order_id", "created_at"), "order_id")
+
+
+def seller_orders_meta(t, status: str | None = None, page: int | None = 1, limit: int | None = None, seller=None) -> DataFrame:
+    """Total and number of pages of every seller's orders, each order once; sellers without orders are absent."""
+    return key_meta(_of_seller(t, _orders(t, status), seller)[1], "seller_id", page, limit)
+
+
+def seller_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None, seller=None) -> DataFrame:
+    """The same page of every seller's orders: only that seller's lines, but the total of the whole order."""
     keys = ["seller_id", "order_id"]
     wanted = _orders(t, status).select(
         "order_id", "buyer_id", "status", "total_price", "created_at",
         "shipping_address", "shipping_city", "shipping_postal", "notes",
     )
     # page on the narrow columns, then fetch the rest for the chosen orders
-    pairs = lines.select(*keys).distinct()
-    sortable = wanted.join(t["users"].select(F.col("user_id").alias("buyer_id")), "buyer_id", "left_semi")
-    chosen = pairs.join(sortable.select("order_id", "created_at"), "order_id")
+    lines, chosen = _of_seller(t, wanted, seller)
     if page is not None:
         chosen = page_per_key(chosen, "seller_id", newest_first("order_id"), page, limit)
     chosen = chosen.select(*keys)
-    named = _named(_numbered(lines, chosen, keys, seller is not None, max_lines), t)
-    nested = nest(named, keys, ["item_type", "quantity", "unit_price", "subtotal", "name"])
+    nested = nest(_named(lines.join(chosen, keys, "left_semi"), t), keys, ["item_type", "quantity", "unit_price", "subtotal", "name"])
     method = t["payments"].select("order_id", F.col("method").alias("payment_method"))
     heads = (
         chosen.join(wanted, "order_id").join(_buyers(t), "buyer_id").drop("buyer_id")
@@ -102,6 +114,12 @@ def seller_orders(t, status: str | None = None, page: int | None = 1, limit: int
     return heads.join(nested, keys)
 
 
+def admin_orders_meta(t, status: str | None = None, page: int | None = 1, limit: int | None = None) -> DataFrame:
+    """Total and number of pages of admin_orders."""
+    known = _orders(t, status).join(t["users"].select(F.col("user_id").alias("buyer_id")), "buyer_id", "left_semi")
+    return page_meta(known, page, limit)
+
+
 def admin_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None) -> DataFrame:
     """All orders with buyer and payment, newest first."""
     orders, order = _orders(t, status), newest_first("order_id")

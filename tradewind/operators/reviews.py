@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import newest_first
-from ..plans.paging import page_per_key
+from ..plans.paging import key_meta, page_per_key
 from .items import KINDS, item_id
 
 
-def item_reviews(t, kind: str, page: int | None = 1, limit: int | None = None, ids=None) -> DataFrame:
-    """The same page of every item's reviews, newest first, with the reviewer's name and avatar."""
+def _of_items(t, kind: str, ids) -> tuple[DataFrame, DataFrame]:
+    """Reviews of the items whose reviewer is known, and the reviewers."""
     key = KINDS[kind][1]
     reviews = t["reviews"].filter(F.col(key).isNotNull())
     if ids is not None:
@@ -17,9 +17,20 @@ def item_reviews(t, kind: str, page: int | None = 1, limit: int | None = None, i
         F.col("user_id").alias("reviewer_id"), F.col("name").alias("reviewer_name"),
         F.col("avatar_url").alias("reviewer_avatar"),
     )
-    known = reviews.join(reviewers.select("reviewer_id"), "reviewer_id", "left_semi")
-    chosen = page_per_key(known, key, newest_first("review_id"), page, limit)
-    return chosen.join(reviewers, "reviewer_id")
+    return reviews.join(reviewers.select("reviewer_id"), "reviewer_id", "left_semi"), reviewers
+
+
+def item_reviews(t, kind: str, page: int | None = 1, limit: int | None = None, ids=None) -> DataFrame:
+    """The same page of every item's reviews, newest first, with the reviewer's name and avatar; page=None: all."""
+    known, reviewers = _of_items(t, kind, ids)
+    if page is not None:
+        known = page_per_key(known, KINDS[kind][1], newest_first("review_id"), page, limit)
+    return known.join(reviewers, "reviewer_id")
+
+
+def item_reviews_meta(t, kind: str, page: int | None = 1, limit: int | None = None, ids=None) -> DataFrame:
+    """Total and number of pages of every item's reviews; items without reviews are absent."""
+    return key_meta(_of_items(t, kind, ids)[0], KINDS[kind][1], page, limit)
 
 
 def reviewed_keys(t, reviewer=None) -> DataFrame:

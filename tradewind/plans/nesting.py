@@ -2,49 +2,19 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpoint_dir
-
-MAX_LINES = 10_000
-# A list of oversized parents up to this long is broadcast (a few short columns, some MB).
-BROADCAST_ROWS = 100_000
-
-
-def number_parts(lines: DataFrame, keys: list[str], line_id: str, max_lines: int = MAX_LINES) -> DataFrame:
-    """Cuts parents with more than max_lines lines into several parts, numbered by a column items_part.
-
-    The sizes are counted first, over the key columns only and with map-side combine. Nearly always no parent is
-    oversized; then the lines stay as they are. Otherwise the counted list is broadcast if it is short and joined by
-    shuffle if it is not.
-    """
-    checkpoint_dir(lines.sparkSession)
-    oversized = (
-        lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lines"))
-        .filter(F.col("_lines") > max_lines)
-        .select(*keys, F.ceil(F.col("_lines") / F.lit(max_lines)).cast("bigint").alias("_parts"))
-        .checkpoint()
-    )
-    found = oversized.count()
-    if found == 0:
-        return lines
-    side = F.broadcast(oversized) if found <= BROADCAST_ROWS else oversized
-    part = F.coalesce(F.pmod(F.xxhash64(line_id), F.col("_parts")), F.lit(0)).cast("int")
-    return lines.join(side, keys, "left").withColumn("items_part", part).drop("_parts")
-
 
 def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal") -> DataFrame:
-    """One row per parent, or per part of it: sorted items array, its length, its amount, and items_part.
+    """One row per parent: sorted items array, its length and its amount.
 
-    Collecting does not shrink anything before the shuffle, so the plain lines are shuffled and collected once
-    behind it, instead of collecting in every map task and merging the pieces.
+    A parent is always one row, whatever the number of its lines; whoever expects parents too large for one value
+    reads the lines as rows instead. Collecting does not shrink anything before the shuffle, so the plain lines are
+    shuffled and collected once behind it, instead of collecting in every map task and merging the pieces.
     """
-    in_parts = "items_part" in lines.columns
-    group = [*keys, "items_part"] if in_parts else keys
-    nested = lines.repartition(*group).groupBy(*group).agg(
+    return lines.repartition(*keys).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*element))).alias("items"),
         F.count(F.lit(1)).alias("item_count"),
         F.sum(amount).cast("decimal(22,2)").alias("items_total"),
     )
-    return nested if in_parts else nested.withColumn("items_part", F.lit(0))
 
 
 def attach(parents: DataFrame, nested: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +23,6 @@ def attach(parents: DataFrame, nested: DataFrame, keys: list[str]) -> DataFrame:
     return (
         parents.join(nested, keys, "left")
         .withColumn("items", F.coalesce("items", empty))
-        .withColumn("items_part", F.coalesce("items_part", F.lit(0)))
         .withColumn("item_count", F.coalesce("item_count", F.lit(0).cast("bigint")))
         .withColumn("items_total", F.coalesce("items_total", F.lit(0).cast("decimal(22,2)")))
     )

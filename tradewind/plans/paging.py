@@ -42,19 +42,27 @@ def take_page(df: DataFrame, order: list[Column], page: int | None = None, limit
     wanted = page_of(page, limit)
     if wanted.last <= deep_page:
         return df.orderBy(*order).offset(wanted.first).limit(wanted.limit)
+    return _numbered_page(df, order, wanted)
+
+
+def _numbered_page(df: DataFrame, order: list[Column], wanted: Page) -> DataFrame:
     numbered = dense_sequence(df, order, "_position")
-    return numbered.filter(F.col("_position").between(wanted.first + 1, wanted.last)).drop("_position")
+    return numbered.filter(F.col("_position").between(wanted.first + 1, wanted.last)).orderBy("_position").drop("_position")
 
 
 def page_with_parent(df: DataFrame, parents: DataFrame, key: str, order: list[Column], page: int | None = None,
                      limit: int | None = None) -> DataFrame:
+    """One page of the rows whose key is found in parents."""
+    return rows_with_parent(df, parents, key, order, page_of(page, limit))
+
+
+def rows_with_parent(df: DataFrame, parents: DataFrame, key: str, order: list[Column], wanted: Page) -> DataFrame:
     """One page of the rows whose key is found in parents, without joining all rows.
 
     The first offset+limit rows are taken with a top-k. If all of them have a parent, as a declared reference
     promises, the page is among them and nothing was shuffled. If one has none, the rows are joined after all.
     Everything broadcast here is bounded by the page.
     """
-    wanted = page_of(page, limit)
     if wanted.last <= NEAR_PAGE:
         checkpoint_dir(df.sparkSession)
         first = df.orderBy(*order).limit(wanted.last).checkpoint()
@@ -62,22 +70,26 @@ def page_with_parent(df: DataFrame, parents: DataFrame, key: str, order: list[Co
         found = parents.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
         if first.join(F.broadcast(found), key, "left_anti").isEmpty():
             return first.orderBy(*order).offset(wanted.first).limit(wanted.limit)
-    return take_page(df.join(parents.select(key), key, "left_semi"), order, page, limit)
+    known = df.join(parents.select(key), key, "left_semi")
+    if wanted.last <= DEEP_PAGE:
+        return known.orderBy(*order).offset(wanted.first).limit(wanted.limit)
+    return _numbered_page(known, order, wanted)
+
+
+def _meta(wanted: Page) -> list[Column]:
+    pages = F.ceil(F.col("total") / F.lit(wanted.limit)).cast("bigint")
+    return [F.col("total"), F.lit(wanted.page).alias("page"), F.lit(wanted.limit).alias("limit"), pages.alias("total_pages")]
+
+
+def key_meta(df: DataFrame, key: str, page: int | None = None, limit: int | None = None) -> DataFrame:
+    """Per key: total, page, limit, total_pages. Counted with map-side combine, without ranking the rows."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("total")).select(key, *_meta(page_of(page, limit)))
 
 
 def page_meta(df: DataFrame, page: int | None = None, limit: int | None = None) -> DataFrame:
     """One row: total, page, limit, total_pages. A separate count, so that the page itself stays a top-k."""
     wanted = page_of(page, limit)
-    return df.agg(F.count(F.lit(1)).alias("total")).select(
-        "total",
-        F.lit(wanted.page).alias("page"),
-        F.lit(wanted.limit).alias("limit"),
-        F.ceil(F.col("total") / F.lit(wanted.limit)).cast("bigint").alias("total_pages"),
-    )
-
-
-def paginate(df: DataFrame, order: list[Column], page: int | None = None, limit: int | None = None):
-    return take_page(df, order, page, limit), page_meta(df, page, limit)
+    return df.agg(F.count(F.lit(1)).alias("total")).select(*_meta(wanted))
 
 
 def page_per_key(df: DataFrame, key: str | list[str], order: list[Column], page: int | None = None,

@@ -1,11 +1,14 @@
 """Judging a batch of requests and folding it per key."""
 
-from functools import reduce
+import inspect
+from collections.abc import Callable
+from functools import reduce, wraps
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import request_order
+from ..session import checkpoint_dir
 
 
 class Change(NamedTuple):
@@ -16,6 +19,40 @@ class Change(NamedTuple):
     rejected: DataFrame
 
 
+def once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(one row per request_id, rejections of the others), read from a checkpoint so that the batch is run once.
+
+    A client's retry or a file delivered twice repeats an id. The earliest row by time counts, then the smallest hash
+    of the row. Ids that occur once, nearly always all of them, are found by counts that combine in the map tasks.
+    """
+    checkpoint_dir(requests.sparkSession)
+    tie = F.struct("request_ts", F.xxhash64(*requests.columns), F.monotonically_increasing_id())
+    batch = requests.withColumn("_copy", tie).checkpoint()
+    repeated = batch.filter("request_id is not null").groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("_copies"), F.min("_copy").alias("_first")).filter("_copies > 1").drop("_copies")
+    if repeated.isEmpty():
+        return batch.drop("_copy"), None
+    marked = batch.join(repeated.checkpoint(), "request_id", "left")
+    later = F.coalesce(F.col("_copy") != F.col("_first"), F.lit(False))
+    marked = marked.withColumn("_later", later).select(*requests.columns, "_later").checkpoint()
+    extra = marked.filter("_later").withColumn("reason", F.lit("duplicate_request"))
+    return marked.filter("not _later").drop("_later"), rejections(extra)
+
+
+def one_row_per_request(operator: Callable[..., Change]) -> Callable[..., Change]:
+    """A change operator that gets its `requests` from `once`, and lists the repeated ones as rejected."""
+    signature = inspect.signature(operator)
+
+    @wraps(operator)
+    def run(*args, **named) -> Change:
+        bound = signature.bind(*args, **named)
+        bound.arguments["requests"], repeated = once(bound.arguments["requests"])
+        change = operator(*bound.args, **bound.kwargs)
+        return change if repeated is None else change._replace(rejected=change.rejected.unionByName(repeated))
+
+    return run
+
+
 def first_reason(*checks: tuple[Column, str]) -> Column:
     """Reason of the first check that holds, NULL when none does. A check that is NULL does not hold."""
     (condition, reason), *rest = checks

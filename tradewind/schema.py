@@ -172,6 +172,10 @@ UNIQUE = [("users", "email"), ("categories", "name"), ("cart", "buyer_id"), ("pa
 TOUCHED = ["users", "pets", "products", "cart", "orders", "payments"]
 
 
+# The largest amount that a money column takes, the largest quantity.
+MAX_MONEY, MAX_INT = "9999999999.99", 2_147_483_647
+
+
 class Reference(NamedTuple):
     table: str
     column: str

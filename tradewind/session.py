@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 # groups by the key it has just joined on; without it a key that most requests name stays in one task.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
+    # an overflow that no check has caught is an error, not a silent NULL
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,6 +36,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # rounds leave a copy of their state each; what nothing refers to any more is deleted
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # recording the call site of every column expression costs more than building small plans
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

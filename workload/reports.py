@@ -190,7 +190,7 @@ def checkout_quote(spark, sf_dir) -> DataFrame:
 def _flat(rows: DataFrame, *fields: str) -> DataFrame:
     line = lambda item: F.concat_ws("/", *[item[f].cast("string") for f in fields])
     text = F.array_join(F.array_sort(F.transform("items", line)), ";")
-    return rows.withColumn("items_text", text).drop("items", "items_part")
+    return rows.withColumn("items_text", text).drop("items")
 
 
 _NAMED = """SELECT l.*, i.name, i.image_url FROM m_order_items l
@@ -262,6 +262,50 @@ def payment_lookup(spark, sf_dir) -> DataFrame:
     return orders.payment_lookup(marketplace(spark, sf_dir))
 
 
+_META = "{key}, count(*) AS total, {page} AS page, {limit} AS \"limit\", CAST(ceil(count(*) / {limit}.0) AS BIGINT) AS total_pages"
+
+
+def _meta(key: str, page: int, limit: int) -> str:
+    return _META.format(key=key, page=page, limit=limit)
+
+
+@query("order_lines", sql("""SELECT l.order_id, l.order_item_id, l.item_type, l.pet_id, l.product_id, l.quantity, l.unit_price, l.subtotal,
+  l.name, l.image_url, l.seller_id, s.name AS seller_name FROM named l LEFT JOIN m_users s ON s.user_id = l.seller_id""", named=_NAMED))
+def order_lines(spark, sf_dir) -> DataFrame:
+    return orders.order_lines(marketplace(spark, sf_dir))
+
+
+@query("buyer_orders_meta", sql(f"SELECT {_meta('buyer_id', 2, 5)} FROM m_orders GROUP BY buyer_id"))
+def buyer_orders_meta(spark, sf_dir) -> DataFrame:
+    return orders.buyer_orders_meta(marketplace(spark, sf_dir), page=2, limit=5)
+
+
+@query("seller_orders_meta", sql(f"""SELECT {_meta('seller_id', 1, 12)} FROM (
+  SELECT DISTINCT l.seller_id, l.order_id FROM m_order_items l JOIN m_orders o ON o.order_id = l.order_id
+  JOIN m_users u ON u.user_id = o.buyer_id) GROUP BY seller_id"""))
+def seller_orders_meta(spark, sf_dir) -> DataFrame:
+    return orders.seller_orders_meta(marketplace(spark, sf_dir))
+
+
+@query("admin_orders_meta", sql("""SELECT count(*) AS total, 3 AS page, 100 AS "limit",
+  CAST(ceil(count(*) / 100.0) AS BIGINT) AS total_pages
+  FROM m_orders o JOIN m_users u ON u.user_id = o.buyer_id WHERE o.status = 'shipped'"""))
+def admin_orders_meta(spark, sf_dir) -> DataFrame:
+    return orders.admin_orders_meta(marketplace(spark, sf_dir), status="shipped", page=3, limit=100)
+
+
+@query("list_products_meta", sql("""SELECT count(*) AS total, 1 AS page, 24 AS "limit",
+  CAST(ceil(count(*) / 24.0) AS BIGINT) AS total_pages FROM m_products p JOIN m_users u ON u.user_id = p.seller_id
+  WHERE p.is_active AND p.category_id = 3"""))
+def list_products_meta(spark, sf_dir) -> DataFrame:
+    return catalog.list_products_meta(marketplace(spark, sf_dir), catalog.ItemFilters(category_id=3), limit=24)
+
+
+@query("seller_products_meta", sql(f"SELECT {_meta('seller_id', 1, 12)} FROM m_products WHERE is_active GROUP BY seller_id"))
+def seller_products_meta(spark, sf_dir) -> DataFrame:
+    return catalog.seller_products_meta(marketplace(spark, sf_dir))
+
+
 # --- earnings and dashboard
 
 _BY_STATUS = """SELECT o.status, count(*) AS order_count, count(DISTINCT o.order_id) AS distinct_orders,
@@ -361,6 +405,18 @@ def item_reviews(spark, sf_dir) -> DataFrame:
     return reviews.item_reviews(t, "pet").unionByName(reviews.item_reviews(t, "product"))
 
 
+@query("item_reviews_all", sql(f"{_REVIEW.format(view='m_reviews')} WHERE r.pet_id IS NOT NULL OR r.product_id IS NOT NULL"))
+def item_reviews_all(spark, sf_dir) -> DataFrame:
+    t = marketplace(spark, sf_dir)
+    return reviews.item_reviews(t, "pet", page=None).unionByName(reviews.item_reviews(t, "product", page=None))
+
+
+@query("item_reviews_meta", sql(f"""SELECT {_meta('pet_id', 1, 3)} FROM m_reviews r JOIN m_users u ON u.user_id = r.reviewer_id
+  WHERE pet_id IS NOT NULL GROUP BY pet_id"""))
+def item_reviews_meta(spark, sf_dir) -> DataFrame:
+    return reviews.item_reviews_meta(marketplace(spark, sf_dir), "pet", limit=3)
+
+
 @query("reviewed_keys", sql("""SELECT reviewer_id, 'order:' || coalesce(order_id, 'null') || CASE WHEN item_type = 'pet'
   THEN ':pet:' || coalesce(pet_id, 'null') ELSE ':product:' || coalesce(product_id, 'null') END AS review_key
   FROM m_reviews"""))
