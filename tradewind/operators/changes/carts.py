@@ -101,7 +101,7 @@ def _within_int(t, judged: DataFrame) -> DataFrame:
 
 @one_row_per_request
 def edit_cart(t, requests: DataFrame) -> Change:
-    """Set a line's quantity, remove a line, or clear the cart.
+    """Set a line's quantity, remove a line, or clear the cart; a buyer without a cart gets an empty one.
 
     In batch order: a line is gone from its first removal or from the first clearing of its cart on, and later
     requests for it are not_found; before that the last quantity holds. Both limits are map-side minima.
@@ -111,6 +111,12 @@ def edit_cart(t, requests: DataFrame) -> Change:
         t["cart"].select(F.col("buyer_id").alias("actor_id"), "cart_id"), ["actor_id"],
     )
     op = F.col("op")
+    # whatever a buyer asks of a cart, one is made if there is none
+    new_carts = (
+        ordered.filter((F.col("actor_role") == "buyer") & F.col("actor_id").isNotNull() & F.col("cart_id").isNull())
+        .groupBy(F.col("actor_id").alias("buyer_id")).agg(F.min("request_ts").alias("created_at"))
+        .select(new_id("cart", "buyer_id").alias("cart_id"), "buyer_id", "created_at", F.col("created_at").alias("updated_at"))
+    )
     ordered = ordered.withColumn("reason", first_reason(
         (F.coalesce(F.col("actor_role") != "buyer", F.lit(True)), "forbidden"),
         (~F.coalesce(op.isin("set", "remove", "clear"), F.lit(False)), "bad_enum"),
@@ -144,4 +150,8 @@ def edit_cart(t, requests: DataFrame) -> Change:
         .filter(~F.coalesce("_gone", F.lit(False)) & F.col("_emptied").isNull())
         .withColumn("quantity", F.coalesce("_quantity", "quantity"))
     )
-    return Change({"cart_items": state.select(*t["cart_items"].columns)}, accepted, late.unionByName(refused))
+    tables = {
+        "cart": t["cart"].unionByName(new_carts, allowMissingColumns=True),
+        "cart_items": state.select(*t["cart_items"].columns),
+    }
+    return Change(tables, accepted, late.unionByName(refused))

@@ -7,13 +7,16 @@ from ..functions.money import TOTAL, platform_fee, seller_share, total_of
 from .people import setting
 
 
-def _order_sums(t, *keys: str, orders: DataFrame | None = None) -> DataFrame:
+def _order_sums(t, *keys: str, orders: DataFrame | None = None, orders_since=None) -> DataFrame:
     """Gross amount and lines per order (and seller): combined map-side, one row per group afterwards.
 
     With one row per order the later joins do not multiply rows and distinct orders become a plain count. Given
     `orders`, only their lines are read and summed: they meet on order_id, which the sums then need no exchange for.
     """
-    lines = t["order_items"].select("order_id", *keys, "subtotal")
+    lines = t["order_items"]
+    if orders is not None and "month" in lines.columns:  # partition column of a written snapshot
+        lines = lines.filter(F.col("month") >= orders_since) if orders_since is not None else lines
+    lines = lines.select("order_id", *keys, "subtotal")
     if orders is not None:
         lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
     return lines.groupBy("order_id", *keys).agg(
@@ -85,11 +88,12 @@ def earnings_monthly(t, as_of: str) -> DataFrame:
     """Delivered orders of the 12 months before as_of, per month: orders and fee. Months without orders are absent."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 12 MONTHS")
     orders = t["orders"].filter((F.col("status") == "delivered") & (F.col("created_at") >= since))
+    first = F.date_format(since, "yyyy-MM")
     if "month" in orders.columns:  # partition column of a written snapshot
-        orders = orders.filter(F.col("month") >= F.date_format(since, "yyyy-MM"))
+        orders = orders.filter(F.col("month") >= first)
     orders = orders.select("order_id", F.date_format("created_at", "yyyy-MM").alias("month"))
     return (
-        _order_sums(t, orders=orders).join(orders, "order_id").groupBy("month").agg(
+        _order_sums(t, orders=orders, orders_since=first).join(orders, "order_id").groupBy("month").agg(
             F.count(F.lit(1)).alias("order_count"), total_of("gross").alias("gross_subtotal"),
         )
         .withColumn("platform_fee", platform_fee(F.col("gross_subtotal"), setting(t, "platform_fee_percent")))

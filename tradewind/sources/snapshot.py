@@ -8,19 +8,25 @@ CLUSTER_BY = {
     "order_items": "order_id", "payments": "order_id", "reviews": "product_id",
 }
 
+# Tables whose rows belong to an order, and lie in the folder of its month.
+MONTHLY = ("order_items", "payments")
+
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, format: str = "parquet") -> None:
-    """One folder per table; orders are partitioned by month, which serves the monthly reports.
+    """One folder per table; orders, their lines and payments are partitioned by the order's month.
 
+    Monthly reports read the folders of their months. A line or payment without an order has the month of none.
     Rows are ranged on the cluster column together with the row's key, so a column value with most of the rows
     spreads over several files. Write to a new folder and switch readers to it when this returns.
     """
+    if "orders" in tables:
+        months = tables["orders"].select("order_id", F.date_format("created_at", "yyyy-MM").alias("month"))
     for table, df in tables.items():
         location = f"{path.rstrip('/')}/{table}"
         cluster = CLUSTER_BY.get(table)
         key = df.columns[0]
-        if table == "orders":
-            df = df.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+        if table == "orders" or table in MONTHLY and "orders" in tables:
+            df = df.withColumn("month", F.date_format("created_at", "yyyy-MM")) if table == "orders" else df.join(months, "order_id", "left")
             arranged = df.repartitionByRange("month", cluster, key).sortWithinPartitions("month", cluster, key)
             arranged.write.mode("overwrite").partitionBy("month").format(format).save(location)
         elif cluster:

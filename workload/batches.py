@@ -547,6 +547,14 @@ def stream_payments(spark, sf_dir) -> DataFrame:
     return _payment_state(payments_stream(t, _payment_updates(events), work_folder(spark, "payments"), _now()))
 
 
+@query("payments_stream_rejected", sql(_rejected("judged"), **_PAY))
+def stream_payments_rejected(spark, sf_dir) -> DataFrame:
+    """What the stream refuses is what the batch refuses."""
+    t = marketplace(spark, sf_dir)
+    events = spark.readStream.schema(t.raw("events").schema).parquet(f"{sf_dir}/events*.parquet")
+    return payments_stream(t, _payment_updates(events), work_folder(spark, "payments"), _now())["rejected"]
+
+
 # --- reviews: one request per order line
 
 _REVIEW = {
