@@ -36,6 +36,10 @@ def serve_one_by_one(stock, active, carts, requests):
             outcome[r["request_id"]] = "not_found"
         elif any(stock[i] < n for i, n in wanted.items()):
             outcome[r["request_id"]] = "out_of_stock"
+        elif len(r.get("shipping_postal") or "") > 20:
+            outcome[r["request_id"]] = "constraint"
+        elif (r.get("payment_method") or "transfer") not in ("transfer", "ewallet", "cod"):
+            outcome[r["request_id"]] = "bad_enum"
         else:
             outcome[r["request_id"]] = "accepted"
             for i, n in wanted.items():
@@ -67,6 +71,8 @@ def random_batch(seed):
             "request_id": f"q{n:03d}", "request_ts": at(rng.randint(0, 20)), "actor_id": buyer,
             "actor_role": "seller" if rng.random() < 0.05 else "buyer",
             "shipping_address": "" if rng.random() < 0.05 else "home", "items": direct,
+            "shipping_postal": rng.choice([None, "1" * 20, "1" * 20, "1" * 40]) if rng.random() < 0.5 else "",
+            "payment_method": rng.choice([None, "", "cod", "cheque"]),
         })
     return stock, active, carts, requests
 

@@ -7,7 +7,7 @@ from ...functions import blank
 from ...functions.money import MONEY, TOTAL
 from ...plans.requests import Change, first_reason, new_id, one_row_per_request, rejections, touch
 from ...plans.sequence import ordered_blocks
-from ...plans.serving import serve
+from ...plans.serving import serve, short_of
 from ...plans.skew import look_up, merge_facts
 from ..cart import priced
 from ..items import ITEM_KEY, KINDS, item_id, item_view
@@ -26,7 +26,7 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
     served = _prepare(requests)
     refused = served.filter("reason is not null")
     numbered = ordered_blocks(served.filter("reason is null").drop("reason"), [F.col("request_ts"), F.col("request_id")])
-    sound, followers = _leaders(numbered)
+    sound, followers = _leaders(numbered.filter("doom is null").drop("doom"))
     lines = _lines(t, sound).checkpoint(eager=True)
 
     judged = _with_fixed_reason(t, sound, lines).checkpoint(eager=True)
@@ -51,7 +51,8 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
         fates, ["actor_id"], from_batch=True,
     ).withColumn("reason", F.when(F.col("direct"), F.coalesce("reason", F.lit("out_of_stock")))
                  .when(F.col("_emptied") < F.col("seq"), F.lit("empty_cart")).otherwise(F.col("_leader_reason")))
-    rejected = rejections(refused).unionByName(rejections(late))
+    doomed = _doomed(t, numbered.filter("doom is not null"), accepted.select("request_id"), lines, emptied)
+    rejected = rejections(refused).unionByName(rejections(late)).unionByName(rejections(doomed))
 
     sold = lines.join(accepted.select("request_id"), "request_id", "left_semi")
     orders = _new_orders(t, accepted, sold)
@@ -82,6 +83,11 @@ def _prepare(requests: DataFrame) -> DataFrame:
             (F.coalesce(F.col("actor_role") != "buyer", F.lit(True)), "forbidden"),
             (blank("shipping_address"), "missing_field"),
         ))
+        # faults of the request itself that only show when the order, and then its payment, is written
+        .withColumn("doom", first_reason(
+            (breaks_rules("orders", ["shipping_city", "shipping_postal"]), "constraint"),
+            (~F.col("payment_method").isin(schema.PAYMENT_METHODS), "bad_enum"),
+        ))
     )
 
 
@@ -138,12 +144,34 @@ def _with_fixed_reason(t, sound: DataFrame, lines: DataFrame) -> DataFrame:
         (F.col("n").isNull(), "empty_cart"),
         (F.col("unknown"), "not_found"),
         (F.col("short"), "out_of_stock"),
-        (F.col("odd") | too_large | breaks_rules("orders", ["shipping_city", "shipping_postal"]), "constraint"),
-        # the order is written before its payment, whose method then fails the request as a whole
-        (~F.col("payment_method").isin(schema.PAYMENT_METHODS), "bad_enum"),
+        (F.col("odd") | too_large, "constraint"),
     )).drop("unknown", "short", "odd", "n", "amount", "largest")
 
 
+def _doomed(t, doomed: DataFrame, accepted: DataFrame, lines: DataFrame, emptied: DataFrame) -> DataFrame:
+    """Requests that cannot be written, with the reason that a one-by-one service comes to first.
+
+    They take nothing, so they need not compete; what they find depends on the orders accepted before them.
+    """
+    if doomed.isEmpty():
+        return doomed.withColumn("reason", F.col("doom"))
+    wishes = _lines(t, doomed).checkpoint(eager=True)
+    judged = _with_fixed_reason(t, doomed, wishes)
+    need = lambda rows: rows.groupBy("request_id", "seq", "block", F.concat_ws(":", *ITEM_KEY).alias("resource")).agg(
+        F.sum("quantity").alias("need"), F.max("stock").cast("bigint").alias("capacity"))
+    short = short_of(need(wishes), need(lines.join(accepted, "request_id", "left_semi"))).withColumn("_short", F.lit(True))
+    known = look_up(judged.join(short, "request_id", "left"), emptied, ["actor_id"], from_batch=True)
+    early = F.col("reason").isin("empty_cart", "not_found")
+    return known.withColumn("reason", first_reason(
+        (~F.col("direct") & (F.col("_emptied") < F.col("seq")), "empty_cart"),
+        (F.coalesce(early & (F.col("reason") == "empty_cart"), F.lit(False)), "empty_cart"),
+        (F.coalesce(early, F.lit(False)), "not_found"),
+        (F.col("_short") | (F.col("reason") == "out_of_stock"), "out_of_stock"),
+        (F.col("reason").isNotNull() | (F.col("doom") == "constraint"), "constraint"),
+        (F.col("doom").isNotNull(), "bad_enum"),
+    ))
+
+
 def _demands(feasible: DataFrame, lines: DataFrame) -> DataFrame:
     """What requests compete for: pieces of an item, and the one filling of a buyer's cart.
 

@@ -62,3 +62,29 @@ def _round(state: DataFrame) -> DataFrame:
         """,
         state=state,
     )
+
+
+def short_of(wishes: DataFrame, taken: DataFrame) -> DataFrame:
+    """request_ids of wishes that exceed what the taken demands of earlier requests leave of some resource.
+
+    Both as request_id, seq, block, resource, need, capacity. Sums go per block first, as in a round.
+    """
+    return wishes.sparkSession.sql(
+        """
+        WITH both AS (
+          SELECT request_id, seq, block, resource, need, capacity, 0L AS used FROM {wishes}
+          UNION ALL SELECT NULL, seq, block, resource, 0L, NULL, need FROM {taken}
+        ), sums AS (
+          SELECT resource, block, sum(used) AS used FROM both GROUP BY resource, block
+        ), blocks AS (
+          SELECT resource, block, coalesce(sum(used) OVER (PARTITION BY resource ORDER BY block
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start FROM sums
+        ), measured AS (
+          SELECT request_id, need, capacity, block_start + coalesce(sum(used) OVER (PARTITION BY resource, block
+                 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM both JOIN blocks USING (resource, block)
+        )
+        SELECT DISTINCT request_id FROM measured WHERE request_id IS NOT NULL AND before + need > capacity
+        """,
+        wishes=wishes, taken=taken,
+    )
