@@ -702,31 +702,130 @@ def create_categories_rejected(spark, sf_dir) -> DataFrame:
     return _categories_change(spark, sf_dir).rejected
 
 
-# --- checkout of every cart
+# --- checkout of every cart, among requests that name their items
+
+# A service that takes one request after the other: a recursion over the requests in order, which carries what was
+# sold per item and whose cart was emptied.
+_CHECKOUT = {
+    "c_requests": """SELECT 'O' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS request_id, 'C' || c_custkey AS actor_id, false AS direct,
+  TIMESTAMP '1995-01-01 00:00:00' + to_minutes(CAST(trunc(c_acctbal) AS INTEGER)) AS request_ts,
+  CASE WHEN c_nationkey = 0 THEN '' ELSE 'street ' || c_custkey END AS address, c_custkey % 17 = 0 AS bad_postal,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'cheque' WHEN 'MACHINERY' THEN 'cod' ELSE 'transfer' END AS method FROM customer
+  UNION ALL SELECT 'D' || lpad(CAST(event_id AS VARCHAR), 12, '0'), 'C' || user_id, true,
+  TIMESTAMP '1995-01-01 00:00:00' + to_minutes(CAST(event_id % 9000 AS INTEGER)), 'home', event_id % 13 = 0,
+  CASE WHEN event_id % 11 = 0 THEN 'cheque' ELSE 'ewallet' END FROM events WHERE event_type = 'purchase'""",
+    "c_named": """SELECT request_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'k': k, 'n': 1 + event_id % 3}, {'k': k + 4, 'n': 1}]
+  ELSE [{'k': k, 'n': 1 + event_id % 3}] END, recursive := true) FROM (
+  SELECT 'D' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS request_id, event_id,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'purchase')""",
+    "c_lines": """SELECT request_id, direct, item_type, coalesce(pet_id, product_id) AS item_id, CAST(quantity AS BIGINT) AS quantity
+  FROM c_requests JOIN m_cart ON buyer_id = actor_id JOIN m_cart_items USING (cart_id) WHERE NOT direct
+  UNION ALL SELECT request_id, true, CASE WHEN k % 4 = 0 THEN 'pet' ELSE 'product' END, CAST(k AS VARCHAR), n FROM c_named""",
+    "c_priced": """SELECT l.*, i.price, i.seller_id, i.is_active, CAST(p_size AS BIGINT) AS pieces FROM c_lines l
+  LEFT JOIN m_items i ON i.item_type = l.item_type AND i.item_id = l.item_id LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = l.item_id""",
+    "c_wanted": """SELECT request_id, bool_or(price IS NULL OR (direct AND NOT is_active)) AS unknown, sum(price * quantity) AS subtotal,
+  list({'key': item_type || ':' || item_id, 'need': quantity, 'pieces': pieces}) AS lines
+  FROM (SELECT request_id, direct, item_type, item_id, price, is_active, pieces, CAST(sum(quantity) AS BIGINT) AS quantity
+        FROM c_priced GROUP BY ALL) GROUP BY request_id""",
+    "c_steps": """SELECT row_number() OVER (ORDER BY request_ts, request_id) AS seq, r.*, w.lines, w.unknown, w.subtotal
+  FROM c_requests r LEFT JOIN c_wanted w USING (request_id)""",
+    "c_run": """SELECT CAST(0 AS BIGINT) AS seq, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS sold, CAST(NULL AS VARCHAR) AS outcome
+  UNION ALL SELECT seq, CASE WHEN outcome = 'accepted' THEN map_concat(sold, map_from_entries(list_append(
+    [{'k': l.key, 'v': l.need + coalesce(sold[l.key], 0)} for l in lines], {'k': 'cart:' || actor_id, 'v': CAST(1 AS BIGINT)}))) ELSE sold END, outcome
+  FROM (SELECT s.seq, sold, lines, actor_id, CASE WHEN address = '' THEN 'missing_field'
+    WHEN lines IS NULL OR (NOT direct AND sold['cart:' || actor_id] IS NOT NULL) THEN 'empty_cart' WHEN unknown THEN 'not_found'
+    WHEN len([1 for l in lines if coalesce(sold[l.key], 0) + l.need > l.pieces]) > 0 THEN 'out_of_stock'
+    WHEN bad_postal THEN 'constraint' WHEN method NOT IN ('transfer', 'ewallet', 'cod') THEN 'bad_enum' ELSE 'accepted' END AS outcome
+    FROM c_run r JOIN c_steps s ON s.seq = r.seq + 1)""",
+    "c_done": """SELECT s.*, r.outcome, sha256('order:' || request_id) AS order_id FROM c_steps s
+  JOIN (SELECT seq, outcome FROM c_run) r ON r.seq = s.seq""",
+}
+
+
+def _checkout_sql(body: str) -> str:
+    text = sql(body, **_CHECKOUT).replace("WITH ", "WITH RECURSIVE ", 1)
+    return text.replace("c_steps AS (", "c_steps AS MATERIALIZED (").replace("c_done AS (", "c_done AS MATERIALIZED (")
+
 
 def _checkout(spark, sf_dir):
     t = marketplace(spark, sf_dir, stock="p_size")
     customer = F.concat(F.lit("C"), text("c_custkey"))
-    requests = t.raw("customer").select(
-        F.concat(F.lit("O"), F.lpad(text("c_custkey"), 12, "0")).alias("request_id"),
-        (F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("c_acctbal").cast("int"))).alias("request_ts"),
+    at = lambda minutes: F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=minutes.cast("int"))
+    postal = lambda bad: F.when(bad, F.lit("9" * 40))
+    of_cart = t.raw("customer").select(
+        F.concat(F.lit("O"), F.lpad(text("c_custkey"), 12, "0")).alias("request_id"), at(F.col("c_acctbal")).alias("request_ts"),
         customer.alias("actor_id"), F.lit("buyer").alias("actor_role"),
         F.when(F.col("c_nationkey") == 0, "").otherwise(F.concat(F.lit("street "), text("c_custkey"))).alias("shipping_address"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "cheque").when(F.col("c_mktsegment") == "MACHINERY", "cod")
-        .alias("payment_method"),
+        postal(F.col("c_custkey") % 17 == 0).alias("shipping_postal"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "cheque").when(F.col("c_mktsegment") == "MACHINERY", "cod").alias("payment_method"),
+        F.lit(None).cast("array<struct<item_type:string,pet_id:string,product_id:string,quantity:int>>").alias("items"),
     )
-    return changes.checkout(t, requests, _now())
+    key, event = event_key().cast("bigint"), F.col("event_id")
+
+    def item(k, quantity):
+        pet, number = k % 4 == 0, k.cast("string")
+        return F.struct(F.when(pet, "pet").otherwise("product").alias("item_type"), F.when(pet, number).alias("pet_id"),
+                        F.when(~pet, number).alias("product_id"), quantity.cast("int").alias("quantity"))
+
+    first, second = item(key, 1 + event % 3), item(key + 4, F.lit(1))
+    direct = t.raw("events").filter("event_type = 'purchase'").select(
+        F.concat(F.lit("D"), F.lpad(text("event_id"), 12, "0")).alias("request_id"), at(event % 9000).alias("request_ts"),
+        F.concat(F.lit("C"), text("user_id")).alias("actor_id"), F.lit("buyer").alias("actor_role"), F.lit("home").alias("shipping_address"),
+        postal(event % 13 == 0).alias("shipping_postal"), F.when(event % 11 == 0, "cheque").otherwise("ewallet").alias("payment_method"),
+        F.when(event % 2 == 0, F.array(first, second)).otherwise(F.array(first)).alias("items"),
+    )
+    return changes.checkout(t, of_cart.unionByName(direct), _now()), t
 
 
-@query("checkout")
+@query("checkout", _checkout_sql("""SELECT order_id, actor_id AS buyer_id, CAST(subtotal + 15 AS DECIMAL(12,2)) AS total_price,
+  CAST(floor(subtotal * 0.1 + 0.5) AS DECIMAL(12,2)) AS platform_fee,
+  CAST(subtotal - floor(subtotal * 0.1 + 0.5) AS DECIMAL(12,2)) AS seller_payout, request_ts AS created_at
+  FROM c_done WHERE outcome = 'accepted'"""))
 def checkout(spark, sf_dir) -> DataFrame:
-    """Outcome of a checkout of every cart. One-by-one service has no practical SQL; tests compare it with a loop."""
-    change = _checkout(spark, sf_dir)
-    accepted = change.accepted.select(
-        F.col("buyer_id"), F.lit("accepted").alias("outcome"), "total_price", "platform_fee", "seller_payout")
-    buyer = F.concat(F.lit("C"), F.regexp_extract("request_id", r"^O0*([0-9]+)$", 1))
-    refused = change.rejected.select(buyer.alias("buyer_id"), F.col("reason").alias("outcome"))
-    return accepted.unionByName(refused, allowMissingColumns=True)
+    return _checkout(spark, sf_dir)[0].accepted.select(
+        "order_id", "buyer_id", "total_price", "platform_fee", "seller_payout", "created_at")
+
+
+@query("checkout_rejected", _checkout_sql("""SELECT request_id, request_ts, outcome AS reason FROM c_done WHERE outcome <> 'accepted'"""))
+def checkout_rejected(spark, sf_dir) -> DataFrame:
+    return _checkout(spark, sf_dir)[0].rejected
+
+
+@query("checkout_lines", _checkout_sql("""SELECT d.order_id, l.item_type, l.item_id, l.seller_id, CAST(l.quantity AS INTEGER) AS quantity,
+  l.price AS unit_price, CAST(l.price * l.quantity AS DECIMAL(12,2)) AS subtotal
+  FROM c_done d JOIN c_priced l USING (request_id) WHERE outcome = 'accepted'"""))
+def checkout_lines(spark, sf_dir) -> DataFrame:
+    change, _ = _checkout(spark, sf_dir)
+    lines = change.tables["order_items"].join(change.accepted.select("order_id"), "order_id", "left_semi")
+    return lines.select("order_id", "item_type", F.coalesce("pet_id", "product_id").alias("item_id"), "seller_id", "quantity", "unit_price", "subtotal")
+
+
+@query("checkout_payments", _checkout_sql("""SELECT order_id, CAST(subtotal + 15 AS DECIMAL(12,2)) AS amount, method, 'unpaid' AS status
+  FROM c_done WHERE outcome = 'accepted'"""))
+def checkout_payments(spark, sf_dir) -> DataFrame:
+    change, _ = _checkout(spark, sf_dir)
+    paid = change.tables["payments"].join(change.accepted.select("order_id"), "order_id", "left_semi")
+    return paid.select("order_id", "amount", "method", "status")
+
+
+@query("checkout_stock", _checkout_sql("""SELECT i.item_type, i.item_id, CAST(p_size - coalesce(gone, 0) AS INTEGER) AS stock FROM m_items i
+  JOIN part ON CAST(p_partkey AS VARCHAR) = i.item_id LEFT JOIN (SELECT item_type, item_id, sum(quantity) AS gone
+  FROM c_done JOIN c_lines USING (request_id) WHERE outcome = 'accepted' GROUP BY item_type, item_id) s
+  ON s.item_type = i.item_type AND s.item_id = i.item_id"""))
+def checkout_stock(spark, sf_dir) -> DataFrame:
+    tables = _checkout(spark, sf_dir)[0].tables
+    of = lambda kind: tables[f"{kind}s"].select(F.lit(kind).alias("item_type"), F.col(f"{kind}_id").alias("item_id"), "stock")
+    return of("pet").unionByName(of("product"))
+
+
+@query("checkout_carts", _checkout_sql("""SELECT c.cart_id, count(l.item_id) AS line_count FROM m_cart c LEFT JOIN (
+  SELECT * FROM m_cart_items WHERE cart_id NOT IN (SELECT cart_id FROM m_cart JOIN c_done ON actor_id = buyer_id
+  WHERE outcome = 'accepted')) l ON l.cart_id = c.cart_id GROUP BY c.cart_id"""))
+def checkout_carts(spark, sf_dir) -> DataFrame:
+    """Lines that every cart still has."""
+    change, t = _checkout(spark, sf_dir)
+    left = change.tables["cart_items"].groupBy("cart_id").agg(F.count(F.lit(1)).alias("n"))
+    return t["cart"].select("cart_id").join(left, "cart_id", "left").select("cart_id", F.coalesce("n", F.lit(0)).alias("line_count"))
 
 
 # --- sources and sinks
