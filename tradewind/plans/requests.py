@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import request_order
 from ..session import checkpoint_dir
+from .skew import batch_rows
 
 
 class Change(NamedTuple):
@@ -28,11 +29,13 @@ def once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     checkpoint_dir(requests.sparkSession)
     tie = F.struct("request_ts", F.xxhash64(*requests.columns), F.monotonically_increasing_id())
     batch = requests.withColumn("_copy", tie).checkpoint()
-    repeated = batch.filter("request_id is not null").groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min("_copy").alias("_first")).filter("_copies > 1").drop("_copies")
-    if repeated.isEmpty():
+    ids = batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("_copies"), F.min("_copy").alias("_first"))
+    twice = (F.col("_copies") > 1) & F.col("request_id").isNotNull()
+    rows, repeated = ids.agg(F.sum("_copies"), F.count(F.when(twice, 1))).first()
+    batch_rows.set(rows or 0)
+    if not repeated:
         return batch.drop("_copy"), None
-    marked = batch.join(repeated.checkpoint(), "request_id", "left")
+    marked = batch.join(ids.filter(twice).drop("_copies").checkpoint(), "request_id", "left")
     later = F.coalesce(F.col("_copy") != F.col("_first"), F.lit(False))
     marked = marked.withColumn("_later", later).select(*requests.columns, "_later").checkpoint()
     extra = marked.filter("_later").withColumn("reason", F.lit("duplicate_request"))
@@ -46,8 +49,12 @@ def one_row_per_request(operator: Callable[..., Change]) -> Callable[..., Change
     @wraps(operator)
     def run(*args, **named) -> Change:
         bound = signature.bind(*args, **named)
-        bound.arguments["requests"], repeated = once(bound.arguments["requests"])
-        change = operator(*bound.args, **bound.kwargs)
+        before = batch_rows.set(None)
+        try:
+            bound.arguments["requests"], repeated = once(bound.arguments["requests"])
+            change = operator(*bound.args, **bound.kwargs)
+        finally:
+            batch_rows.reset(before)
         return change if repeated is None else change._replace(rejected=change.rejected.unionByName(repeated))
 
     return run

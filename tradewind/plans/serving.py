@@ -26,9 +26,9 @@ def serve(requests: DataFrame, demands: DataFrame) -> DataFrame:
         chosen = judged.filter("fits")
         taken = taken.unionByName(chosen.select("request_id").distinct())
         used = chosen.groupBy("resource").agg(F.sum("need").alias("used"))
-        state = (judged.filter("not fits").drop("fits").join(used, "resource", "left")
-                 .withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used").checkpoint(eager=True))
-        before, left = left, state.count()
+        open_ones = judged.filter("not fits").drop("fits")
+        state = open_ones.join(used, "resource", "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
+        before, left = left, open_ones.count()
         if left >= before:
             raise RuntimeError(f"a round of serving decided none of {left} demands")
     return taken

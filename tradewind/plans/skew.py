@@ -1,5 +1,6 @@
 """Look-ups that stay balanced when one key holds a large share of the rows."""
 
+from contextvars import ContextVar
 from functools import reduce
 from operator import or_
 
@@ -12,6 +13,10 @@ MOST_HOT_KEYS = 100_000
 # Hash buckets of the cheap first check for hot keys.
 BUCKETS = 65_536
 
+# Rows of the batch that a change operator is working on. Its look-ups have no more, so that none of a batch up to
+# HOT_ROWS can have a hot key, and the keys of a larger one are counted.
+batch_rows: ContextVar[int | None] = ContextVar("batch_rows", default=None)
+
 
 def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
             from_batch: bool = False) -> DataFrame:
@@ -26,6 +31,9 @@ def look_up(requests: DataFrame, table: DataFrame, keys: list[str], hot_rows: in
     data. Their requests are spread by a salt and their table rows repeated per salt.
     """
     rows = table if from_batch else table.join(requests.select(*keys).distinct(), keys, "left_semi")
+    known = batch_rows.get()
+    if known is not None and known <= hot_rows:
+        return requests.join(rows, keys, "left")
     # rows per hash bucket: a few numbers per map task, and never less than the rows of a key in the bucket
     buckets = requests.groupBy(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket")).count()
     total, largest = buckets.agg(F.sum("count"), F.max("count")).first()
