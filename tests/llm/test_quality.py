@@ -4,11 +4,12 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tradewind.llm.cotraining import features, score_quality
+from tradewind.llm.cotraining import _fit_logistic, features, score_quality
 from tradewind.llm.decontaminate import _cut_out
 from tradewind.llm.common import words_of
 from tradewind.llm.queries import QUERIES
@@ -41,6 +42,20 @@ def test_held_out_accuracy(spark):
     assert right >= 0.97 * len(held_out)
 
 
+@pytest.mark.parametrize("gap", [0.0, 3.0, 30.0, 300.0])
+def test_calibration_converges_on_classes_that_nearly_separate(gap):
+    """Scores as on large tables: a rare class far from the other, columns of very different scale."""
+    dice = np.random.default_rng(7)
+    y = (dice.random(6_500) < 0.107).astype(float)
+    score = dice.normal(-4, 4, len(y)) + gap * y
+    x = np.column_stack([score, score / 45, dice.normal(0, 1, len(y)), np.zeros(len(y))])
+    beta = _fit_logistic(x, y)
+    p = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
+    assert np.isfinite(beta).all() and abs(p.mean() - y.mean()) < 0.01
+    best = max(((score > t) == y).mean() for t in np.quantile(score, np.linspace(0, 1, 500)))
+    assert ((p > 0.5) == y).mean() >= best - 0.01
+
+
 def test_without_labels_nothing_is_rejected(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", ""), (None, None, None, None, None)], SCHEMA)
     for labels in ([], [(1, 1, 0)], [(77, 1, None)]):

@@ -47,7 +47,7 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that a worker holds few texts at a time: at most `rows` rows, and `size` bytes or one row."""
     start = 0
     weights = np.zeros(batch.num_rows, np.int64)
@@ -63,17 +63,18 @@ def slices(batch: pa.RecordBatch, rows: int = 512, size: int = 4 << 20) -> Itera
         start += count
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], step: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[T.StructField], step: Callable[[pa.RecordBatch], list[pa.Array]],
+                size: int = 1 << 20) -> DataFrame:
     """Row-wise step over Arrow batches that keeps the input columns and adds `fields`.
 
-    `step(batch)` gets `slices` and returns one array per field. Input columns with a name of `fields` are replaced.
+    `step(batch)` gets `slices` of that size and returns one array per field. Input columns with a name of `fields` are replaced.
     """
     kept = without(df, [f.name for f in fields])
     schema = T.StructType([*kept.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=size):
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *step(batch)], [*batch.schema.names, *[f.name for f in fields]])
 

@@ -20,10 +20,12 @@ BUCKETS = TEXT_BUCKETS + PAGE_BUCKETS  # text view first
 LABELLED_ROWS = 20_000  # bound of the labelled sample, which goes to every executor
 ROUNDS = 2
 CONFIDENT = 0.97
+MIN_SURE = 20  # held-back documents that must confirm a view's sureness
 CALIBRATION = 3  # one labelled row in so many is held back from the counts to calibrate on
 DOC_TOKENS = 3_000  # a document with more features counts as so many
 MIN_Z, MAX_WEIGHT = 3.0, 4.0
 CHUNK = 1 << 12
+SLICE_BYTES = 1 << 20  # of text at once; its features take some 60 times as much
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -122,16 +124,31 @@ def _weigh(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients with the constant last; Newton steps, slightly regularised."""
-    x = np.column_stack([x, np.ones(len(x))])
-    beta, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * 0.05
-    ridge[-1, -1] = 1e-6
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        change = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
-        beta += np.clip(change, -5, 5)
-        if np.abs(change).max() < 1e-6:
+    """Coefficients with the constant last.
+
+    Newton steps on scaled columns. A step is halved until the penalised loss falls, since a full one overshoots
+    where the classes nearly separate; the penalty keeps the minimum finite there.
+    """
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    ridge, sign = np.append(np.ones(x.shape[1]), 1e-3), 2 * y - 1
+    loss = lambda b: np.logaddexp(0, -sign * (z @ b)).sum() + 0.5 * (ridge * b * b).sum()
+    beta = np.zeros(z.shape[1])
+    now = loss(beta)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+        gradient = z.T @ (p - y) + ridge * beta
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge), gradient)
+        size, slope = 1.0, float(gradient @ step)
+        while size > 1e-10 and loss(beta - size * step) > now - 1e-4 * size * slope:
+            size /= 2
+        beta = beta - size * step
+        before, now = now, loss(beta)
+        if before - now < 1e-9 * max(1.0, now):
             break
+    beta[:-1] /= scale
+    beta[-1] -= mean @ beta[:-1]
     return beta
 
 
@@ -142,6 +159,8 @@ class Model:
     weights: dict[str, np.ndarray]  # by target
     views: dict[str, list[np.ndarray]]  # by target: the calibration of the text view and of the page view
     both: dict[str, np.ndarray]  # by target: the calibration of the two together
+    teaches: dict[str, list[tuple[bool, bool]]]  # by target and view: whether its sure 0 and sure 1 may label for the other
+    loss: dict[str, float]  # by target: of both on the held-back labels
 
 
 def _scores(weights: np.ndarray, feats: tuple, count: int) -> np.ndarray:
@@ -175,7 +194,7 @@ def _held_back(doc_id: int) -> bool:
 def _batches(batches: Iterator[pa.RecordBatch], page_cols: int):
     """Slices as (ids, feature buckets, number of rows)."""
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, size=SLICE_BYTES):
             pages = list(zip(*[batch.column(2 + i).to_pylist() for i in range(page_cols)])) if page_cols else [()] * batch.num_rows
             yield batch.column(0).to_pylist(), features(batch.column(1).to_pylist(), pages), batch.num_rows
 
@@ -204,8 +223,13 @@ def _gather(rows: DataFrame, labels: dict, page_cols: int, model: Model | None)
                 if current is not None and target in current.both:
                     text, page, _ = _probabilities(current, feats, n, target)
                     unknown = np.array([g is None for g in given], bool)
-                    sure = lambda p: np.where(unknown & (p >= CONFIDENT), 1, np.where(unknown & (p <= 1 - CONFIDENT), 0, label))
-                    by_view = [sure(page), sure(text)]
+
+                    def sure(p: np.ndarray, may: tuple[bool, bool]) -> np.ndarray:
+                        out = np.where(unknown & (p >= CONFIDENT) & may[1], 1, label)
+                        return np.where(unknown & (p <= 1 - CONFIDENT) & may[0], 0, out)
+
+                    of_text, of_page = current.teaches[target]
+                    by_view = [sure(page, of_page), sure(text, of_text)]
                 for view, (bucket, owner) in enumerate((feats[:2], feats[2:])):
                     for value in (0, 1):
                         mine = (by_view[view] == value)[owner]
@@ -252,36 +276,54 @@ def _calibrated(sums: np.ndarray, sample: DataFrame, known: dict, page_cols: int
 
     scored = sample.filter("held").drop("held").mapInArrow(score, "id bigint, x array<double>").collect()
     scored.sort(key=lambda r: (r.id, r.x))
-    model = Model(weights, {}, {})
+    model = Model(weights, {}, {}, {}, {})
     for t, target in enumerate(TARGETS):
         rows = [(r.x[4 * t:4 * t + 4], known[r.id][t]) for r in scored if known[r.id][t] is not None]
         x, y = np.array([r[0] for r in rows]).reshape(-1, 4), np.array([r[1] for r in rows], float)
         if 0 < y.sum() < len(y):
             model.views[target] = [_fit_logistic(x[:, :2], y), _fit_logistic(x[:, 2:], y)]
             model.both[target] = _fit_logistic(x, y)
+            model.teaches[target] = [_may_teach(_probability(b, x[:, c]), y) for b, c in zip(model.views[target], (slice(0, 2), slice(2, 4)))]
+            p = np.clip(_probability(model.both[target], x), 1e-9, 1 - 1e-9)
+            model.loss[target] = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
     return model
 
 
+def _may_teach(p: np.ndarray, y: np.ndarray) -> tuple[bool, bool]:
+    """Whether a view is right, when it is sure, as often as it says: by the labels held back."""
+    out = []
+    for value, mine in ((0, p <= 1 - CONFIDENT), (1, p >= CONFIDENT)):
+        out.append(bool(mine.sum() >= MIN_SURE and (y[mine] == value).mean() >= CONFIDENT))
+    return out[0], out[1]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         page_cols: tuple[str, ...] = ("lang", "source"), rounds: int = ROUNDS, labelled_rows: int = LABELLED_ROWS) -> Model:
     """Co-training over all documents.
 
     Both views start from the labelled sample. In each round a document without a label that one view is sure of
-    (CONFIDENT by its calibrated probability) counts for the other view with that label; no other document does.
+    (CONFIDENT by its calibrated probability) counts for the other view with that label; no other document does. A view
+    only teaches a class in which the held-back labels confirm its sureness, and a target whose held-back loss a round
+    does not lower keeps what it had.
     Each round is one pass over the documents, and what it brings to the driver has a fixed size.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        *[F.col(f"`{c}`").cast("string").alias(f"p{i}") for i, c in enumerate(page_cols)])
     known = _labelled(labels, id_col, labelled_rows)
     if not known:
-        return Model({}, {}, {})
+        return Model({}, {}, {}, {}, {})
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i, _held_back(i)) for i in known], "id bigint, held boolean")
     sample = stored(rows.join(F.broadcast(ids), "id"), "quality-sample")
     pages = len(page_cols)
     model = _calibrated(_gather(sample.drop("held"), known, pages, None), sample, known, pages)
     for _ in range(rounds):
-        model = _calibrated(_gather(rows, known, pages, model), sample, known, pages)
+        taught = _calibrated(_gather(rows, known, pages, model), sample, known, pages)
+        for target in model.both:
+            if taught.loss.get(target, np.inf) > model.loss[target]:  # what this round taught does not help
+                for part in ("weights", "views", "both", "teaches", "loss"):
+                    getattr(taught, part)[target] = getattr(model, part)[target]
+        model = taught
     return model
 
 
@@ -307,7 +349,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         feats = features(column(text_col), pages)
         return [pa.array(_probabilities(shared.value, feats, batch.num_rows, t)[2], pa.float64()) for t in TARGETS]
 
-    scored = add_columns(docs, fields, step)
+    scored = add_columns(docs, fields, step, SLICE_BYTES)
     rejects = lambda target: F.lit(target in model.both)
     bad = (rejects("quality") & (F.col("p_quality") < min_quality)) | (rejects("toxic") & (F.col("p_toxic") > max_toxic))
     return scored.withColumn("kept", ~bad)

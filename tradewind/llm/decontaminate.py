@@ -167,7 +167,7 @@ _SPANS_ARROW = pa.list_(pa.list_(pa.int32()))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-              item_text: str = "text", window: int = 10) -> DataFrame:
+              item_text: str = "text", window: int = 10, max_span: int | None = None) -> DataFrame:
     """The documents with `n_words`, `n_hit`, `longest_match`, `item_ids`, `hit_spans`.
 
     Words are `words_of`. An item's windows are its runs of `window` words, or the whole item if it has fewer
@@ -175,7 +175,8 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     [start, end), `item_ids` the sorted ids of all items with a window in the text, `longest_match` the longest
     run that any item has too. NULL and empty texts have no words and no hits; NULL items match nothing and an
     item without an id counts as id ''. Items with one id count as one. An empty benchmark hits nothing.
-    Documents are only mapped, never shuffled or joined; input columns named like a result are replaced.
+    Documents are only mapped, never shuffled or joined; input columns named like a result are replaced. With
+    `max_span` there is also `clean_text`, without the spans of more hit words.
 
     The benchmark is a stated query set. It goes to the executors in blocks of about BLOCK_WORDS words
     (checked before: the number of blocks follows from a count), each turned into an automaton there; with
@@ -185,6 +186,8 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
               T.StructField("longest_match", T.IntegerType()), T.StructField("item_ids", T.ArrayType(T.StringType())),
               T.StructField("hit_spans", _SPANS)]
+    if max_span is not None:
+        fields.append(T.StructField("clean_text", T.StringType()))
     docs = without(docs, [f.name for f in fields])
     pieces = stored(_item_pieces(items, item_id, item_text, window), "benchmark-pieces")
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
@@ -194,16 +197,17 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
         rows = placed.filter(F.col("block") == number).select("id", "words").collect()
         items_here = [(r.id, [bytes(w) for w in r.words]) for r in rows]
         block = docs.sparkSession.sparkContext.broadcast((f"{id(rows)}-{number}", items_here))
-        docs = _scan_block(docs, block, text_col, window, fields, first=number == 0)
+        last = number + 1 == blocks
+        docs = _scan_block(docs, block, text_col, window, fields if last else fields[:5], number == 0, max_span if last else None)
         if number + 1 < blocks:
             docs = stored(docs, "decontaminate-round")
     return docs
 
 
-def _scan_block(docs: DataFrame, block: Broadcast, text_col: str, window: int, fields: list, first: bool) -> DataFrame:
+def _scan_block(docs: DataFrame, block: Broadcast, text_col: str, window: int, fields: list, first: bool, max_span: int | None) -> DataFrame:
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         automaton = _automaton(block, window)
-        n_words, n_hit, most, ids, spans = [], [], [], [], []
+        n_words, n_hit, most, ids, spans, clean = [], [], [], [], [], []
         empty = [None] * batch.num_rows
         before = [empty] * 3 if first else [texts(batch, n) for n in ("_most", "_ids", "_spans")]
         for text, most0, ids0, spans0 in zip(texts(batch, text_col), *before):
@@ -216,8 +220,12 @@ def _scan_block(docs: DataFrame, block: Broadcast, text_col: str, window: int, f
             most.append(longest)
             ids.append(sorted(found))
             spans.append(here)
-        return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(most, pa.int32()),
-                pa.array(ids, pa.list_(pa.string())), pa.array(spans, _SPANS_ARROW)]
+            if max_span is not None:
+                over = [s for s in here if s[1] - s[0] > max_span]
+                clean.append(_cut_out(text, over) if over else text)
+        out = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(most, pa.int32()),
+               pa.array(ids, pa.list_(pa.string())), pa.array(spans, _SPANS_ARROW)]
+        return out if max_span is None else [*out, pa.array(clean, pa.string())]
 
     if not first:
         docs = docs.withColumnsRenamed({"longest_match": "_most", "item_ids": "_ids", "hit_spans": "_spans"})
@@ -232,14 +240,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     whose hit words are more than `max_coverage` of its words is `dropped`: what is left of it makes no text.
     Texts without such spans stay as they are, NULL included.
     """
-    found = find_hits(docs, items, text_col, item_id, item_text, window)
-    over = F.filter("hit_spans", lambda s: s[1] - s[0] > max_span)
-    fields = [T.StructField("clean_text", T.StringType())]
-    hit = found.withColumn("_over", over)
-
-    def step(batch: pa.RecordBatch) -> list[pa.Array]:
-        pairs = zip(texts(batch, text_col), texts(batch, "_over"))
-        return [pa.array([_cut_out(t, spans) if spans else t for t, spans in pairs], pa.string())]
-
-    return add_columns(hit, fields, step).drop("_over").withColumn(
-        "dropped", F.coalesce(F.col("n_hit") > F.col("n_words") * max_coverage, F.lit(False)))
+    found = find_hits(docs, items, text_col, item_id, item_text, window, max_span)
+    return found.withColumn("dropped", F.coalesce(F.col("n_hit") > F.col("n_words") * max_coverage, F.lit(False)))
