@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import hash128, slices, stored
+from tradewind.llm.common import bit_filter, hash128, slices, stored, with_filter
 from tradewind.llm.components import components
 from tradewind.llm.hashing import mixed, shingles, word_hashes
 
@@ -22,7 +22,8 @@ HASHES = BANDS * ROWS
 STEP = 16  # hashes compared between two prunings
 TOLERANCE = 1e-6  # a pair is dropped when its posterior chance of reaching the threshold is below
 SIGNATURE_BLOCK = 512  # texts of one bucket that are compared in one go
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 500_000  # of one block when verifying
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 250_000  # of one block when verifying
+SLICE_BYTES = 1 << 20  # of text at once; its hashes take some 40 times as much
 
 _random = np.random.default_rng(20240607)
 _FACTOR = (_random.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -100,9 +101,10 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = max(1, (8 << 20) // len(sets))
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = max(1, min(columns, (8 << 20) // len(sets)))
     total = np.zeros((len(left), len(right)), np.int64)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    for start in range(0, columns, width):
         part = slice(*np.searchsorted(column, [start, start + width]))
         table = np.zeros((len(sets), width), np.float32)
         table[owner[part], column[part] - start] = 1
@@ -127,6 +129,12 @@ def _in_blocks(df: DataFrame, key: str, blocks: Column) -> DataFrame:
     return dealt.withColumn("i", F.least("part", "_other")).withColumn("j", F.greatest("part", "_other")).drop("_blocks", "_other")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """One group after the other, so that a batch of large groups is not held as Python objects."""
+    for row in range(batch.num_rows):
+        yield tuple(column[row].as_py() for column in batch.columns)
+
+
 def _sides(i: int, j: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(parts == i), np.flatnonzero(parts == j)
 
@@ -135,7 +143,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, hash of the text, hash of its shingle set (NULL without words), shingles, signature, bucket keys."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=SLICE_BYTES):
                 keys, counts, signs, buckets = [], [], [], []
                 for words in word_hashes(batch.column(2).to_pylist()):
                     found = shingles(words, SHINGLE)
@@ -170,7 +178,7 @@ def _plausible(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
-            for i, j, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, j, rows in _rows(batch):
                 signs = np.frombuffer(b"".join(r["sign"] for r in rows), "<u2").reshape(len(rows), HASHES)
                 left, right = _sides(i, j, np.array([r["part"] for r in rows]))
                 pairs = plausible_pairs(signs[left], signs[right], least)
@@ -190,11 +198,14 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, th
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(hash128(text).alias("t"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), text.alias("text"))
+    # most texts have no near duplicate: they are not shuffled
+    words = stored(bit_filter(chosen.select("t.a")), "near-filter")
+    texts = with_filter(texts, words, F.col("t.a"), "_may").filter("_may").drop("_may")
     rows = texts.join(chosen, ["t", "id"]).select("root", "blocks", "key", "copies", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=SLICE_BYTES):
                 sets = [shingles(words, SHINGLE).tobytes() for words in word_hashes(batch.column(4).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["root", "blocks", "key", "copies", "found"])
 
@@ -205,7 +216,7 @@ def _verified(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, th
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, j, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, j, rows in _rows(batch):
                 rows = list({r["key"]: r for r in rows}.values())  # rows that repeat id and text
                 sets = [np.frombuffer(r["found"], np.uint64) for r in rows]
                 left, right = _sides(i, j, np.array([r["part"] for r in rows]))
