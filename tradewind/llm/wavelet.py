@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,13 @@ _HEADER = struct.Struct("<QIQ")
 
 
 def _planes(ids: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Zeros and bits of each plane, top bit first; after each plane zeros go before ones, both in their order."""
+    """Zeros and packed bits of each plane, top bit first; after each plane zeros go before ones, both in their order."""
     for level in range(bits - 1, -1, -1):
-        ones = (ids >> level) & 1 == 1
-        low = ids[~ones]
-        yield len(low), ones
-        ids = np.concatenate((low, ids[ones]))
+        packed = np.packbits(((ids >> ids.dtype.type(level)) & ids.dtype.type(1)).astype(np.uint8), bitorder="little")
+        ones, values = pa.BooleanArray.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(packed)]), pa.array(ids)
+        low, high = values.filter(pc.invert(ones)), values.filter(ones)
+        yield len(low), packed
+        ids = np.concatenate((low.to_numpy(), high.to_numpy()))
 
 
 def write_shard(ids: np.ndarray, lengths: list[int], bits: int) -> bytes:
@@ -39,9 +41,9 @@ def write_shard(ids: np.ndarray, lengths: list[int], bits: int) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     out = [MAGIC, _HEADER.pack(len(ids), bits, len(lengths)), np.array(lengths, "<u8").tobytes()]
     blocks = -(-len(ids) // BLOCK_BITS)
-    for zeros, ones in _planes(ids, bits):
-        packed = np.packbits(ones)
-        counts = np.add.reduceat(ones, np.arange(0, len(ids), BLOCK_BITS), dtype=np.uint64) if blocks else np.zeros(0, np.uint64)
+    for zeros, packed in _planes(ids, bits):
+        starts = np.arange(0, len(packed), BLOCK_BITS // 8)
+        counts = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.uint64) if blocks else np.zeros(0, np.uint64)
         parts = [squeeze(packed[i * BLOCK_BITS // 8:(i + 1) * BLOCK_BITS // 8].tobytes()) for i in range(blocks)]
         out += [struct.pack("<Q", zeros), np.concatenate(([0], np.cumsum(counts))).astype("<u8").tobytes(),
                 np.cumsum([0, *map(len, parts)]).astype("<u8").tobytes(), *parts]
@@ -78,7 +80,7 @@ class WaveletFile:
             return self._unpacked[plane, block]
         _, _, ends, start = self.planes[plane]
         raw = zstandard.ZstdDecompressor().decompress(self.data[start + int(ends[block]):start + int(ends[block + 1])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK_BITS, self.size - block * BLOCK_BITS))
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK_BITS, self.size - block * BLOCK_BITS), bitorder="little")
         if keep:
             if len(self._unpacked) > 64:
                 self._unpacked.clear()
@@ -154,8 +156,8 @@ class WaveletFile:
             ones = np.concatenate([self._block(plane, b, keep=False) for b in range(blocks)]).view(bool)
             zeros, weight = self.planes[plane][0], ids.dtype.type(1 << (self.bits - 1 - plane))
             above = np.empty_like(ids)
-            above[~ones] = ids[:zeros]
-            above[ones] = ids[zeros:] | weight
+            above[np.flatnonzero(~ones)] = ids[:zeros]
+            above[np.flatnonzero(ones)] = ids[zeros:] | weight
             ids = above
         return ids
 
@@ -187,7 +189,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, drops_space:
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "docs", "tokens", "data"])
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, rows=16_384, size=12 << 20):
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     held += [ids, end]
                     lengths.append(len(ids) + 1)
