@@ -89,7 +89,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for batch in slices(whole, rows=4096):
+            for batch in slices(whole, rows=4096, size=4 << 20):
                 rows = []
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     ids = np.append(ids, np.array(end_id, tool.dtype)).astype("<u4")
@@ -160,7 +160,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, drops_space: b
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, drops_space)
         for whole in batches:
-            for batch in slices(whole, rows=4096):
+            for batch in slices(whole, rows=4096, size=4 << 20):
                 rows = []
                 for ids, cuts in zip(tool.encode(batch.column(0)), batch.column(1).to_pylist()):
                     ids = [*ids.tolist(), end_id]

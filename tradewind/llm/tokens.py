@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 400_000  # of each cache of a worker process, some 80 MB; a cache starts anew when it is full
+_OTHER = b"other kind"  # in place of ids: a stem that is not one piece of letters
+CACHE_ENTRIES = 300_000  # of each cache of a worker process, some 60 MB; a cache starts anew when it is full
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # A run of three white-space characters, or of two at the end, may be one piece that a cut would divide.
 _LONG_GAP = f"{_SPACE}{{3}}|{_SPACE}{{2}}$"
@@ -47,7 +48,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
-        self.stems: dict[str, bytes | None] = {}
+        self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
         # how the byte-level pre-tokenizer shows each byte: asked of it, character by character
@@ -91,21 +92,37 @@ class Encoder:
 
     def _known(self, chunks: pa.Array) -> list[bytes]:
         """The ids of distinct chunks: of the stem and of the punctuation after it, or of a chunk of another kind."""
-        stems, tails, others, out = self.stems, self.tails, self.others, []
-        for chunk, stem in zip(chunks.to_pylist(), pc.utf8_rtrim(chunks, characters=string.punctuation).to_pylist()):
-            ids = stems.get(stem, 0)
-            if ids == 0:
-                ids = stems[stem] = self._stem(stem)
+        trimmed = pc.utf8_rtrim(chunks, characters=string.punctuation)
+        stems, tokenize, code, lead = self.stems, self.model.tokenize, self.code, "" if self.drops_space else self.space
+        names = trimmed.to_pylist()
+        out = list(map(stems.get, names))
+        swap, lower = sys.byteorder == "big", self.drops_space
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = others.get(chunk)
+                stem = names[i]
+                ids = stems.get(stem)
                 if ids is None:
-                    ids = others[chunk] = self._other(chunk)
-            elif len(chunk) != len(stem):
-                tail = chunk[len(stem):]
-                if tail not in tails:
-                    tails[tail] = self._piece(tail)
-                ids = ids + tails[tail]
-            out.append(ids)
+                    if stem.isalpha() and stem.isascii() and not swap:  # nearly all: what _stem does, in place
+                        ids = array(code, [t.id for t in tokenize(stem.lower() if lower else lead + stem)]).tobytes()
+                    else:
+                        ids = self._stem(stem)
+                        ids = _OTHER if ids is None else ids
+                    stems[stem] = ids
+                out[i] = ids
+        longer = pc.not_equal(pc.binary_length(chunks), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False)
+        odd = np.fromiter((ids is _OTHER for ids in out), bool, len(out))
+        for i in np.flatnonzero(longer | odd).tolist():
+            chunk = chunks[i].as_py()
+            if odd[i]:
+                ids = self.others.get(chunk)
+                if ids is None:
+                    ids = self.others[chunk] = self._other(chunk)
+                out[i] = ids
+            else:
+                tail = chunk[len(names[i]):]
+                if tail not in self.tails:
+                    self.tails[tail] = self._piece(tail)
+                out[i] += self.tails[tail]
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -126,16 +143,18 @@ class Encoder:
             lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_EMPTY, texts, _LINE_FEED), "\n", " \n"), " ")
         chunks = lists.flatten().dictionary_encode()
         known = self._known(chunks.dictionary)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
-        pool, starts = np.frombuffer(b"".join(known), self.dtype), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        # one slice has far fewer than 2^31 ids, so 32-bit places do
+        pool, starts = np.frombuffer(b"".join(known), self.dtype), np.cumsum(sizes, dtype=np.int32) - sizes
         index = chunks.indices.to_numpy(zero_copy_only=False)
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         lengths = sizes[index]
         if not self.drops_space:
             lengths[bounds[:-1]] = 0  # the empty chunk before the first line feed
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(total)]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat(starts[index] - (ends - lengths), lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = pool[places]
         edges = np.concatenate(([0], ends))[bounds]
         skip = 0 if self.drops_space else len(self.line_feed) // self.dtype.itemsize
         return [np.frombuffer(whole[i], self.dtype) if i in whole else ids[edges[i] + skip:edges[i + 1]]
