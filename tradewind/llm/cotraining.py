@@ -24,6 +24,7 @@ MIN_SURE = 20  # held-back documents that must confirm a view's sureness
 CALIBRATION = 3  # one labelled row in so many is held back from the counts to calibrate on
 DOC_TOKENS = 3_000  # a document with more features counts as so many
 MIN_Z, MAX_WEIGHT = 3.0, 4.0
+RIDGE = 0.01  # penalty on scaled coefficients: only so that classes which separate have a finite minimum
 CHUNK = 1 << 12
 SLICE_BYTES = 1 << 20  # of text at once; its features take some 60 times as much
 
@@ -132,7 +133,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale == 0] = 1
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    ridge, sign = np.append(np.ones(x.shape[1]), 1e-3), 2 * y - 1
+    ridge, sign = np.append(np.full(x.shape[1], RIDGE), 1e-3), 2 * y - 1
     loss = lambda b: np.logaddexp(0, -sign * (z @ b)).sum() + 0.5 * (ridge * b * b).sum()
     beta = np.zeros(z.shape[1])
     now = loss(beta)
