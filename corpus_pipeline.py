@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many of them share."""
-    return _with_text(docs, drop_common_lines(docs), "kept_text")
+    """All documents, without the lines that many of them share. Copies are still there: they count as one document."""
+    return _with_text(docs, drop_common_lines(docs, once_per_text=True), "kept_text")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+import corpus_pipeline
 from tradewind.llm import ngram_join
 from tradewind.llm.components import components
 from tradewind.llm.exact_dedup import progressive_dedup
@@ -160,3 +161,20 @@ def test_windows_of_given_documents(spark):
 
     want = brute.repeated_windows([r.text for r in rows], 400)
     assert [(r.doc_id, r.n_removed, r.k) for r in got] == [(r.doc_id, w[1], hashlib.sha256(w[3]).hexdigest()) for r, w in zip(rows, want)]
+
+
+def test_copies_of_a_text_do_not_make_its_lines_common(spark):
+    rows = [*[(100 + i, "first own line\nsecond own line\nlicense") for i in range(12)], *[(20 + i, f"text {i}\nLicense ") for i in range(3)]]
+    rows += [*ODD, (90, None)]
+    got = drop_common_lines(table(spark, rows), min_docs=4, once_per_text=True).collect()
+    lost = {"license"}  # by four distinct texts; ODD has no line in four
+    want = Counter((i, "\n".join(x for x in (t or "").split("\n") if brute.strip_key(x) not in lost)) for i, t in rows)
+    assert Counter((r.doc_id, r.kept_text) for r in got) == want
+    assert {r.n_dropped for r in got if (r.doc_id or 0) >= 100} == {1}
+    assert drop_common_lines(table(spark, []), once_per_text=True).count() == 0
+
+
+def test_pipeline_keeps_texts_with_many_copies(spark):
+    text = "a text of its own\nwith two lines"
+    docs = spark.createDataFrame([(i, text, len(text)) for i in range(15)], "doc_id long, text string, n_chars int")
+    assert {r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {text}

@@ -63,12 +63,15 @@ class LineRuns:
 
 def drop_common_lines(
     df: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 6, fanout: int = 4,
+    once_per_text: bool = False,
 ) -> DataFrame:
     """The input with `n_lines`, `n_dropped` and `kept_text`; `text_col` itself stays as it was.
 
     A line's key is the line without blanks at its ends, A-Z in lower case. Keys of at least `min_chars` code
     points that at least `min_docs` rows have lose their lines everywhere; the others stay, joined by line
     feeds. NULL and '' are one empty line and give ''. A row counts once per key, a repeated row counts again.
+    With `once_per_text`, rows of the same text count once together, so that a text's own copies do not make its
+    lines common; its lines are then lost from all copies or from none.
     Input columns named like a result column are replaced. Empty tables give an empty result.
 
     Hashes have 128 bits. The input's partitions are dealt into `batches`, which are added to the runs one
@@ -80,9 +83,10 @@ def drop_common_lines(
     long_enough = lambda k: F.char_length(k) >= min_chars
     keys = F.array_distinct(F.transform(F.filter(F.transform(lines, line_key), long_enough), hash128))
     batch = F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch")
-    found = stored(
-        df.select(batch, hash128(text).alias("t"), F.explode(keys).alias("k")).select("batch", "t", "k.a", "k.b"),
-        "line-keys", "batch")
+    keyed = df.select(hash128(text).alias("t"), keys.alias("keys"))
+    if once_per_text:
+        keyed = keyed.dropDuplicates(["t"])
+    found = stored(keyed.select(batch, "t", F.explode("keys").alias("k")).select("batch", "t", "k.a", "k.b"), "line-keys", "batch")
 
     runs = LineRuns(df.sparkSession, min_docs, fanout)
     for i in range(batches):
