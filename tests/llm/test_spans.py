@@ -126,3 +126,14 @@ def test_secrets_by_owner(spark):
     assert spans[10] == [("assign", "example", 4)] and spans[20] == [("assign", "unclear", 2)]
     assert spans[30] == [("vendor", "live", 1)] and len(spans) == len(rows)
     assert secret_scan.find_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_iban_before_another_word():
+    found = lambda t: [t[s[1]:s[2]] for s in personal_data.find_spans(t) if s[0] == "iban"]
+    german, norwegian = "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    assert found(f"IBAN {german.replace(' ', '')} BIC COBADEFFXXX") == [german.replace(" ", "")]
+    assert found(f"pay {german} EUR 500") == found(f"iban {german} 2024-01-01") == found(f"iban {german} A") == [german]
+    assert found(f"REF AB12 {german} X1 {norwegian} 7") == [german, norwegian]
+    assert found(f"{german}A") == found("DE88 3704 0044 0532 0130 00 EUR 500") == []
+    assert found(f"{german}, GB82WEST12345698765432.") == [german, "GB82WEST12345698765432"]
+    personal_data.find_spans("AB12 " * 80_000)

@@ -20,7 +20,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Kinds of the method beyond the base, after them in the order of spans.
 MORE_KINDS = ("iban", "ssn", "local_phone")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_IBAN_SIZES = range(15, 35)
+_WORD_CHAR = re.compile(r"[A-Za-z0-9]")
+# The length that a country gives its numbers; of other countries any length is tried.
+_IBAN_SIZE = dict(re.findall(r"([A-Z]{2})([0-9]{2})", (
+    "AD24AE23AL28AT20AZ28BA20BE16BG22BH22BR29BY28CH21CR22CY28CZ24DE22DK18DO28EE20EG29ES24FI18FO18FR27GB22GE22GI23GL18"
+    "GR27GT28HR21HU28IE22IL23IQ23IS26IT27JO30KW30KZ20LB28LC32LI21LT20LU20LV21LY25MC27MD24ME22MK19MR27MT31MU30NL18NO15"
+    "PK24PL28PS29PT25QA29RO24RS22SA24SC31SE24SI19SK24SM27ST25SV28TL23TN24TR26UA29VA22VG24XK20")))
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 
@@ -56,6 +63,32 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Numbers that pass mod 97, from left to right without overlap.
+
+    A number ends at a word edge, 15 to 34 characters from its start without single spaces between them. Of the
+    ends that pass, the one with the length of the country is taken, or else the last. If none passes, the
+    search goes on after the first four characters.
+    """
+    out, done = [], 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        at, number, passed = m.end(), m[0], {}
+        while len(number) < _IBAN_SIZES[-1]:
+            at += text[at:at + 1] == " "
+            char = text[at:at + 1]
+            if not ("0" <= char <= "9" or "A" <= char <= "Z"):
+                break
+            number, at = number + char, at + 1
+            if len(number) in _IBAN_SIZES and not _WORD_CHAR.match(text, at) and mod97(number):
+                passed[len(number)] = at
+        if passed:
+            done = passed.get(int(_IBAN_SIZE.get(m[0][:2], 0)), max(passed.values()))
+            out.append((m.start(), done))
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost addresses in linear time: left from each '@' over the local part, right over the domain.
 
@@ -99,9 +132,8 @@ def _propose(text: str):
         for m in _PHONE.finditer(text):
             if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end(), True
+    for start, end in ibans(text):
+        yield "iban", start, end, True
     for m in _SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", m.start(), m.end(), False
