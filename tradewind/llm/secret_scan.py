@@ -25,8 +25,16 @@ MORE_KINDS = ("vendor", "jwt", "private_key", "url_login")
 _VENDOR = re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
 _KEY_HEAD = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+# What follows a header without an END line: base64 pieces, the last one short if its length is right for base64.
+_BREAK = r"(?:\s|\\[nr])"  # also line breaks as they are written in source code
+_KEY_RUN = re.compile(rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+                      rf"(?:{_BREAK}++(?:[A-Za-z0-9+/]{{4}}){{0,3}}(?:[A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{4}})(?={_BREAK}*+(?:\n|\Z)))?")
+_KEY_BREAKS = re.compile(_BREAK + "+")
 _LOGIN = re.compile(r"://[A-Za-z0-9._~%-]{1,64}:([^\s/@:]{6,128})@")
 _RANK = {kind: i for i, kind in enumerate((*BASE_KINDS, *MORE_KINDS))}
+# Key bodies are long enough to hold any four letters by chance.
+_KEY_PLACEHOLDER = re.compile(r"example|sample|changeme|dummy|placeholder|your[_-]|x{8}|1234567|abcdef|(?<![a-z0-9])test(?![a-z0-9])", re.IGNORECASE)
 _PLACEHOLDER = re.compile(r"example|sample|changeme|dummy|placeholder|your[_-]|xxxx|test|1234567|abcdef", re.IGNORECASE)
 
 
@@ -35,6 +43,32 @@ def entropy(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) if value else 0.0
 
 
+def key_blocks(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, body) of private keys: from the header to the END line, or to the end of the base64 where the text
+    ends or the next key starts before one."""
+    heads, ends, out = list(_KEY_HEAD.finditer(text)), list(_KEY_END.finditer(text)), []
+    limits, at = [*(m.start() for m in heads[1:]), len(text)], 0
+    for head, limit in zip(heads, limits):
+        while at < len(ends) and ends[at].start() < head.end():
+            at += 1
+        if at < len(ends) and ends[at].start() < limit:
+            body, end = text[head.end():ends[at].start()], ends[at].end()
+        else:
+            run = _KEY_RUN.match(text, head.end(), limit)
+            body, end = run[0], run.end()
+        out.append((head.start(), end, body))
+    return out
+
+
+def same_secret(kind: str, value: str) -> str:
+    """What copies of a secret have in common: of a private key the body without its line breaks."""
+    return _KEY_BREAKS.sub("", value) if kind == "private_key" else value
+
+
+def is_placeholder(kind: str, value: str) -> bool:
+    return bool((_KEY_PLACEHOLDER if kind == "private_key" else _PLACEHOLDER).search(value))
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, secret itself) by start, then kind; code points, end exclusive."""
     if not text:
@@ -47,7 +81,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str]]:
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end(), m[0]) for m in _JWT.finditer(text)]
     if "-----BEGIN " in text:
-        found += [("private_key", m.start(), m.end(), text[m.end():m.end() + 256]) for m in _KEY_HEAD.finditer(text)]
+        found += [("private_key", *block) for block in key_blocks(text)]
     if "://" in text:
         found += [("url_login", m.start(1), m.end(1), m[1]) for m in _LOGIN.finditer(text)]
     return sorted(found, key=lambda s: (s[1], _RANK[s[0]]))
@@ -66,8 +100,8 @@ def scan_texts(df: DataFrame, text_col: str) -> DataFrame:
     """The input with `_found`: candidates whose secret is a SHA-256, never the text itself."""
     def step(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [[{"start": s, "rank": _RANK[kind], "kind": kind, "end": e,
-                  "secret": hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(),
-                  "strength": round(entropy(value), 6), "placeholder": bool(_PLACEHOLDER.search(value))}
+                  "secret": hashlib.sha256(same_secret(kind, value).encode("utf-8", "surrogatepass")).hexdigest(),
+                  "strength": round(entropy(same_secret(kind, value)), 6), "placeholder": is_placeholder(kind, value)}
                  for kind, s, e, value in candidates(t)] for t in texts(batch, text_col)]
         return [pa.array(rows, _CANDIDATE_ARROW)]
 
