@@ -22,7 +22,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 # Kinds beyond the base, after them in the order of spans.
 MORE_KINDS = ("vendor", "jwt", "private_key", "url_login")
-_VENDOR = re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])")
+_VENDOR = re.compile(r"(?<![A-Za-z0-9_])(?:xox[abprs]-[A-Za-z0-9-]{10,}+|(?:gh[pousr]_[A-Za-z0-9]{36,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_]))")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
 _KEY_HEAD = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z]+ )?PRIVATE KEY-----")
@@ -31,7 +31,7 @@ _BREAK = r"(?:\s|\\[nr])"  # also line breaks as they are written in source code
 _KEY_RUN = re.compile(rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
                       rf"(?:{_BREAK}++(?:[A-Za-z0-9+/]{{4}}){{0,3}}(?:[A-Za-z0-9+/]{{2}}==|[A-Za-z0-9+/]{{3}}=|[A-Za-z0-9+/]{{4}})(?={_BREAK}*+(?:\n|\Z)))?")
 _KEY_BREAKS = re.compile(_BREAK + "+")
-_LOGIN = re.compile(r"://[A-Za-z0-9._~%-]{1,64}:([^\s/@:]{6,128})@")
+_LOGIN = re.compile(r"://[A-Za-z0-9._~%-]++:([^\s/@:]{6,}+)@")
 _RANK = {kind: i for i, kind in enumerate((*BASE_KINDS, *MORE_KINDS))}
 # Key bodies are long enough to hold any four letters by chance.
 _KEY_PLACEHOLDER = re.compile(r"example|sample|changeme|dummy|placeholder|your[_-]|x{8}|1234567|abcdef|(?<![a-z0-9])test(?![a-z0-9])", re.IGNORECASE)
