@@ -115,13 +115,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
+EXAMPLE_REPOS = 100  # distinct repositories that make an example even within one owner
+
+
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str | None = None, example_owners: int = 3, min_entropy: float = 3.0) -> DataFrame:
+                 repo_col: str | None = None, example_owners: int = 3, min_entropy: float = 3.0,
+                 example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row per input row: id and `secret_spans` (start, kind, end, base, owners, repos, verdict).
 
     The verdict of a candidate follows from the whole corpus: `example` if at least `example_owners` distinct
-    owners have the same secret, or if it holds a placeholder word; `live` if one owner alone has it and its
-    characters have `min_entropy` bits; `unclear` otherwise. Base kinds are always listed; further kinds only
+    owners or `example_repos` distinct repositories have the same secret, or if it holds a placeholder word; `live`
+    if one owner alone has it and its characters have `min_entropy` bits; `unclear` otherwise. Base kinds are always listed; further kinds only
     if they are not examples. An owner or repository that is NULL is one like any other; without `repo_col`
     each row is a repository of its own. NULL and empty texts have no spans, an empty table gives an empty
     result, a repeated row adds no owner. Only the id is passed on, so extra columns cannot clash.
@@ -137,7 +141,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = flat.select("_row", "owner", "repo", F.col("f.secret").alias("secret"), "f")
     counts = stored(ownership(flat.select("secret", "owner", "repo")), "secret-owners")
     base = F.col("f.kind").isin(*BASE_KINDS)
-    verdict = (F.when(F.col("f.placeholder") | (F.col("owners") >= example_owners), "example")
+    verdict = (F.when(F.col("f.placeholder") | (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example")
                .when((F.col("owners") == 1) & (F.col("f.strength") >= min_entropy), "live").otherwise("unclear"))
     span = F.struct(F.col("f.start"), F.col("f.rank"), F.col("f.kind"), F.col("f.end"), base.alias("base"), "owners",
                     "repos", verdict.alias("verdict"))
