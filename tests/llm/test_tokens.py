@@ -130,3 +130,14 @@ def test_sequences_hold_the_ids(spark):
     want = dict(encoded(rows, "word_bpe_49k.json", 1))
     for r in pieces.collect():
         assert filled[r.sequence_id][r.offset:r.offset + r.length] == want[r.doc_id][r.start:r.start + r.length].tolist()
+
+
+@pytest.mark.parametrize("name, drops_space", KINDS)
+def test_special_tokens_in_a_text(name, drops_space):
+    dice = random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "\n", "The", "word,", "é"]
+    texts = [None, "<|endoftext|>", "a <|endoftext|> b", *["".join(dice.choice(bits) for _ in range(dice.randint(0, 9))) for _ in range(800)]]
+    library = Tokenizer.from_file(tokenizer_path(name))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder(tokenizer_path(name), drops_space).encode(pa.array(texts, pa.string()))] == want
+    assert library.token_to_id("<|endoftext|>") in want[2]

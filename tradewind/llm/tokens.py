@@ -36,15 +36,15 @@ class Encoder:
     exact where the tokenizer's own pre-tokenizer never joins characters across such a place. For byte-level BPE
     with the usual pattern it does so only within longer gaps; texts with such a gap are encoded whole. Where
     white space is dropped altogether (`drops_space`), chunks are what stands between spaces and line feeds.
-    Strings of special tokens in a text are ordinary text.
+    Texts that hold the string of a special or other added token get its id, as the library gives it; they are encoded whole.
     """
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
@@ -132,13 +132,18 @@ class Encoder:
                 kept.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole: dict[int, bytes] = {}
+        odd = np.zeros(len(texts), bool)
+        for content in self.added:
+            odd |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not self.drops_space:
+            odd |= pc.match_substring_regex(texts, _LONG_GAP).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd):
+            whole[int(i)] = self._whole(texts[int(i)].as_py())
+        if whole:
+            texts = pc.if_else(pa.array(odd), _EMPTY, texts)
         if self.drops_space:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         else:
-            for i in np.flatnonzero(pc.match_substring_regex(texts, _LONG_GAP).to_numpy(zero_copy_only=False)):
-                whole[int(i)] = self._whole(texts[int(i)].as_py())
-            if whole:
-                texts = pc.if_else(pa.array([i in whole for i in range(len(texts))]), _EMPTY, texts)
             # every text begins with a line feed here, whose id is taken off again
             lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_EMPTY, texts, _LINE_FEED), "\n", " \n"), " ")
         chunks = lists.flatten().dictionary_encode()
