@@ -77,6 +77,14 @@ def test_cutting_passages(spark):
     assert rows["clean text"].clean_text == "clean text" and rows[None].clean_text is None
 
 
+def test_another_benchmark_in_the_same_workers(spark, monkeypatch):
+    monkeypatch.setattr(passages, "id", lambda rows: 1, raising=False)  # the address of a freed list is given out again
+    for word in ("first", "second"):
+        tests = spark.createDataFrame([(word, f"{word} benchmark")], "item_id string, text string")
+        found = passages.find_hits(table(spark, ["First benchmark, second benchmark"]).coalesce(1), tests).collect()
+        assert [r.item_ids for r in found] == [[word]]
+
+
 BITS = ["@", "a", "a.b", ".", "-", "+", "1", "22", "256", "0", "4111111111111111", "4111 1111 1111 1111", "+1 (555) 123-4567", " ", "x@y.z", "é",
         "password", "ToKeN", "=", ":", '"', "AKIA", "ABCDEFGHIJ012345", "deadbeef00", "apikey", "api_key=", "ſecret", "Key", "(", ")", "9" * 30]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -196,7 +197,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     for number in range(blocks):
         rows = placed.filter(F.col("block") == number).select("id", "words").collect()
         items_here = [(r.id, [bytes(w) for w in r.words]) for r in rows]
-        block = docs.sparkSession.sparkContext.broadcast((f"{id(rows)}-{number}", items_here))
+        block = docs.sparkSession.sparkContext.broadcast((str(uuid.uuid4()), items_here))
         last = number + 1 == blocks
         docs = _scan_block(docs, block, text_col, window, fields if last else fields[:5], number == 0, max_span if last else None)
         if number + 1 < blocks:
