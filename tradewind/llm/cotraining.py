@@ -304,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Both views start from the labelled sample. In each round a document without a label that one view is sure of
     (CONFIDENT by its calibrated probability) counts for the other view with that label; no other document does. A view
-    only teaches a class in which the held-back labels confirm its sureness, and a target whose held-back loss a round
+    only teaches a class in which at least MIN_SURE held-back labels confirm its sureness (one label in CALIBRATION is
+    held back: below some 60 labels of a class co-training does not start for it), and a target whose held-back loss a round
     does not lower keeps what it had.
     Each round is one pass over the documents, and what it brings to the driver has a fixed size.
     """
