@@ -1,5 +1,6 @@
 """All queries of this package; importing it registers them."""
 
+import tradewind.llm.queries_audit  # noqa: F401
 import tradewind.llm.queries_dedup  # noqa: F401
 import tradewind.llm.queries_near  # noqa: F401
 import tradewind.llm.queries_quality  # noqa: F401
