@@ -4,6 +4,7 @@ import tradewind.llm.queries_audit  # noqa: F401
 import tradewind.llm.queries_dedup  # noqa: F401
 import tradewind.llm.queries_near  # noqa: F401
 import tradewind.llm.queries_quality  # noqa: F401
+import tradewind.llm.queries_search  # noqa: F401
 import tradewind.llm.queries_sensitive  # noqa: F401
 import tradewind.llm.queries_spans  # noqa: F401
 import tradewind.llm.queries_tokens  # noqa: F401
