@@ -78,6 +78,25 @@ def test_the_earliest_row_counts(spark):
     assert once(kept)[1] is None
 
 
+def test_ties_in_time_go_by_the_columns_in_order_of_their_names(spark):
+    rows = [{"request_id": "q1", "request_ts": at(1), "actor_id": a, "payment_id": p, "status": s}
+            for a, p, s in (("b", "m0", "paid"), ("a", "m2", "paid"), ("a", "m1", "unpaid"), ("a", "m1", "paid"))]
+    for shuffled in (rows, rows[::-1]):
+        kept, _ = once(frame(spark, REQUEST_SCHEMAS["payment"], shuffled).repartition(3))
+        assert [(r.actor_id, r.payment_id, r.status) for r in kept.collect()] == [("a", "m1", "paid")]
+    kept, _ = once(frame(spark, REQUEST_SCHEMAS["payment"], [*rows, {"request_id": "q1", "request_ts": at(1), "payment_id": "m9"}]))
+    assert [r.payment_id for r in kept.collect()] == ["m9"]  # a missing value comes first
+
+
+def test_once_leaves_no_count_behind(spark):
+    from tradewind.plans.skew import batch_rows
+
+    once(frame(spark, REQUEST_SCHEMAS["payment"], [{"request_id": "q1", "request_ts": at(1)}] * 3))
+    assert batch_rows.get() is None
+    CASES["payment"][0](world(spark), frame(spark, REQUEST_SCHEMAS["payment"], [{"request_id": "q1", "request_ts": at(1)}]))
+    assert batch_rows.get() is None
+
+
 def test_cart_quantities_stay_within_the_type(spark):
     most = schema.MAX_INT
     t = tables(spark, cart=[{"cart_id": "k1", "buyer_id": "b1"}], pets=[{"pet_id": "p1", "stock": most}, {"pet_id": "p2", "stock": most}],

@@ -23,23 +23,30 @@ class Change(NamedTuple):
 def once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(one row per request_id, rejections of the others), read from a checkpoint so that the batch is run once.
 
-    A client's retry or a file delivered twice repeats an id. The earliest row by time counts, then the smallest hash
-    of the row. Ids that occur once, nearly always all of them, are found by counts that combine in the map tasks.
+    A client's retry or a file delivered twice repeats an id. The earliest row by time counts, then the smallest by
+    its columns in the order of their names, a missing value before any other. Ids that occur once, nearly always all
+    of them, are found by counts that combine in the map tasks.
     """
+    return _counted_once(requests)[:2]
+
+
+def _counted_once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """`once`, with the number of rows."""
     checkpoint_dir(requests.sparkSession)
-    tie = F.struct("request_ts", F.xxhash64(*requests.columns), F.monotonically_increasing_id())
-    batch = requests.withColumn("_copy", tie).checkpoint()
-    ids = batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("_copies"), F.min("_copy").alias("_first"))
+    batch = requests.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    ids = batch.groupBy("request_id").agg(F.count(F.lit(1)).alias("_copies"))
     twice = (F.col("_copies") > 1) & F.col("request_id").isNotNull()
     rows, repeated = ids.agg(F.sum("_copies"), F.count(F.when(twice, 1))).first()
-    batch_rows.set(rows or 0)
     if not repeated:
-        return batch.drop("_copy"), None
-    marked = batch.join(ids.filter(twice).drop("_copies").checkpoint(), "request_id", "left")
-    later = F.coalesce(F.col("_copy") != F.col("_first"), F.lit(False))
-    marked = marked.withColumn("_later", later).select(*requests.columns, "_later").checkpoint()
+        return batch.drop("_row"), None, rows or 0
+    rest = sorted(c for c in requests.columns if c not in ("request_id", "request_ts"))
+    first = F.min(F.struct("request_ts", *[F.col(f"`{c}`") for c in rest], "_row")).getField("_row")
+    copies = batch.join(ids.filter(twice).select("request_id"), "request_id", "left_semi")
+    firsts = copies.groupBy("request_id").agg(first.alias("_first")).checkpoint()
+    later = F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))
+    marked = batch.join(firsts, "request_id", "left").withColumn("_later", later).select(*requests.columns, "_later").checkpoint()
     extra = marked.filter("_later").withColumn("reason", F.lit("duplicate_request"))
-    return marked.filter("not _later").drop("_later"), rejections(extra)
+    return marked.filter("not _later").drop("_later"), rejections(extra), rows
 
 
 def one_row_per_request(operator: Callable[..., Change]) -> Callable[..., Change]:
@@ -49,9 +56,9 @@ def one_row_per_request(operator: Callable[..., Change]) -> Callable[..., Change
     @wraps(operator)
     def run(*args, **named) -> Change:
         bound = signature.bind(*args, **named)
-        before = batch_rows.set(None)
+        bound.arguments["requests"], repeated, rows = _counted_once(bound.arguments["requests"])
+        before = batch_rows.set(rows)
         try:
-            bound.arguments["requests"], repeated = once(bound.arguments["requests"])
             change = operator(*bound.args, **bound.kwargs)
         finally:
             batch_rows.reset(before)

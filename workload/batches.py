@@ -29,6 +29,12 @@ def _case(column: str, *pairs, otherwise=None):
     return chain.otherwise(otherwise) if otherwise is not None else chain
 
 
+def _numbered(requests: str, *columns: str) -> str:
+    """Requests with `copy`: 1 for the row of an id that counts. `columns`: all others in the order of their names."""
+    order = ", ".join(f"{c} NULLS FIRST" for c in ("request_ts", *columns))
+    return f"SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {order}) AS copy FROM ({requests})"
+
+
 def _rejected(view: str) -> str:
     return f"SELECT request_id, request_ts, reason FROM {view} WHERE reason IS NOT NULL"
 
@@ -175,14 +181,15 @@ def _line_requests(t, **columns):
 
 
 _PATCH = {
-    "q": f"""SELECT {_BY_LINE}, CASE l_linenumber WHEN 1 THEN 'admin' WHEN 2 THEN 'buyer' ELSE 'seller' END AS actor_role,
+    "q": _numbered(f"""SELECT {_BY_LINE}, CASE l_linenumber WHEN 1 THEN 'admin' WHEN 2 THEN 'buyer' ELSE 'seller' END AS actor_role,
   CAST(l_partkey AS VARCHAR) AS product_id,
   CASE WHEN l_returnflag = 'A' THEN CASE WHEN l_discount >= 0.095 THEN -1 ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END END
   AS price, CASE l_returnflag WHEN 'R' THEN CAST(l_quantity AS INTEGER) WHEN 'N' THEN 0 END AS stock,
   CASE WHEN l_linestatus = 'F' THEN l_returnflag = 'N' END AS is_active,
   CASE l_returnflag WHEN 'N' THEN '' WHEN 'R' THEN 'renamed ' || l_linenumber END AS product_name FROM lineitem""",
-    "judged": """SELECT q.*, CASE WHEN actor_role = 'buyer' THEN 'forbidden' WHEN p.product_id IS NULL THEN 'not_found'
-  WHEN actor_role = 'seller' AND p.seller_id <> actor_id THEN 'forbidden' WHEN q.price < 0 THEN 'constraint' END AS reason
+                   "actor_id", "actor_role", "is_active", "price", "product_id", "product_name", "stock"),
+    "judged": """SELECT q.*, CASE WHEN copy > 1 THEN 'duplicate_request' WHEN actor_role = 'buyer' THEN 'forbidden'
+  WHEN p.product_id IS NULL THEN 'not_found' WHEN actor_role = 'seller' AND p.seller_id <> actor_id THEN 'forbidden' WHEN q.price < 0 THEN 'constraint' END AS reason
   FROM q LEFT JOIN m_products p ON p.product_id = q.product_id""",
     "folded": """SELECT product_id, last(price ORDER BY request_ts, request_id) FILTER (price IS NOT NULL) AS price,
   last(stock ORDER BY request_ts, request_id) FILTER (stock > 0) AS stock,
@@ -270,9 +277,10 @@ def patch_users(spark, sf_dir) -> DataFrame:
 
 
 _DELETE = {
-    "q": f"""SELECT {_BY_LINE}, CASE WHEN l_linenumber = 7 THEN 'buyer' ELSE 'seller' END AS actor_role,
-  CAST(l_partkey AS VARCHAR) AS target_id FROM lineitem""",
-    "judged": """SELECT q.*, CASE WHEN actor_role = 'buyer' THEN 'forbidden' WHEN p.product_id IS NULL THEN 'not_found'
+    "q": _numbered(f"""SELECT {_BY_LINE}, CASE WHEN l_linenumber = 7 THEN 'buyer' ELSE 'seller' END AS actor_role,
+  CAST(l_partkey AS VARCHAR) AS target_id FROM lineitem""", "actor_id", "actor_role", "target_id"),
+    "judged": """SELECT q.*, CASE WHEN copy > 1 THEN 'duplicate_request' WHEN actor_role = 'buyer' THEN 'forbidden'
+  WHEN p.product_id IS NULL THEN 'not_found'
   WHEN p.seller_id <> actor_id THEN 'forbidden' END AS reason FROM q LEFT JOIN m_products p ON p.product_id = target_id""",
     "removals": """SELECT 'C' || c_custkey AS target_id, 'C' || c_custkey AS request_id,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'seller' ELSE 'admin' END AS actor_role, 'A' || c_nationkey AS actor_id FROM customer
@@ -430,12 +438,13 @@ def edit_cart_rejected(spark, sf_dir) -> DataFrame:
 # --- order status: one request per order line
 
 _STATUS = {
-    "q": f"""SELECT {_BY_LINE.replace("'S' || l_suppkey", "'S' || CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE l_suppkey END")},
+    "q": _numbered(f"""SELECT {_BY_LINE.replace("'S' || l_suppkey", "'S' || CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE l_suppkey END")},
   CASE WHEN l_linenumber = 1 THEN 'admin' WHEN l_tax >= 0.075 THEN 'buyer' ELSE 'seller' END AS actor_role,
   CASE WHEN l_linenumber = 1 AND l_linestatus = 'O' THEN 'X' ELSE '' END || l_orderkey AS order_id,
   CASE CAST(l_quantity AS INTEGER) % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'shipped'
        WHEN 3 THEN 'delivered' WHEN 4 THEN 'cancelled' ELSE 'lost' END AS status FROM lineitem""",
-    "judged": """SELECT q.*, CASE WHEN actor_role = 'buyer' THEN 'forbidden'
+                   "actor_id", "actor_role", "order_id", "status"),
+    "judged": """SELECT q.*, CASE WHEN copy > 1 THEN 'duplicate_request' WHEN actor_role = 'buyer' THEN 'forbidden'
   WHEN status = 'lost' OR (status = 'pending' AND actor_role = 'seller') THEN 'bad_enum'
   WHEN actor_role = 'seller' AND w.order_id IS NULL THEN 'forbidden' WHEN o.order_id IS NULL THEN 'not_found' END AS reason
   FROM q LEFT JOIN (SELECT DISTINCT order_id, seller_id FROM m_order_items) w
@@ -558,12 +567,12 @@ def stream_payments_rejected(spark, sf_dir) -> DataFrame:
 # --- reviews: one request per order line
 
 _REVIEW = {
-    "q": f"""SELECT {_BY_LINE.split(", 'S'")[0]}, 'C' || CASE WHEN l_linenumber = 5 THEN o_custkey + 1 ELSE o_custkey END AS actor_id,
+    "q": _numbered(f"""SELECT {_BY_LINE.split(", 'S'")[0]}, 'C' || CASE WHEN l_linenumber = 5 THEN o_custkey + 1 ELSE o_custkey END AS actor_id,
   CAST(l_orderkey AS VARCHAR) AS order_id, CASE WHEN l_partkey % 4 = 0 THEN 'pet' ELSE 'product' END AS item_type,
   CAST(l_partkey AS VARCHAR) AS item_id,
   CASE WHEN l_tax >= 0.075 THEN 2.5 WHEN l_tax >= 0.065 THEN 6 ELSE 1 + l_linenumber % 5 END AS rating
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
-    "checked": """SELECT q.*, CASE WHEN q.rating > 5 THEN 'out_of_range' WHEN o.order_id IS NULL THEN 'not_eligible'
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey""", "actor_id", "item_type", "order_id", "item_id", "rating"),
+    "checked": """SELECT q.*, CASE WHEN copy > 1 THEN 'duplicate_request' WHEN q.rating > 5 THEN 'out_of_range' WHEN o.order_id IS NULL THEN 'not_eligible'
   WHEN r.review_id IS NOT NULL THEN 'duplicate' END AS early FROM q
   LEFT JOIN m_orders o ON o.order_id = q.order_id AND o.buyer_id = q.actor_id AND o.status = 'delivered'
   LEFT JOIN m_reviews r ON r.reviewer_id = q.actor_id AND r.order_id = q.order_id AND r.item_type = q.item_type
