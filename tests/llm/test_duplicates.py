@@ -13,6 +13,7 @@ from tradewind.llm import ngram_join
 from tradewind.llm.components import components
 from tradewind.llm.exact_dedup import progressive_dedup
 from tradewind.llm.line_dedup import LineRuns, drop_common_lines
+from tradewind.llm.common import sorted_groups
 from tradewind.llm.ngram_join import near_duplicates, one_of_each
 from tradewind.llm.repeated_windows import drop_repeated_windows, first_digits
 
@@ -78,7 +79,6 @@ def near_rows():
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 7)
-    monkeypatch.setattr(ngram_join, "SIGNATURE_BLOCK", 5)
     rows = near_rows()
     got = near_duplicates(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.class_id, r.class_size, r.n_links) for r in got) == Counter(
@@ -178,3 +178,26 @@ def test_pipeline_keeps_texts_with_many_copies(spark):
     text = "a text of its own\nwith two lines"
     docs = spark.createDataFrame([(i, text, len(text)) for i in range(15)], "doc_id long, text string, n_chars int")
     assert {r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {text}
+
+
+def test_a_long_chain_is_not_compared_all_with_all(spark):
+    """Texts that only resemble their neighbours: one class, links as brute force counts them, work in proportion."""
+    words = [f"w{i}" for i in range(3_000)]
+    rows = [(i, " ".join(words[3 * i:3 * i + 60])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.class_id, r.class_size, r.n_links) for r in near_duplicates(docs).collect()}
+    assert [got[i] for i, _ in rows] == brute.near_classes(rows)
+    classes = ngram_join.sketches(docs, "doc_id", "text").withColumn("copies", F.lit(1))
+    blocks = ngram_join._survivors(classes, ngram_join.least_matches()).groupBy("bucket", "i", "j").count().cache()
+    assert blocks.agg(F.max("count")).first()[0] < 60
+    assert blocks.agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 900 * 400
+
+
+def test_sorted_groups_cross_batches():
+    import pyarrow as pa
+
+    rows = [(1, 0, "a"), (1, 0, "b"), (1, 2, "c"), (3, 2, "d"), (3, 2, "e"), (3, 2, "f"), (4, 4, "g")]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at:at + size])], ["x", "y", "z"]) for at in range(0, len(rows), size)]
+        got = [(key, "".join(table.column("z").to_pylist())) for key, table in sorted_groups(iter(batches), 2)]
+        assert got == [((1, 0), "ab"), ((1, 2), "c"), ((3, 2), "def"), ((4, 4), "g")]

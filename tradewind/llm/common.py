@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -77,10 +78,41 @@ def add_columns(df: DataFrame, fields: list[T.StructField], step: Callable[[pa.R
             for batch in slices(whole, size=size):
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *step(batch)], [*batch.schema.names, *[f.name for f in fields]])
+        release_memory()
 
     return kept.mapInArrow(run, schema)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Rows that are sorted by their first `keys` columns, all of them numbers, one group after the other.
+
+    A task thus holds one group and one batch, however large the groups before and after it are.
+    """
+    held: list[pa.RecordBatch] = []
+    current: tuple[int, ...] = ()
+    for batch in batches:
+        values = np.column_stack([batch.column(k).to_numpy() for k in range(keys)])
+        starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(axis=1)))) if len(values) else []
+        for start, end in zip(starts, [*starts[1:], len(values)]):
+            key = tuple(values[start].tolist())
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def release_memory() -> None:
+    """Gives what a worker process no longer uses back to the system: idle workers otherwise keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

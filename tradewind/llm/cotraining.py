@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import add_columns, slices, stored, without
+from tradewind.llm.common import add_columns, release_memory, slices, stored, without
+from tradewind.llm.hashing import KEPT_POWERS
 
 TARGETS = ("quality", "toxic")
 TEXT_BUCKETS, PAGE_BUCKETS = 1 << 18, 1 << 12
@@ -26,7 +27,7 @@ DOC_TOKENS = 3_000  # a document with more features counts as so many
 MIN_Z, MAX_WEIGHT = 3.0, 4.0
 RIDGE = 0.01  # penalty on scaled coefficients: only so that classes which separate have a finite minimum
 CHUNK = 1 << 12
-SLICE_BYTES = 1 << 20  # of text at once; its features take some 60 times as much
+SLICE_BYTES = 1 << 18  # of text at once; its features take some 60 times as much
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -38,13 +39,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept by the worker process."""
-    if len(_powers[0]) < size:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    """Powers of the base and of its inverse modulo 2^64; those of ordinary slices are kept by the worker process."""
+    tables = _powers
+    if len(tables[0]) < size:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
-            _powers[i] = np.multiply.accumulate(factors)
-    return _powers[0][:size], _powers[1][:size]
+            tables.append(np.multiply.accumulate(factors))
+        if size <= KEPT_POWERS:
+            _powers[:] = tables
+    return tables[0][:size], tables[1][:size]
 
 
 def _bucket(values: np.ndarray, salt: int, buckets: int) -> np.ndarray:
@@ -198,6 +203,7 @@ def _batches(batches: Iterator[pa.RecordBatch], page_cols: int):
         for batch in slices(whole, size=SLICE_BYTES):
             pages = list(zip(*[batch.column(2 + i).to_pylist() for i in range(page_cols)])) if page_cols else [()] * batch.num_rows
             yield batch.column(0).to_pylist(), features(batch.column(1).to_pylist(), pages), batch.num_rows
+    release_memory()
 
 
 def _gather(rows: DataFrame, labels: dict, page_cols: int, model: Model | None) -> np.ndarray:

@@ -9,6 +9,7 @@ from tradewind.llm.common import WORD_BYTES
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+KEPT_POWERS = 1 << 19
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -20,13 +21,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept by the worker process."""
-    if len(_tables[0]) < size:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    """Powers of the base and of its inverse modulo 2^64; those of ordinary slices are kept by the worker process."""
+    tables = _tables
+    if len(tables[0]) < size:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
-            _tables[i] = np.multiply.accumulate(factors)
-    return _tables[0][:size], _tables[1][:size]
+            tables.append(np.multiply.accumulate(factors))
+        if size <= KEPT_POWERS:
+            _tables[:] = tables
+    return tables[0][:size], tables[1][:size]
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:

@@ -9,10 +9,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import bit_filter, hash128, slices, stored, with_filter
+from tradewind.llm.common import bit_filter, hash128, release_memory, slices, sorted_groups, stored, with_filter
 from tradewind.llm.components import components
 from tradewind.llm.hashing import mixed, shingles, word_hashes
 
@@ -21,9 +21,8 @@ BANDS, ROWS = 32, 4  # a pair at the threshold shares no band once in 2e7
 HASHES = BANDS * ROWS
 STEP = 16  # hashes compared between two prunings
 TOLERANCE = 1e-6  # a pair is dropped when its posterior chance of reaching the threshold is below
-SIGNATURE_BLOCK = 512  # texts of one bucket that are compared in one go
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 250_000  # of one block when verifying
-SLICE_BYTES = 1 << 20  # of text at once; its hashes take some 40 times as much
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 250_000  # of one bucket that are compared and verified in one go
+SLICE_BYTES = 1 << 18  # of text at once; its hashes take some 40 times as much
 
 _random = np.random.default_rng(20240607)
 _FACTOR = (_random.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -121,22 +120,43 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return (both * limit.denominator >= union * limit.numerator) & (both > 0)
 
 
-def _in_blocks(df: DataFrame, key: str, blocks: Column) -> DataFrame:
-    """Deals the rows of a group into blocks, and each block to all pairs of blocks it is in: `part`, `i`, `j`."""
-    part = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
-    dealt = df.withColumn("_blocks", blocks).withColumn("part", part)
-    dealt = dealt.withColumn("_other", F.explode(F.expr("sequence(0, cast(_blocks as int) - 1)")))
-    return dealt.withColumn("i", F.least("part", "_other")).withColumn("j", F.greatest("part", "_other")).drop("_blocks", "_other")
+def _in_blocks(df: DataFrame) -> DataFrame:
+    """Deals the members of a bucket into its `blocks`, and each block to all pairs of blocks it is in: `part`, `i`, `j`.
+
+    Rows come out sorted by (bucket, i, j), each such group in one task.
+    """
+    part = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = df.withColumn("part", part).withColumn("_other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
+    dealt = dealt.withColumn("i", F.least("part", "_other")).withColumn("j", F.greatest("part", "_other"))
+    return dealt.drop("blocks", "_other")
+
+
+def _by_block_pair(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("bucket", "i", "j", *columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """One group after the other, so that a batch of large groups is not held as Python objects."""
-    for row in range(batch.num_rows):
-        yield tuple(column[row].as_py() for column in batch.columns)
+class _Members:
+    """The members of two blocks of a bucket that are compared with each other."""
 
+    def __init__(self, key: tuple[int, ...], rows: pa.Table):
+        _, self.i, self.j = key
+        self.keys = rows.column("key").to_pylist()
+        self.parts = rows.column("part").to_numpy()
+        self.band = int(rows.column("band")[0].as_py())
+        signs = b"".join(rows.column("sign").to_pylist())
+        self.signs = np.frombuffer(signs, "<u2").reshape(-1, HASHES)
+        self.bands = np.frombuffer(signs, "<u8").reshape(-1, BANDS)
+        self.kept = (rows.column("mask").to_numpy()[:, None] >> np.arange(BANDS)) & 1 > 0
 
-def _sides(i: int, j: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(parts == i), np.flatnonzero(parts == j)
+    def pairs(self, least: list[int]) -> np.ndarray:
+        """Pairs that survive the pruning and are this bucket's to verify: the first that both ends are in."""
+        left, right = np.flatnonzero(self.parts == self.i), np.flatnonzero(self.parts == self.j)
+        found = plausible_pairs(self.signs[left], self.signs[right], least)
+        a, b = left[found[:, 0]], right[found[:, 1]]
+        if self.i == self.j:
+            a, b = a[a < b], b[a < b]
+        first = ((self.bands[a] == self.bands[b]) & self.kept[a]).argmax(axis=1)
+        return np.column_stack([a, b])[first == self.band]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,87 +176,87 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()),
                      pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
                     ["id", "t", "key", "n", "sign", "buckets"])
+        release_memory()
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), hash128(text).alias("t"), text.alias("text"))
     return rows.mapInArrow(sketch, "id bigint, t struct<a: bigint, b: bigint>, key binary, n bigint, sign binary, buckets array<bigint>")
 
 
-def _plausible(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (u, v) that connect all shingle sets with a band in common that survive the pruning."""
-    least = least_matches(threshold, tolerance)
-    spread = classes.select("key", F.explode("buckets").alias("bucket"))
-    buckets = (spread.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("who"), F.min("key").alias("first"))
-               .filter("n > 1"))
+def _survivors(classes: DataFrame, least: list[int]) -> DataFrame:
+    """Members of bucket blocks that have a pair to verify there: bucket, i, j, key, part, band, mask.
+
+    `band` is the bucket's place among the bands, `mask` has a bit for each band in which the member's bucket counts.
+    """
+    spread = classes.select("key", "n", F.posexplode("buckets").alias("band", "bucket"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    buckets = (spread.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"),
+                                            F.bit_xor(F.xxhash64("key")).alias("who"), F.min("key").alias("first"))
+               .filter("members > 1"))
     # buckets with the same members are one piece of work, whatever their band
-    buckets = stored(buckets.groupBy("n", "who", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "near-buckets")
-    members = spread.join(buckets, "bucket")
-    members = _in_blocks(members, "key", F.ceil(F.col("n") / SIGNATURE_BLOCK))
-    members = members.join(classes.select("key", "sign"), "key")
-    groups = members.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("key", "part", "sign")).alias("m"))
+    buckets = stored(buckets.groupBy("members", "who", "first").agg(F.min("bucket").alias("bucket"), F.first("shingles").alias("shingles"))
+                     .select("bucket", blocks.alias("blocks")), "near-buckets")
+    members = stored(spread.join(buckets, "bucket").select("bucket", "band", "blocks", "key"), "near-members")
+    masks = members.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    rows = members.join(masks.join(classes.select("key", "sign"), "key"), "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
-            for i, j, rows in _rows(batch):
-                signs = np.frombuffer(b"".join(r["sign"] for r in rows), "<u2").reshape(len(rows), HASHES)
-                left, right = _sides(i, j, np.array([r["part"] for r in rows]))
-                pairs = plausible_pairs(signs[left], signs[right], least)
-                pairs = np.column_stack([left[pairs[:, 0]], right[pairs[:, 1]]])
-                for a, b in _forest(len(rows), pairs[pairs[:, 0] != pairs[:, 1]]):
-                    u.append(rows[a]["key"])
-                    v.append(rows[b]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+        for (bucket, i, j), table in sorted_groups(batches, 3):
+            pairs = _Members((bucket, i, j), table).pairs(least)
+            if len(pairs):
+                yield from table.take(np.unique(pairs)).drop_columns(["sign"]).combine_chunks().to_batches()
+        release_memory()
 
-    return groups.select("i", "j", "m").mapInArrow(compare, "u binary, v binary")
+    return _by_block_pair(_in_blocks(rows), "key", "part", "band", "mask", "sign").mapInArrow(
+        compare, "bucket bigint, i int, j int, key binary, part int, band int, mask bigint")
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame, threshold: float) -> DataFrame:
-    """Of groups of shingle sets: per set how many documents it is linked with (`links`), and edges that connect what is linked.
-
-    `chosen`: group, its number of blocks, and of each set key, copies, and one of its texts by hash and id.
-    """
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, chosen: DataFrame) -> DataFrame:
+    """key, found: the shingles of each chosen set, from one of its texts (given by hash and id). A row that repeats both repeats here."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(hash128(text).alias("t"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("id"), text.alias("text"))
     # most texts have no near duplicate: they are not shuffled
     words = stored(bit_filter(chosen.select("t.a")), "near-filter")
     texts = with_filter(texts, words, F.col("t.a"), "_may").filter("_may").drop("_may")
-    rows = texts.join(chosen, ["t", "id"]).select("root", "blocks", "key", "copies", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, size=SLICE_BYTES):
-                sets = [shingles(words, SHINGLE).tobytes() for words in word_hashes(batch.column(4).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["root", "blocks", "key", "copies", "found"])
+                sets = [shingles(words, SHINGLE).tobytes() for words in word_hashes(batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "found"])
+        release_memory()
+
+    return texts.join(chosen, ["t", "id"]).select("key", "text").mapInArrow(cut, "key binary, found binary")
 
-    cuts = rows.mapInArrow(cut, "root binary, blocks bigint, key binary, copies bigint, found binary")
-    groups = _in_blocks(cuts, "key", F.col("blocks")).groupBy("root", "i", "j").agg(
-        F.collect_list(F.struct("key", "part", "copies", "found")).alias("m"))
+
+def _verified(survivors: DataFrame, classes: DataFrame, sets: DataFrame, least: list[int], threshold: float) -> DataFrame:
+    """Per set how many documents it is linked with in a block (`links`), and edges (u, v) that connect what is linked."""
+    rows = survivors.join(sets, "key").join(classes.select("key", "copies", "sign"), "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i, j, rows in _rows(batch):
-                rows = list({r["key"]: r for r in rows}.values())  # rows that repeat id and text
-                sets = [np.frombuffer(r["found"], np.uint64) for r in rows]
-                left, right = _sides(i, j, np.array([r["part"] for r in rows]))
-                if not len(left) or not len(right):
-                    continue
-                hit = linked(sets, left, right, threshold)
-                copies = np.array([r["copies"] for r in rows], np.int64)
-                count = np.zeros(len(rows), np.int64)
-                if i == j:
-                    np.fill_diagonal(hit, False)
-                    count[left] = hit @ copies[right]
-                else:
-                    count[left], count[right] = hit @ copies[right], hit.T @ copies[left]
-                a, b = np.nonzero(hit)
-                out += [(rows[r]["key"], None, int(count[r])) for r in np.flatnonzero(count)]
-                out += [(rows[a]["key"], rows[b]["key"], 0) for a, b in _forest(len(rows), np.column_stack([left[a], right[b]]))]
-            columns = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], ["u", "v", "links"])
-
-    return groups.select("i", "j", "m").mapInArrow(verify, "u binary, v binary, links bigint")
+        for group, table in sorted_groups(batches, 3):
+            first = {key: row for row, key in enumerate(table.column("key").to_pylist())}  # rows that repeat id and text
+            table = table.take(sorted(first.values()))
+            members = _Members(group, table)
+            pairs = members.pairs(least)
+            if not len(pairs):
+                continue
+            sets = [np.frombuffer(found, np.uint64) for found in table.column("found").to_pylist()]
+            left, right = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+            hit = linked(sets, left, right, threshold)
+            pairs = pairs[hit[np.searchsorted(left, pairs[:, 0]), np.searchsorted(right, pairs[:, 1])]]
+            copies = table.column("copies").to_numpy()
+            count = np.zeros(len(copies), np.int64)
+            np.add.at(count, pairs[:, 0], copies[pairs[:, 1]])
+            np.add.at(count, pairs[:, 1], copies[pairs[:, 0]])
+            out = [(members.keys[r], None, int(count[r])) for r in np.flatnonzero(count)]
+            out += [(members.keys[a], members.keys[b], 0) for a, b in _forest(len(copies), pairs)]
+            if out:
+                u, v, n = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], ["u", "v", "links"])
+        release_memory()
+
+    return _by_block_pair(rows, "key", "part", "band", "mask", "sign", "copies", "found").mapInArrow(verify, "u binary, v binary, links bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -251,12 +271,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal shingle sets count once, with their number. MinHash bands propose pairs: one at the
     threshold shares none of them with a chance of 5e-8. Pairs in a bucket are compared hash by hash and dropped when
-    their posterior chance falls below `tolerance`. What survives connects groups; within a group all pairs are
-    verified exactly on whole texts, so only a link whose ends nothing else connects could be lost to these chances.
-    Pairs are never rows: a task takes two blocks of a bucket or group and returns counts and a spanning forest.
-    Large groups are thus split over pairs of blocks of bounded size; their work is that of their links.
+    their posterior chance falls below `tolerance`; the others are verified exactly on whole texts, each in the first
+    bucket that both ends share, so that links are counted once. Classes come from true links only: candidates that are
+    no links connect nothing, however long their chains.
+    Pairs are never rows: a task takes two blocks of a bucket and returns counts and a spanning forest.
+    Large buckets are thus split over pairs of blocks of bounded size; their work is that of their links.
     """
-    return _classified(docs, id_col, text_col, threshold, tolerance).drop("_t")
+    return _classified(docs, id_col, text_col, threshold, tolerance)[0].drop("_t")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -265,31 +286,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat both id and text count as one, wordless ones included.
     """
-    found = _classified(docs, id_col, text_col, threshold, tolerance).filter("first_in_class")
+    found, sketched = _classified(docs, id_col, text_col, threshold, tolerance)
+    found = found.filter("first_in_class")
     stay = stored(found.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias("_i"), F.col(f"`{id_col}`").isNull().alias("_none"), "_t"), "near-stay")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = ["_i", "_none", "_t"]
     rows = docs.withColumns({"_i": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_none": F.col(f"`{id_col}`").isNull(), "_t": hash128(text)})
     rows = rows.join(stay.distinct(), key, "left_semi")
-    repeated = docs.select(f"`{id_col}`", hash128(text).alias("_t")).groupBy(f"`{id_col}`", "_t").count().filter("count > 1").limit(1).count()
+    repeated = sketched.groupBy("id", "t").count().filter("count > 1").limit(1).count()
     return (rows.dropDuplicates(key) if repeated else rows).drop(*key)
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
-    """`near_duplicates` with the hash of the text as `_t`."""
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """`near_duplicates` with the hash of the text as `_t`, and the stored sketches."""
     rows = stored(sketches(docs, id_col, text_col), "near-sketches")
     classes = rows.filter("key is not null").groupBy("key").agg(
         F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sign").alias("sign"),
         F.first("buckets").alias("buckets"), F.min(F.struct("t", F.coalesce("id", F.lit(0)).alias("id"))).alias("text"))
     classes = stored(classes, "near-classes")
-    coarse = stored(components(_plausible(classes, threshold, tolerance)), "near-groups")
-
-    sized = coarse.join(classes.select(F.col("key").alias("node"), "n"), "node").groupBy("root").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    sized = stored(sized, "near-blocks")
-    chosen = (coarse.join(sized, "root").join(classes.select(F.col("key").alias("node"), "copies", "text"), "node")
-              .select("root", "blocks", F.col("node").alias("key"), "copies", F.col("text.t").alias("t"), F.col("text.id").alias("id")))
-    found = stored(_verified(docs, id_col, text_col, stored(chosen, "near-chosen"), threshold), "near-links")
+    least = least_matches(threshold, tolerance)
+    survivors = stored(_survivors(classes, least), "near-survivors")
+    chosen = survivors.select("key").distinct().join(classes, "key").select("key", F.col("text.t").alias("t"), F.col("text.id").alias("id"))
+    sets = stored(_shingle_sets(docs, id_col, text_col, stored(chosen, "near-chosen")), "near-sets")
+    found = stored(_verified(survivors, classes, sets, least, threshold), "near-links")
 
     links = found.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     groups = components(found.filter("v is not null").select("u", "v")).select(F.col("node").alias("key"), "root")
@@ -306,4 +325,4 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float, t
     return out.select(
         F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        (alone | F.coalesce(F.col("_row") == F.col("_first"), F.lit(False))).alias("first_in_class"), F.col("t").alias("_t"))
+        (alone | F.coalesce(F.col("_row") == F.col("_first"), F.lit(False))).alias("first_in_class"), F.col("t").alias("_t")), rows
