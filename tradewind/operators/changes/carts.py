@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, new_id, one_row_per_request, split
+from ...plans.requests import Change, ChangeSet, first_reason, last, new_id, one_row_per_request, split
 from ...plans.sequence import ordered_blocks
 from ...plans.serving import serve
 from ...plans.skew import look_up
@@ -53,10 +53,10 @@ def add_to_cart(t, requests: DataFrame) -> Change:
     lines = t["cart_items"]
     existing = lines.withColumnRenamed("item_id", "line_id").withColumn("item_id", item_id())
     keys = ["cart_id", *ITEM_KEY]
-    merged = existing.join(placed.select(*keys, "added"), keys, "left").select(
-        F.col("line_id").alias("item_id"), "cart_id", "item_type", "pet_id", "product_id",
-        (F.col("quantity") + F.coalesce("added", F.lit(0))).alias("quantity"), "created_at",
-    )
+    both_lines = existing.join(placed.select(*keys, "added"), keys, "left")
+    line = [F.col("line_id").alias("item_id"), "cart_id", "item_type", "pet_id", "product_id",
+            (F.col("quantity") + F.coalesce("added", F.lit(0))).alias("quantity"), "created_at"]
+    merged, grown = both_lines.select(*line), both_lines.filter(F.col("added").isNotNull()).select(*line)
     new_lines = placed.join(existing.select(*keys), keys, "left_anti").select(
         new_id("line", "cart_id", "item_type", "item_id").alias("item_id"),
         "cart_id", "item_type", "pet_id", "product_id", F.col("added").alias("quantity"),
@@ -66,7 +66,7 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         "cart": t["cart"].unionByName(new_carts, allowMissingColumns=True),
         "cart_items": merged.unionByName(new_lines),
     }
-    return Change(tables, accepted, rejected)
+    return Change(tables, accepted, rejected, {"cart": ChangeSet(new_carts), "cart_items": ChangeSet(grown.unionByName(new_lines))})
 
 
 def _within_int(t, judged: DataFrame) -> DataFrame:
@@ -144,14 +144,16 @@ def edit_cart(t, requests: DataFrame) -> Change:
     edits = accepted.filter(op != "clear").groupBy("item_id").agg(
         last("quantity", op == "set").alias("_quantity"), F.max(op == "remove").alias("_gone")
     )
-    state = (
+    marked = (
         t["cart_items"].join(edits, "item_id", "left")
         .join(cleared.select("cart_id", F.lit(True).alias("_emptied")), "cart_id", "left")
-        .filter(~F.coalesce("_gone", F.lit(False)) & F.col("_emptied").isNull())
-        .withColumn("quantity", F.coalesce("_quantity", "quantity"))
     )
+    stays = ~F.coalesce("_gone", F.lit(False)) & F.col("_emptied").isNull()
+    state = marked.filter(stays).withColumn("quantity", F.coalesce("_quantity", "quantity"))
+    written = ChangeSet(state.filter(F.col("_quantity").isNotNull()).select(*t["cart_items"].columns),
+                        marked.filter(F.col("_gone") | F.col("_emptied")).select("item_id"))
     tables = {
         "cart": t["cart"].unionByName(new_carts, allowMissingColumns=True),
         "cart_items": state.select(*t["cart_items"].columns),
     }
-    return Change(tables, accepted, late.unionByName(refused))
+    return Change(tables, accepted, late.unionByName(refused), {"cart": ChangeSet(new_carts), "cart_items": written})

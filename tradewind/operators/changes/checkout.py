@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ... import schema
 from ...functions import blank
 from ...functions.money import MONEY, TOTAL
-from ...plans.requests import Change, first_reason, new_id, one_row_per_request, rejections, touch
+from ...plans.requests import Change, ChangeSet, first_reason, named_in, new_id, one_row_per_request, rejections, touch
 from ...plans.sequence import ordered_blocks
 from ...plans.serving import serve, short_of
 from ...plans.skew import look_up, merge_facts
@@ -21,9 +21,10 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
 
     Each request is all or nothing and they are served in batch order: an order takes its stock, a refused one
     takes none, and any accepted order empties its buyer's cart. Prices come from the catalogue. Only items
-    named directly must be active; cart lines are not checked again.
+    named directly must be active; cart lines are not checked again. A request whose order is already there, from
+    an earlier batch, is rejected as duplicate_request and takes nothing.
     """
-    served = _prepare(requests)
+    served = _not_yet_served(t, _prepare(requests))
     refused = served.filter("reason is not null")
     numbered = ordered_blocks(served.filter("reason is null").drop("reason"), [F.col("request_ts"), F.col("request_id")])
     sound, followers = _leaders(numbered.filter("doom is null").drop("doom"))
@@ -56,15 +57,26 @@ def checkout(t, requests: DataFrame, as_of: Column) -> Change:
 
     sold = lines.join(accepted.select("request_id"), "request_id", "left_semi")
     orders = _new_orders(t, accepted, sold)
-    tables = {
-        "orders": t["orders"].unionByName(orders, allowMissingColumns=True),
-        "order_items": t["order_items"].unionByName(_new_order_items(sold), allowMissingColumns=True),
-        "payments": t["payments"].unionByName(_new_payments(orders, accepted), allowMissingColumns=True),
-        "cart_items": _remaining_cart_items(t, accepted),
-    }
+    added = {"orders": orders, "order_items": _new_order_items(sold), "payments": _new_payments(orders, accepted)}
+    tables = {name: t[name].unionByName(rows, allowMissingColumns=True) for name, rows in added.items()}
+    sets = {name: ChangeSet(rows) for name, rows in added.items()}
+    emptied_carts = _emptied_carts(t, accepted)
+    tables["cart_items"] = t["cart_items"].join(emptied_carts, "cart_id", "left_anti")
+    sets["cart_items"] = ChangeSet(gone=t["cart_items"].join(emptied_carts, "cart_id", "left_semi").select("item_id"))
     for kind, (table, key, _) in KINDS.items():
-        tables[table] = _reduced_stock(t[table], sold, kind, key, as_of)
-    return Change(tables, orders, rejected)
+        reduced = _reduced_stock(t[table], sold, kind, key, as_of)
+        tables[table] = reduced.select(*t[table].columns)
+        sets[table] = ChangeSet(reduced.filter(F.col("_sold").isNotNull()).select(*t[table].columns))
+    return Change(tables, orders, rejected, sets)
+
+
+def _not_yet_served(t, prepared: DataFrame) -> DataFrame:
+    """Refuses requests whose order an earlier batch has written."""
+    ids = prepared.withColumn("order_id", new_id("order", "request_id"))
+    written = named_in(t["orders"].select("order_id"), ids, "order_id").withColumn("_written", F.lit(True))
+    known = look_up(ids, written, ["order_id"], from_batch=True)
+    reason = F.when(F.col("_written"), F.lit("duplicate_request")).otherwise(F.col("reason"))
+    return known.withColumn("reason", reason).drop("order_id", "_written")
 
 
 def _prepare(requests: DataFrame) -> DataFrame:
@@ -234,16 +246,16 @@ def _new_payments(orders: DataFrame, accepted: DataFrame) -> DataFrame:
     ).withColumn("status", F.lit("unpaid"))
 
 
-def _remaining_cart_items(t, accepted: DataFrame) -> DataFrame:
-    emptied = t["cart"].join(accepted.select(F.col("actor_id").alias("buyer_id")), "buyer_id", "left_semi")
-    return t["cart_items"].join(emptied.select("cart_id"), "cart_id", "left_anti")
+def _emptied_carts(t, accepted: DataFrame) -> DataFrame:
+    return t["cart"].join(accepted.select(F.col("actor_id").alias("buyer_id")), "buyer_id", "left_semi").select("cart_id")
 
 
 def _reduced_stock(items: DataFrame, sold: DataFrame, kind: str, key: str, as_of: Column) -> DataFrame:
+    """Items with `_sold`, NULL for those of which nothing was sold."""
     pieces = (
         sold.filter(F.col("item_type") == kind).groupBy(F.col("item_id").alias(key))
         .agg(F.sum("quantity").cast("int").alias("_sold"))
     )
     joined = touch(items.join(pieces, key, "left"), F.col("_sold").isNotNull(), as_of)
     left = (F.col("stock") - F.coalesce("_sold", F.lit(0))).cast("int")
-    return joined.withColumn("stock", left).select(*items.columns)
+    return joined.withColumn("stock", left)

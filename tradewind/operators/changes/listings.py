@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
-from ...plans.requests import Change, first_reason, last_given, new_id, one_row_per_request, split, touch
+from ...plans.requests import Change, ChangeSet, first_reason, last_given, new_id, one_row_per_request, split, touch
 from ...plans.skew import look_up
 from ..items import KINDS
 
@@ -65,7 +65,7 @@ def create_listings(t, kind: str, requests: DataFrame) -> Change:
         "created_at": F.col("request_ts"),
         "updated_at": F.col("request_ts"),
     }).drop("request_id", "request_ts", "actor_id", "actor_role")
-    return Change({table: t[table].unionByName(rows, allowMissingColumns=True)}, rows, rejected)
+    return Change({table: t[table].unionByName(rows, allowMissingColumns=True)}, rows, rejected, {table: ChangeSet(rows)})
 
 
 class Patch(NamedTuple):
@@ -133,7 +133,8 @@ def patch_rows(t, patch: Patch, requests: DataFrame, as_of: Column) -> Change:
         c: F.coalesce(F.col(f"_new_{c}").cast(t[table].schema[c].dataType), F.col(c)) for c in columns
     })
     merged = touch(merged, F.col("_changed"), as_of)
-    return Change({table: merged.select(*t[table].columns)}, accepted, rejected)
+    written = merged.filter(F.col("_changed").isNotNull()).select(*t[table].columns)
+    return Change({table: merged.select(*t[table].columns)}, accepted, rejected, {table: ChangeSet(written)})
 
 
 @one_row_per_request
@@ -153,4 +154,5 @@ def soft_delete(t, table: str, requests: DataFrame, as_of: Column) -> Change:
     merged = touch(merged, F.col("_gone"), as_of).withColumn(
         "is_active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("is_active"))
     )
-    return Change({table: merged.select(*t[table].columns)}, accepted, rejected)
+    written = merged.filter(F.col("_gone").isNotNull()).select(*t[table].columns)
+    return Change({table: merged.select(*t[table].columns)}, accepted, rejected, {table: ChangeSet(written)})

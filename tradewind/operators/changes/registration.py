@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions import blank, js_trim, valid_email
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, named_in, new_id, one_row_per_request, rejections, split
+from ...plans.requests import Change, ChangeSet, first_reason, named_in, new_id, one_row_per_request, rejections, split
 from ...plans.skew import look_up, merge_facts
 
 MIN_PASSWORD = 6
@@ -60,4 +60,5 @@ def register_users(t, requests: DataFrame) -> Change:
         "users": t["users"].unionByName(users, allowMissingColumns=True),
         "cart": t["cart"].unionByName(carts, allowMissingColumns=True),
     }
-    return Change(tables, users, rejections(refused).unionByName(duplicates))
+    sets = {"users": ChangeSet(users), "cart": ChangeSet(carts)}
+    return Change(tables, users, rejections(refused).unionByName(duplicates), sets)

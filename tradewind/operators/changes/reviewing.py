@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ... import schema
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, named_in, new_id, one_row_per_request, rejections, split
+from ...plans.requests import Change, ChangeSet, first_reason, named_in, new_id, one_row_per_request, rejections, split
 from ...plans.skew import look_up, merge_facts
 from ..items import item_id
 from ..reviews import delivered_lines
@@ -50,4 +50,4 @@ def create_reviews(t, requests: DataFrame) -> Change:
         F.when(F.col("comment") != "", F.col("comment")).alias("comment"), F.col("request_ts").alias("created_at"),
     )
     reviews = t["reviews"].unionByName(rows, allowMissingColumns=True)
-    return Change({"reviews": reviews}, rows, rejections(refused).unionByName(late))
+    return Change({"reviews": reviews}, rows, rejections(refused).unionByName(late), {"reviews": ChangeSet(rows)})

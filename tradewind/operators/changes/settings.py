@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions import as_number, blank, js_trim
 from ...functions.ordering import request_order
-from ...plans.requests import Change, first_reason, last, one_row_per_request, rejections, split
+from ...plans.requests import Change, ChangeSet, first_reason, last, one_row_per_request, rejections, split
 from ...plans.sequence import dense_sequence
 from ...plans.skew import look_up, merge_facts
 
@@ -41,7 +41,8 @@ def upsert_settings(t, requests: DataFrame) -> Change:
         "key", F.coalesce("new_value", "value").alias("value"),
         F.coalesce("new_time", "updated_at").alias("updated_at"),
     )
-    return Change({"app_settings": merged}, accepted, rejected)
+    written = merged.join(latest.select("key"), "key", "left_semi")
+    return Change({"app_settings": merged}, accepted, rejected, {"app_settings": ChangeSet(written)})
 
 
 @one_row_per_request
@@ -71,4 +72,4 @@ def create_categories(t, requests: DataFrame) -> Change:
         F.col("request_ts").alias("created_at"),
     )
     categories = t["categories"].unionByName(rows, allowMissingColumns=True)
-    return Change({"categories": categories}, rows, rejections(refused).unionByName(late))
+    return Change({"categories": categories}, rows, rejections(refused).unionByName(late), {"categories": ChangeSet(rows)})

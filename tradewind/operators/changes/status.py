@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ... import schema
 from ...functions import blank
-from ...plans.requests import Change, first_reason, last, named_in, one_row_per_request, split, touch
+from ...plans.requests import Change, ChangeSet, first_reason, last, named_in, one_row_per_request, split, touch
 from ...plans.skew import look_up
 
 
@@ -31,8 +31,10 @@ def set_order_status(t, requests: DataFrame, as_of: Column) -> Change:
     accepted, rejected = split(judged)
     final = accepted.groupBy("order_id").agg(last("status").alias("_status"))
     orders = touch(t["orders"].join(final, "order_id", "left"), F.col("_status").isNotNull(), as_of)
+    changed = F.col("_status").isNotNull()
     orders = orders.withColumn("status", F.coalesce("_status", "status"))
-    return Change({"orders": orders.select(*t["orders"].columns)}, accepted, rejected)
+    columns = t["orders"].columns
+    return Change({"orders": orders.select(*columns)}, accepted, rejected, {"orders": ChangeSet(orders.filter(changed).select(*columns))})
 
 
 def judge_payments(requests: DataFrame, payments: DataFrame) -> DataFrame:
@@ -56,24 +58,27 @@ def payment_fold() -> list[Column]:
     ]
 
 
-def merge_payments(t, folded: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """New payments and orders from one folded row per payment."""
+def merge_payments(t, folded: DataFrame, as_of: Column) -> tuple[dict[str, DataFrame], dict[str, ChangeSet]]:
+    """New payments and orders from one folded row per payment, and the rows of both that changed."""
     joined = t["payments"].join(folded, "payment_id", "left")
     changed = F.col("_status").isNotNull()
     paid_at = F.when(changed & (F.col("_status") == "paid"), F.col("_last_ts")).when(~changed, F.col("paid_at"))
-    merged = touch(joined, changed, as_of).withColumns({
+    merged = touch(joined, changed, as_of).withColumn("_written", changed).withColumns({
         "reference_no": F.coalesce("_reference", "reference_no"),
         "paid_at": paid_at,
         "status": F.coalesce("_status", "status"),
-    }).select(*t["payments"].columns)
+    })
     paid_orders = (
         t["payments"].select("payment_id", "order_id").join(folded.filter("_was_paid"), "payment_id")
         .select("order_id").distinct().withColumn("_paid", F.lit(True))
     )
     moves = F.coalesce("_paid", F.lit(False)) & (F.col("status") == "pending")
-    orders = touch(t["orders"].join(paid_orders, "order_id", "left"), moves, as_of)
+    orders = touch(t["orders"].join(paid_orders, "order_id", "left"), moves, as_of).withColumn("_moves", moves)
     orders = orders.withColumn("status", F.when(moves, F.lit("processing")).otherwise(F.col("status")))
-    return {"payments": merged, "orders": orders.select(*t["orders"].columns)}
+    of = lambda df, table: df.select(*t[table].columns)
+    sets = {"payments": ChangeSet(of(merged.filter("_written"), "payments")),
+            "orders": ChangeSet(of(orders.filter(F.col("_paid").isNotNull() & F.col("_moves")), "orders"))}
+    return {"payments": of(merged, "payments"), "orders": of(orders, "orders")}, sets
 
 
 @one_row_per_request
@@ -82,4 +87,5 @@ def apply_payments(t, requests: DataFrame, as_of: Column) -> Change:
     last update if that one is paid. A pending order moves to processing if any accepted update was paid."""
     accepted, rejected = split(judge_payments(requests, t["payments"]))
     folded = accepted.groupBy("payment_id").agg(*payment_fold())
-    return Change(merge_payments(t, folded, as_of), accepted, rejected)
+    tables, sets = merge_payments(t, folded, as_of)
+    return Change(tables, accepted, rejected, sets)

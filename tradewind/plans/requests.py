@@ -12,12 +12,23 @@ from ..session import checkpoint_dir
 from .skew import batch_rows
 
 
+class ChangeSet(NamedTuple):
+    """What a batch does to one table: whole rows that are new or replace those with their key, and keys that go."""
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
 class Change(NamedTuple):
-    """Result of a change operator: new tables by name, accepted requests, rejected requests with a reason."""
+    """Result of a change operator: new tables by name, accepted requests, rejected requests with a reason.
+
+    `sets` has the same change as rows and keys by table, which `merge_snapshot` writes where they belong.
+    """
 
     tables: dict[str, DataFrame]
     accepted: DataFrame
     rejected: DataFrame
+    sets: dict[str, ChangeSet] = {}
 
 
 def once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:

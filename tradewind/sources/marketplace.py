@@ -1,26 +1,28 @@
 """Typed load of the marketplace tables."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
 
 
-def load_marketplace(spark: SparkSession, path: str, format: str = "parquet") -> dict[str, DataFrame]:
-    """All tables below one folder, each with its declared schema (no inference pass over the data).
+def load_marketplace(spark: SparkSession, path: str, format: str = "parquet", tables: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """All tables below one folder (or those named), each with its declared schema (no inference pass over the data).
 
     format is any file source: parquet, orc, json or csv. Snapshots keep orders in month folders; the month stays
-    as an extra column of orders, where it prunes the monthly reports.
+    as an extra column of orders, where it prunes the monthly reports. Folders by key leave no column.
     """
-    tables = {}
-    for table in schema.TABLES:
+    loaded = {}
+    for table in schema.TABLES if tables is None else tables:
         declared = schema.ddl(table)
         if table == "orders":
             declared += ", month string"
         reader = spark.read.schema(declared).format(format)
         if format == "csv":
             reader = reader.option("header", True)
-        tables[table] = reader.load(f"{path.rstrip('/')}/{table}")
-    return tables
+        loaded[table] = reader.load(f"{path.rstrip('/')}/{table}").drop("part")
+    return loaded
 
 
 def read_database(spark: SparkSession, url: str, table: str, partition_column: str | None = None,

@@ -63,7 +63,7 @@ def payments_stream(t, updates: DataFrame, folder: str, as_of: Column) -> dict[s
     unsure.awaitTermination()
     found = spark.read.schema(_FAULTS).option("recursiveFileLookup", "true").parquet(faults)
     return {
-        **merge_payments(t, stream_state(spark, state), as_of),
+        **merge_payments(t, stream_state(spark, state), as_of)[0],
         "rejected": found.filter("line is null").drop("line").distinct(),
         "malformed": found.filter("line is not null").select("line"),
     }

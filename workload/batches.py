@@ -360,16 +360,19 @@ _ADD = {
 }
 
 
-def _add(spark, sf_dir):
-    t = marketplace(spark, sf_dir)
+def _add_requests(t) -> DataFrame:
     e = F.col("event_id")
     parts = _events(t).withColumn("part", F.when(e % 13 == 0, F.col("k") + 100000000).otherwise(F.col("k")))
-    requests = parts.select(
+    return parts.select(
         "request_id", "request_ts", "actor_id",
         F.when(F.col("event_type") == "error", "seller").otherwise("buyer").alias("actor_role"), *item_columns("part"),
-        F.when(F.col("event_type") != "view", e % 5).cast("int").alias("quantity"), "event_id",
+        F.when(F.col("event_type") != "view", e % 5).cast("int").alias("quantity"), "event_id", (F.col("event_type") == "view").alias("is_view"),
     ).withColumn("item_type", F.when(e % 29 == 0, "toy").otherwise(F.col("item_type"))).drop("event_id")
-    return changes.add_to_cart(t, requests)
+
+
+def _add(spark, sf_dir):
+    t = marketplace(spark, sf_dir)
+    return changes.add_to_cart(t, _add_requests(t).drop("is_view"))
 
 
 @query("add_to_cart", sql("""SELECT coalesce(l.cart_id, a.cart_id) AS cart_id,
