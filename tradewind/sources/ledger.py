@@ -54,7 +54,7 @@ class RequestLedger:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, f"{path.rstrip('/')}/segments"
+        self.spark, self.path, self.staging = spark, f"{path.rstrip('/')}/segments", f"{path.rstrip('/')}/staging"
         checkpoint_dir(spark)
 
     def segments(self) -> list[Segment]:
@@ -102,9 +102,8 @@ class RequestLedger:
 
     def add(self, kind: str, requests: DataFrame, batch: str) -> None:
         """Records the ids of a batch, accepted and rejected alike. Adding a batch again under its name changes nothing."""
-        name = "batch-" + hashlib.sha256(f"{kind}:{batch}".encode()).hexdigest()[:32]
         ids = requests.select(F.lit(kind).alias("kind"), "request_id").filter("request_id is not null").distinct()
-        self._put(name, 0, ids, [])
+        self._put(_name(kind, batch), 0, ids, [])
         self._compact()
 
     def _read(self, name: str, part: str, declared: str) -> DataFrame:
@@ -149,8 +148,14 @@ def apply_once(ledger: RequestLedger, kind: str, operator: Callable[..., Change]
 def commit(spark: SparkSession, path: str, ledger: RequestLedger, kind: str, batch: str, requests: DataFrame, change: Change) -> dict[str, list[str]]:
     """Merges a change into the snapshot at `path`, then records the batch's ids; returns the rewritten folders.
 
-    A commit that was lost half-way is run again with the same change, whose rows replace those already written.
+    The change is stored beside the ledger under the name of the batch before anything is merged. A commit that was lost
+    half-way is run again under that name: it goes on with what is stored, not with a change made from half-merged
+    tables. A batch that is to be committed must therefore have a name of its own.
     """
-    folders = merge_snapshot(spark, change.sets, path)
+    folders = merge_snapshot(spark, change.sets, path, staging=f"{ledger.staging}/{_name(kind, batch)}")
     ledger.add(kind, requests, batch)
     return folders
+
+
+def _name(kind: str, batch: str) -> str:
+    return "batch-" + hashlib.sha256(f"{kind}:{batch}".encode()).hexdigest()[:32]

@@ -1,8 +1,11 @@
 """Writing a state of the tables, whole or only where a batch touched it."""
 
+import json
 from math import ceil
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..plans.requests import ChangeSet
@@ -70,28 +73,43 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, format: str = "parqu
         _write(df, table, location, format)
 
 
-def merge_snapshot(spark: SparkSession, sets: dict[str, ChangeSet], path: str, format: str = "parquet") -> dict[str, list[str]]:
+def merge_snapshot(spark: SparkSession, sets: dict[str, ChangeSet], path: str, format: str = "parquet",
+                   staging: str | None = None) -> dict[str, list[str]]:
     """Writes what a batch changed into a snapshot and returns the folders it rewrote, by table.
 
     Only folders that hold a changed, new or removed row are read and written: a batch about the orders of one month leaves
-    the files of all other months as they are. The change sets are written to the work folder first, since they are
-    made from the tables that are about to change. Tables loaded before must be loaded again. A row of the change
-    set replaces the one with its key, so a merge that was lost half-way is simply run again with the same sets. An
-    order keeps its month: no operator changes created_at.
+    the files of all other months as they are. The change sets are written to `staging` first (a folder of their own in
+    the work folder if none is named), since they are made from the tables that are about to change. Tables loaded
+    before must be loaded again. A merge that was lost half-way is run again with the same `staging`: if that is
+    complete, it is what is merged, and each of its rows replaces the one with its key. An order keeps its
+    month: no operator changes created_at.
     """
-    root = path.rstrip("/")
     checkpoint_dir(spark)
-    held = {table: ChangeSet(*[df if df is None else _held(spark, df, table) for df in changed]) for table, changed in sets.items()}
-    done = {}
-    for table, changed in held.items():
-        done[table] = _merge(spark, table, changed, held, root, format)
-    return done
-
-
-def _held(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
-    folder = work_folder(spark, f"changed-{table}")
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    held = _staged(spark, sets, staging or work_folder(spark, "changed"))
+    return {table: _merge(spark, table, changed, held, path.rstrip("/"), format) for table, changed in held.items()}
+
+
+def _staged(spark: SparkSession, sets: dict[str, ChangeSet], folder: str) -> dict[str, ChangeSet]:
+    """The change sets as they are stored in the folder; stored there now unless that was done before."""
+    declared = "place string, columns string"
+    try:
+        stored = spark.read.schema(declared).json(f"{folder}/complete").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = []
+        for table, changed in sets.items():
+            for part, df in zip(ChangeSet._fields, changed):
+                if df is not None:
+                    df.write.mode("overwrite").parquet(f"{folder}/{table}/{part}")
+                    stored.append((f"{table}/{part}", df.schema.json()))
+        spark.createDataFrame(stored, declared).coalesce(1).write.mode("overwrite").json(f"{folder}/complete")
+    held = {table: ChangeSet() for table in sets}
+    for place, columns in stored:
+        table, part = place.split("/")
+        df = spark.read.schema(StructType.fromJson(json.loads(columns))).parquet(f"{folder}/{place}")
+        held[table] = held.get(table, ChangeSet())._replace(**{part: df})
+    return held
 
 
 def _read(spark: SparkSession, table: str, location: str, format: str) -> DataFrame:
@@ -109,7 +127,9 @@ def _merge(spark: SparkSession, table: str, changed: ChangeSet, sets: dict[str,
     gone = changed.gone.select(key).distinct() if changed.gone is not None else empty.select(key)
     if folder is None:
         kept = old.join(rows.select(key), key, "left_anti").join(gone, key, "left_anti")
-        _write(_held(spark, kept.unionByName(rows), table), table, location, format)
+        merged = work_folder(spark, f"merged-{table}")
+        kept.unionByName(rows).write.parquet(merged)
+        _write(spark.read.schema(old.schema).parquet(merged), table, location, format)
         return [location]
     if folder == "part":
         parts = _parts(old)
