@@ -2,11 +2,12 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tradewind.operators import changes
+from tradewind.operators import changes, standing
 from tradewind.session import work_folder
 from tradewind.sources import RequestLedger, apply_once, commit, load_marketplace, merge_snapshot, write_snapshot
 
-from .batches import _ADD, _EDIT, _EVENT, _PAY, _PAY_STATE, _add_requests, _edit, _payment_state, _payment_updates, _now
+from .batches import (_ADD, _EDIT, _EVENT, _PAY, _PAY_STATE, _REVIEW, _STATUS, _add_requests, _edit, _now, _payment_state,
+                      _payment_updates, _review, _status)
 from .registry import query
 from .star import marketplace, sql
 
@@ -79,3 +80,51 @@ def ledger_state(spark, sf_dir) -> DataFrame:
 def ledger_rejected(spark, sf_dir) -> DataFrame:
     """What the repeating batch is refused: every request that came before, and what is refused anyway."""
     return _in_two_batches(spark, sf_dir)[0]
+
+
+# --- reports kept up to date
+
+def _advanced(t, change, *names) -> dict:
+    """The sums before a batch, moved on by what the batch changed."""
+    return standing.advance(standing.standing_state(t, names), standing.standing_delta(t, change.sets, names))
+
+
+_MOVED = {**_STATUS, "moved": """SELECT o.order_id, coalesce(f.status, o.status) AS status FROM m_orders o LEFT JOIN (
+  SELECT order_id, last(status ORDER BY request_ts, request_id) AS status FROM judged WHERE reason IS NULL GROUP BY order_id) f
+  ON f.order_id = o.order_id"""}
+
+
+@query("standing_seller_stats", sql("""SELECT seller_id, status, CAST(sum(subtotal) AS DECIMAL(22,2)) AS gross,
+  count(DISTINCT order_id) AS order_count FROM m_order_items JOIN moved USING (order_id) GROUP BY seller_id, status""", **_MOVED))
+def standing_seller_stats(spark, sf_dir) -> DataFrame:
+    """Sellers' sales by status after a batch of status changes, without reading all orders again."""
+    t = marketplace(spark, sf_dir)
+    return standing.seller_stats_by_status(_advanced(t, _status(spark, sf_dir), "seller_sales"))
+
+
+@query("standing_earnings", sql("""SELECT status, count(*) AS order_count, count(DISTINCT order_id) AS distinct_orders,
+  CAST(sum(subtotal) AS DECIMAL(22,2)) AS gross_subtotal FROM m_order_items JOIN moved USING (order_id) GROUP BY status""", **_MOVED))
+def standing_earnings(spark, sf_dir) -> DataFrame:
+    t = marketplace(spark, sf_dir)
+    return standing.earnings_by_status(_advanced(t, _status(spark, sf_dir), "status_sales"), t).drop("platform_fee")
+
+
+@query("standing_ratings", sql("""SELECT product_id, CAST(round(avg(CAST(rating AS DECIMAL(12,2))), 1) AS DECIMAL(12,1)) AS avg_rating,
+  count(*) AS review_count FROM (SELECT product_id, rating FROM m_reviews WHERE product_id IS NOT NULL
+  UNION ALL SELECT item_id, CAST(rating AS SMALLINT) FROM judged WHERE reason IS NULL AND item_type = 'product') GROUP BY product_id""", **_REVIEW))
+def standing_ratings(spark, sf_dir) -> DataFrame:
+    """Ratings after a batch of new reviews."""
+    t = marketplace(spark, sf_dir)
+    return standing.rating_summary(_advanced(t, _review(spark, sf_dir), "ratings"), "product")
+
+
+@query("standing_dashboard", sql("""SELECT 'order' AS kind, status, count(*) AS n, CAST(0 AS DECIMAL(22,2)) AS amount FROM new_orders GROUP BY status
+  UNION ALL SELECT 'payment', p.status, count(*), CAST(sum(o.amount) AS DECIMAL(22,2)) FROM new_payments p
+  JOIN m_payments o ON o.payment_id = p.payment_id GROUP BY p.status""", **_PAY))
+def standing_dashboard(spark, sf_dir) -> DataFrame:
+    """Orders and payment amounts by status after a batch of payment updates."""
+    t = marketplace(spark, sf_dir)
+    change = changes.apply_payments(t, _payment_updates(t.raw("events")), _now())
+    state = _advanced(t, change, "order_statuses", "revenue")
+    orders = state["order_statuses"].select(F.lit("order").alias("kind"), "status", "n", F.lit(0).cast("decimal(22,2)").alias("amount"))
+    return orders.unionByName(state["revenue"].select(F.lit("payment").alias("kind"), "status", "n", "amount"))
