@@ -53,7 +53,7 @@ def _counted_once(requests: DataFrame) -> tuple[DataFrame, DataFrame | None, int
     rest = sorted(c for c in requests.columns if c not in ("request_id", "request_ts"))
     first = F.min(F.struct("request_ts", *[F.col(f"`{c}`") for c in rest], "_row")).getField("_row")
     copies = batch.join(ids.filter(twice).select("request_id"), "request_id", "left_semi")
-    firsts = copies.groupBy("request_id").agg(first.alias("_first")).checkpoint()
+    firsts = copies.groupBy("request_id").agg(first.alias("_first"))
     later = F.coalesce(F.col("_row") != F.col("_first"), F.lit(False))
     marked = batch.join(firsts, "request_id", "left").withColumn("_later", later).select(*requests.columns, "_later").checkpoint()
     extra = marked.filter("_later").withColumn("reason", F.lit("duplicate_request"))

@@ -1,8 +1,9 @@
-"""Batches merged into a written snapshot, and batches that repeat requests of earlier ones."""
+"""Batches merged into a written snapshot, batches that repeat requests, reports moved on by batches, pages by cursor."""
 
 from pyspark.sql import DataFrame, functions as F
 
 from tradewind.operators import changes, standing
+from tradewind.plans.cursor import cursor_of, newest, page_after
 from tradewind.session import work_folder
 from tradewind.sources import RequestLedger, apply_once, commit, load_marketplace, merge_snapshot, write_snapshot
 
@@ -128,3 +129,20 @@ def standing_dashboard(spark, sf_dir) -> DataFrame:
     state = _advanced(t, change, "order_statuses", "revenue")
     orders = state["order_statuses"].select(F.lit("order").alias("kind"), "status", "n", F.lit(0).cast("decimal(22,2)").alias("amount"))
     return orders.unionByName(state["revenue"].select(F.lit("payment").alias("kind"), "status", "n", "amount"))
+
+
+# --- pages by cursor
+
+_NEWEST = newest("product_id")
+
+
+@query("products_after", sql("""SELECT product_id, product_name, price, created_at FROM m_products WHERE is_active
+  ORDER BY created_at DESC NULLS FIRST, product_id LIMIT 100 OFFSET 200"""))
+def products_after(spark, sf_dir) -> DataFrame:
+    """The third page of active products, each page found by the last row of the one before."""
+    rows = marketplace(spark, sf_dir)["products"].filter("is_active").select("product_id", "product_name", "price", "created_at")
+    cursor = None
+    for _ in range(2):
+        page = page_after(rows, _NEWEST, cursor, 100).collect()
+        cursor = cursor_of(page[-1], _NEWEST) if page else cursor
+    return page_after(rows, _NEWEST, cursor, 100)
