@@ -117,6 +117,15 @@ def _read(spark: SparkSession, table: str, location: str, format: str) -> DataFr
     return spark.read.schema(schema.ddl(table) + (f", {folder} string" if folder else "")).format(format).load(location)
 
 
+def read_keys(spark: SparkSession, path: str, table: str, keys: DataFrame, columns: list[str], format: str = "parquet") -> DataFrame:
+    """The folders of a snapshot's table that rows with these keys would lie in, at most MOST_PARTS; for tables in folders by key."""
+    old = _read(spark, table, f"{path.rstrip('/')}/{table}", format)
+    key, parts = schema.PRIMARY_KEY[table], _parts(old)
+    named = keys.select(F.col(key).cast(old.schema[key].dataType).alias(key)).select(_part(table, parts).alias("part"))
+    folders = [r.part for r in named.distinct().collect()]
+    return old.filter(F.col("part").isin(folders) if folders else F.lit(False)).select(*columns)
+
+
 def _merge(spark: SparkSession, table: str, changed: ChangeSet, sets: dict[str, ChangeSet], root: str, format: str) -> list[str]:
     location, folder, key = f"{root}/{table}", folder_column(table), schema.PRIMARY_KEY[table]
     old = _read(spark, table, location, format)
