@@ -6,10 +6,12 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tradewind.llm.cotraining import _fit_logistic, features, score_quality
+from tradewind.llm import cotraining
+from tradewind.llm.cotraining import _fit_logistic, _trust, features, fit, score_quality
 from tradewind.llm.decontaminate import _cut_out
 from tradewind.llm.common import words_of
 from tradewind.llm.queries import QUERIES
@@ -56,6 +58,81 @@ def test_calibration_converges_on_classes_that_nearly_separate(gap):
     assert ((p > 0.5) == y).mean() >= best - 0.01
 
 
+def small_table(spark, n=240, labelled=60):
+    dice = random.Random(4)
+    rows, truth = zip(*[sample(dice, i) for i in range(n)])
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("p0"), F.col("source").alias("p1"))
+    return rows, docs.repartition(5), {i: (good, toxic) for i, good, toxic in truth[:labelled]}
+
+
+def plain_sums(rows, entry_of):
+    """Sums one document after the other; `entry_of` gives (part, target, view, class, weight) of a document."""
+    sums = Counter()
+    for i, text, lang, source, _ in rows:
+        feats = features([text], [(lang, source)])
+        for part, target, view, value, weight in entry_of(i, text, lang, source):
+            buckets = feats[2 * view].tolist()
+            for bucket in buckets:
+                sums[part, target, value, bucket] += weight * cotraining.HALF_WEIGHT / (cotraining.HALF_WEIGHT + len(buckets))
+    return sums
+
+
+def assert_same_sums(got, want):
+    assert set(zip(*(axis.tolist() for axis in np.nonzero(got)))) == set(want)
+    assert all(abs(got[place] - value) < 1e-6 for place, value in want.items())
+
+
+def test_sums_of_both_views_are_those_of_a_plain_loop(spark):
+    rows, docs, known = small_table(spark)
+    got = cotraining._gather(docs, known, 2, None)
+    assert_same_sums(got, plain_sums(rows, lambda i, *_: [
+        (cotraining._fold(i), t, view, known[i][t], 1.0) for t in (0, 1) for view in (0, 1)] if i in known else []))
+
+
+def test_views_teach_each_other_what_they_are_sure_of(spark):
+    rows, docs, known = small_table(spark)
+    labels = spark.createDataFrame([(i, *v) for i, v in known.items()], "doc_id long, quality int, toxic int")
+    model = fit(docs.withColumnsRenamed({"id": "doc_id", "p0": "lang", "p1": "source"}), labels, rounds=0)
+    taught = 0
+
+    def entries(i, text, lang, source):
+        nonlocal taught
+        found = []
+        for t, target in enumerate(cotraining.TARGETS):
+            if i in known or target not in model.both:
+                continue
+            by = cotraining._probabilities(model, features([text], [(lang, source)]), 1, target)
+            for view in (0, 1):
+                p, trust = float(by[1 - view][0]), model.trust[target][1 - view]
+                value = 1 if p >= cotraining.CONFIDENT else 0 if p <= 1 - cotraining.CONFIDENT else None
+                if value is not None and trust[value] > 0:
+                    taught += 1
+                    found.append((0, t, view, value, trust[value]))
+        return found
+
+    want = plain_sums(rows, entries)
+    assert_same_sums(cotraining._gather(docs, known, 2, model), want)
+    assert taught > 100  # with far fewer than 60 labels of a class
+
+
+def test_trust_grows_with_the_labels_and_has_no_threshold():
+    sure = lambda right, wrong: _trust(np.full(right + wrong, 0.99), np.array([1.0] * right + [0.0] * wrong))[1]
+    assert sure(0, 0) == 0 and sure(1, 1) == 0 and sure(1, 5) == 0
+    steps = [sure(n, 0) for n in range(200)]
+    assert all(0 < b - a <= 1 / 3 + 1e-9 for a, b in zip(steps, steps[1:])) and steps[-1] > 0.98
+    assert sure(97, 3) > sure(90, 10) > sure(60, 40) > 0
+    assert _trust(np.array([0.01, 0.02, 0.5]), np.array([0.0, 0.0, 1.0])) == (0.5, 0.0)
+
+
+def test_one_class_or_one_fold_of_labels(spark):
+    rows, docs, _ = small_table(spark, 40)
+    docs = docs.withColumnsRenamed({"id": "doc_id", "p0": "lang", "p1": "source"})
+    one_fold = [i for i in range(40) if cotraining._fold(i) == 0]
+    labels = spark.createDataFrame([(i, n % 2, 0) for n, i in enumerate(one_fold)], "doc_id long, quality int, toxic int")
+    got = score_quality(docs, labels).collect()
+    assert len(got) == 40 and all(0 <= r.p_quality <= 1 and r.p_toxic == 0.5 for r in got)
+
+
 def test_without_labels_nothing_is_rejected(spark):
     docs = spark.createDataFrame([(1, "a", "en", "s", ""), (None, None, None, None, None)], SCHEMA)
     for labels in ([], [(1, 1, 0)], [(77, 1, None)]):
@@ -123,9 +200,9 @@ def test_run_gives_what_the_stages_give(spark, stages):
     assert Counter(map(tuple, got.select(*key).collect())) == Counter(map(tuple, stages[-1].select(*key).collect()))
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 

@@ -21,9 +21,8 @@ BUCKETS = TEXT_BUCKETS + PAGE_BUCKETS  # text view first
 LABELLED_ROWS = 20_000  # bound of the labelled sample, which goes to every executor
 ROUNDS = 2
 CONFIDENT = 0.97
-MIN_SURE = 20  # held-back documents that must confirm a view's sureness
-CALIBRATION = 3  # one labelled row in so many is held back from the counts to calibrate on
-DOC_TOKENS = 3_000  # a document with more features counts as so many
+FOLDS = 3  # parts of the labelled rows; each is judged by counts that leave it out
+HALF_WEIGHT = 3_000  # a feature of a document of n features weighs HALF_WEIGHT / (HALF_WEIGHT + n) when fitting
 MIN_Z, MAX_WEIGHT = 3.0, 4.0
 RIDGE = 0.01  # penalty on scaled coefficients: only so that classes which separate have a finite minimum
 CHUNK = 1 << 12
@@ -165,8 +164,8 @@ class Model:
     weights: dict[str, np.ndarray]  # by target
     views: dict[str, list[np.ndarray]]  # by target: the calibration of the text view and of the page view
     both: dict[str, np.ndarray]  # by target: the calibration of the two together
-    teaches: dict[str, list[tuple[bool, bool]]]  # by target and view: whether its sure 0 and sure 1 may label for the other
-    loss: dict[str, float]  # by target: of both on the held-back labels
+    trust: dict[str, list[tuple[float, float]]]  # by target and view: what its sure 0 and sure 1 weigh as a label for the other
+    loss: dict[str, float]  # by target: of both, over all labels, each judged by counts without its fold
 
 
 def _scores(weights: np.ndarray, feats: tuple, count: int) -> np.ndarray:
@@ -193,8 +192,8 @@ def _probabilities(model: Model, feats: tuple, count: int, target: str) -> tuple
     return _probability(text, x[:, :2]), _probability(page, x[:, 2:]), _probability(model.both[target], x)
 
 
-def _held_back(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % CALIBRATION == 0
+def _fold(doc_id: int) -> int:
+    return zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
 def _batches(batches: Iterator[pa.RecordBatch], page_cols: int):
@@ -207,41 +206,41 @@ def _batches(batches: Iterator[pa.RecordBatch], page_cols: int):
 
 
 def _gather(rows: DataFrame, labels: dict, page_cols: int, model: Model | None) -> np.ndarray:
-    """Sums of features by target and class over labelled documents and, with a model, over all others that a view is sure of.
+    """Sums of features by target and class: by fold over labelled documents or, with a model, over those it labels itself.
 
-    The text view's sums take the documents that the page view is sure of, and the other way round. Each task sends
-    its sums in fixed chunks; equal chunks are added up by a grouping, so the driver gets one set of fixed size.
+    With a model the text view's sums take the documents without a label that the page view is sure of, weighed by how
+    far its sureness is trusted, and the other way round. Each task sends its sums in fixed chunks; equal
+    chunks are added up by a grouping, so the driver gets sums of fixed size.
     """
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((labels, model))
+    shape = (FOLDS if model is None else 1, len(TARGETS), 2, BUCKETS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, current = shared.value
-        sums = np.zeros((len(TARGETS), 2, BUCKETS), np.float64)
+        sums = np.zeros(shape, np.float64)
         for ids, feats, n in _batches(batches, page_cols):
             given = [known.get(i) for i in ids]
-            weight_of = []
-            for bucket, owner in (feats[:2], feats[2:]):
-                size = np.bincount(owner, minlength=n)
-                weight_of.append(np.minimum(1.0, DOC_TOKENS / np.maximum(size, 1))[owner])
+            fold = np.array([0 if current is not None or g is None else _fold(i) for i, g in zip(ids, given)])
+            views = (feats[:2], feats[2:])
+            weight_of = [(HALF_WEIGHT / (HALF_WEIGHT + np.bincount(owner, minlength=n)))[owner] for _, owner in views]
             for t, target in enumerate(TARGETS):
-                label = np.array([-1 if g is None or g[t] is None or _held_back(i) else g[t] for i, g in zip(ids, given)])
-                by_view = [label, label]
-                if current is not None and target in current.both:
+                if current is None:
+                    label = np.array([-1 if g is None or g[t] is None else g[t] for g in given])
+                    by_view, trust = [label, label], [(1.0, 1.0)] * 2
+                elif target in current.both:
                     text, page, _ = _probabilities(current, feats, n, target)
                     unknown = np.array([g is None for g in given], bool)
-
-                    def sure(p: np.ndarray, may: tuple[bool, bool]) -> np.ndarray:
-                        out = np.where(unknown & (p >= CONFIDENT) & may[1], 1, label)
-                        return np.where(unknown & (p <= 1 - CONFIDENT) & may[0], 0, out)
-
-                    of_text, of_page = current.teaches[target]
-                    by_view = [sure(page, of_page), sure(text, of_text)]
-                for view, (bucket, owner) in enumerate((feats[:2], feats[2:])):
+                    by_view = [np.where(unknown & (p >= CONFIDENT), 1, np.where(unknown & (p <= 1 - CONFIDENT), 0, -1)) for p in (page, text)]
+                    trust = current.trust[target][::-1]
+                else:
+                    continue
+                for view, (bucket, owner) in enumerate(views):
                     for value in (0, 1):
-                        mine = (by_view[view] == value)[owner]
-                        if mine.any():
-                            sums[t, value] += np.bincount(bucket[mine], weight_of[view][mine], minlength=BUCKETS)
+                        for part in range(shape[0]):
+                            mine = ((by_view[view] == value) & (fold == part))[owner]
+                            if trust[view][value] > 0 and mine.any():
+                                sums[part, t, value] += trust[view][value] * np.bincount(bucket[mine], weight_of[view][mine], minlength=BUCKETS)
         flat = sums.reshape(-1)
         used = [i for i in range(0, len(flat), CHUNK) if flat[i:i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([flat[i:i + CHUNK].tobytes() for i in used], pa.binary())], ["at", "sums"])
@@ -255,10 +254,10 @@ def _gather(rows: DataFrame, labels: dict, page_cols: int, model: Model | None)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["at", "sums"])
 
     parts = rows.mapInArrow(count, "at bigint, sums binary").repartition(32, "at").mapInArrow(add, "at bigint, sums binary")
-    flat = np.zeros(len(TARGETS) * 2 * BUCKETS)
+    flat = np.zeros(int(np.prod(shape)))
     for row in parts.collect():
         flat[row.at:row.at + CHUNK] += np.frombuffer(row.sums)
-    return flat.reshape(len(TARGETS), 2, BUCKETS)
+    return flat.reshape(shape)
 
 
 def _labelled(labels: DataFrame, id_col: str, limit: int) -> dict[int, tuple]:
@@ -269,38 +268,51 @@ def _labelled(labels: DataFrame, id_col: str, limit: int) -> dict[int, tuple]:
     return {r.id: tuple(r[t] if r[t] in (0, 1) else None for t in TARGETS) for r in rows}
 
 
-def _calibrated(sums: np.ndarray, sample: DataFrame, known: dict, page_cols: int) -> Model:
-    """Turns sums into a model; probabilities are fitted on the labelled documents that were held back."""
-    weights = {target: np.concatenate([_weigh(sums[t, 1, view], sums[t, 0, view])
-                                       for view in (slice(0, TEXT_BUCKETS), slice(TEXT_BUCKETS, BUCKETS))]).astype(np.float32)
-               for t, target in enumerate(TARGETS)}
-    shared = sample.sparkSession.sparkContext.broadcast(weights)
+def _weights(sums: np.ndarray) -> np.ndarray:
+    """Weights of both views by target, from sums by target, class and bucket."""
+    return np.array([np.concatenate([_weigh(of[1, view], of[0, view]) for view in (slice(0, TEXT_BUCKETS), slice(TEXT_BUCKETS, BUCKETS))])
+                     for of in sums], np.float32)
+
+
+def _calibrated(labelled: np.ndarray, taught: np.ndarray, sample: DataFrame, known: dict, page_cols: int) -> Model:
+    """A model of the sums of labelled documents by fold and of those that the views taught each other.
+
+    Each fold has weights from the other folds and what was taught; the model's are their mean. Probabilities, trust and
+    loss are fitted on all labelled documents, each scored by the weights of its own fold, which have not seen its label.
+    """
+    by_fold = np.array([_weights(labelled.sum(axis=0) - labelled[fold] + taught[0]) for fold in range(FOLDS)])
+    shared = sample.sparkSession.sparkContext.broadcast(by_fold)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, feats, n in _batches(batches, page_cols):
-            x = np.column_stack([_scores(shared.value[t], feats, n) for t in TARGETS])
+            fold = np.array([_fold(i) for i in ids])
+            x = np.zeros((n, 4 * len(TARGETS)))
+            for part in range(FOLDS):
+                if (fold == part).any():
+                    x[fold == part] = np.column_stack([_scores(of, feats, n) for of in shared.value[part]])[fold == part]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
 
-    scored = sample.filter("held").drop("held").mapInArrow(score, "id bigint, x array<double>").collect()
+    scored = sample.mapInArrow(score, "id bigint, x array<double>").collect()
     scored.sort(key=lambda r: (r.id, r.x))
-    model = Model(weights, {}, {}, {}, {})
+    model = Model(dict(zip(TARGETS, by_fold.mean(axis=0))), {}, {}, {}, {})
     for t, target in enumerate(TARGETS):
         rows = [(r.x[4 * t:4 * t + 4], known[r.id][t]) for r in scored if known[r.id][t] is not None]
         x, y = np.array([r[0] for r in rows]).reshape(-1, 4), np.array([r[1] for r in rows], float)
         if 0 < y.sum() < len(y):
             model.views[target] = [_fit_logistic(x[:, :2], y), _fit_logistic(x[:, 2:], y)]
             model.both[target] = _fit_logistic(x, y)
-            model.teaches[target] = [_may_teach(_probability(b, x[:, c]), y) for b, c in zip(model.views[target], (slice(0, 2), slice(2, 4)))]
+            model.trust[target] = [_trust(_probability(b, x[:, c]), y) for b, c in zip(model.views[target], (slice(0, 2), slice(2, 4)))]
             p = np.clip(_probability(model.both[target], x), 1e-9, 1 - 1e-9)
             model.loss[target] = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
     return model
 
 
-def _may_teach(p: np.ndarray, y: np.ndarray) -> tuple[bool, bool]:
-    """Whether a view is right, when it is sure, as often as it says: by the labels held back."""
+def _trust(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """By how much a view that is sure of a class is more often right than wrong, by the labels; few labels give little."""
     out = []
     for value, mine in ((0, p <= 1 - CONFIDENT), (1, p >= CONFIDENT)):
-        out.append(bool(mine.sum() >= MIN_SURE and (y[mine] == value).mean() >= CONFIDENT))
+        right = int((y[mine] == value).sum())
+        out.append(max(0.0, (2 * right - int(mine.sum())) / (int(mine.sum()) + 2)))
     return out[0], out[1]
 
 
@@ -309,11 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Co-training over all documents.
 
     Both views start from the labelled sample. In each round a document without a label that one view is sure of
-    (CONFIDENT by its calibrated probability) counts for the other view with that label; no other document does. A view
-    only teaches a class in which at least MIN_SURE held-back labels confirm its sureness (one label in CALIBRATION is
-    held back: below some 60 labels of a class co-training does not start for it), and a target whose held-back loss a round
-    does not lower keeps what it had.
-    Each round is one pass over the documents, and what it brings to the driver has a fixed size.
+    (CONFIDENT by its calibrated probability) counts for the other view with that label; no other document does. It weighs
+    as much as the view's sureness of this class is trusted: by how much more often it is right than wrong about labels
+    that its counts have not seen (cross-validation in FOLDS parts). With few labels a class teaches little, with none
+    nothing; no number of labels switches it on. A target whose loss on such labels a round does not lower keeps what it
+    had. Each round is one pass over the documents, and
+    what it brings to the driver has a fixed size.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        *[F.col(f"`{c}`").cast("string").alias(f"p{i}") for i, c in enumerate(page_cols)])
@@ -321,15 +334,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not known:
         return Model({}, {}, {}, {}, {})
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(i, _held_back(i)) for i in known], "id bigint, held boolean")
+    ids = spark.createDataFrame([(i,) for i in known], "id bigint")
     sample = stored(rows.join(F.broadcast(ids), "id"), "quality-sample")
     pages = len(page_cols)
-    model = _calibrated(_gather(sample.drop("held"), known, pages, None), sample, known, pages)
+    labelled = _gather(sample, known, pages, None)
+    model = _calibrated(labelled, np.zeros_like(labelled[:1]), sample, known, pages)
     for _ in range(rounds):
-        taught = _calibrated(_gather(rows, known, pages, model), sample, known, pages)
+        taught = _calibrated(labelled, _gather(rows, known, pages, model), sample, known, pages)
         for target in model.both:
             if taught.loss.get(target, np.inf) > model.loss[target]:  # what this round taught does not help
-                for part in ("weights", "views", "both", "teaches", "loss"):
+                for part in ("weights", "views", "both", "trust", "loss"):
                     getattr(taught, part)[target] = getattr(model, part)[target]
         model = taught
     return model
@@ -343,7 +357,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     `labels` has the id, `quality` and `toxic` (0 or 1; other values and NULL are unknown). A target with no
     labelled row of either class has 0.5 everywhere and rejects nothing. NULL text counts as the empty text, NULL
     metadata as a category of its own. Rows that repeat an id share its label; an id with several labels takes the
-    larger. Very long texts are read whole and count as DOC_TOKENS features when fitting. Input columns named like a
+    larger. Very long texts are read whole; the longer, the less a feature of theirs weighs when fitting. Input columns named like a
     result are replaced.
     """
     fields = [T.StructField("p_quality", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())]
