@@ -45,23 +45,40 @@ def _audit_rows(table: str, df: DataFrame) -> DataFrame:
     return counts.selectExpr(f"inline(array({entries}))")
 
 
+KEY_RULES = [(table, "primary_key", column) for table, column in schema.PRIMARY_KEY.items()] + [
+    (table, "unique", column) for table, column in schema.UNIQUE]
+
+
+def key_values(table: str, df: DataFrame) -> list[DataFrame]:
+    """Values that must not repeat, one frame per key or unique column of a table."""
+    return [
+        df.filter(f"{column} IS NOT NULL").selectExpr(
+            f"'{table}' AS table_name", f"'{rule}' AS rule", f"'{column}' AS column_name", f"string({column}) AS value")
+        for owner, rule, column in KEY_RULES if owner == table
+    ]
+
+
+def referred_values(table: str, df: DataFrame) -> list[DataFrame]:
+    """Parent keys that rows of a table name, one frame per reference."""
+    return [
+        df.filter(f"{ref.column} IS NOT NULL").selectExpr(
+            f"'{table}' AS table_name", f"'{ref.column}' AS column_name", f"'{ref.parent}' AS parent_table",
+            f"string({ref.column}) AS value")
+        for ref in schema.REFERENCES if ref.table == table
+    ]
+
+
 def _audit_keys(t) -> DataFrame:
     """Per key or unique column, the number of values that occur more than once.
 
     All key columns go through one grouping, which combines map-side, instead of one shuffle each.
     """
-    keys = [(table, "primary_key", column) for table, column in schema.PRIMARY_KEY.items()]
-    keys += [(table, "unique", column) for table, column in schema.UNIQUE]
-    values = [
-        t[table].filter(f"{column} IS NOT NULL").selectExpr(
-            f"'{table}' AS table_name", f"'{rule}' AS rule", f"'{column}' AS column_name", f"string({column}) AS value")
-        for table, rule, column in keys
-    ]
+    values = [df for table in t for df in key_values(table, t[table])]
     repeated = (
         reduce(DataFrame.unionAll, values).groupBy("table_name", "rule", "column_name", "value").count()
         .selectExpr("table_name", "rule", "column_name", "bigint(count > 1) AS bad")
     )
-    return _with_zeros(repeated, ["table_name", "rule", "column_name"], keys, "violations")
+    return _with_zeros(repeated, ["table_name", "rule", "column_name"], KEY_RULES, "violations")
 
 
 def _with_zeros(found: DataFrame, names: list[str], expected: list[tuple], result: str) -> DataFrame:
@@ -83,12 +100,7 @@ def audit_foreign_keys(t) -> DataFrame:
     all references share one grouping and one join.
     """
     names = ["table_name", "column_name", "parent_table"]
-    children = [
-        t[ref.table].filter(f"{ref.column} IS NOT NULL").selectExpr(
-            f"'{ref.table}' AS table_name", f"'{ref.column}' AS column_name", f"'{ref.parent}' AS parent_table",
-            f"string({ref.column}) AS value")
-        for ref in schema.REFERENCES
-    ]
+    children = [df for table in t for df in referred_values(table, t[table])]
     parents = [
         t[table].selectExpr(f"'{table}' AS parent_table", f"string({schema.PRIMARY_KEY[table]}) AS value")
         for table in dict.fromkeys(ref.parent for ref in schema.REFERENCES)

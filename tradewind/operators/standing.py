@@ -90,7 +90,7 @@ def standing_delta(t, sets: dict[str, ChangeSet], names: Iterable[str] = FACTS)
         facts = FACTS[name]
         if not set(facts.tables) & set(sets):
             continue
-        before, after = _of_orders(t, sets) if "order_items" in facts.tables else _of_rows(t, sets, facts.tables)
+        before, after = _of_orders(t, sets) if "order_items" in facts.tables else touched_rows(t, sets, facts.tables)
         out[name] = _summed(facts, _signed(facts, after, 1).unionByName(_signed(facts, before, -1)))
     return out
 
@@ -106,7 +106,7 @@ def advance(state: State, delta: State) -> State:
     return out
 
 
-def _named(changed: ChangeSet, key: str) -> DataFrame:
+def named_keys(changed: ChangeSet, key: str) -> DataFrame:
     """Keys that a change set names."""
     parts = [df.select(key) for df in changed if df is not None]
     return reduce(DataFrame.unionByName, parts).distinct()
@@ -115,17 +115,17 @@ def _named(changed: ChangeSet, key: str) -> DataFrame:
 def _patched(rows: DataFrame, changed: ChangeSet | None, key: str) -> DataFrame:
     if changed is None:
         return rows
-    kept = rows.join(_named(changed, key), key, "left_anti")
+    kept = rows.join(named_keys(changed, key), key, "left_anti")
     return kept.unionByName(changed.rows, allowMissingColumns=True) if changed.rows is not None else kept
 
 
-def _of_rows(t, sets: dict[str, ChangeSet], tables: tuple[str, ...]) -> tuple[dict, dict]:
+def touched_rows(t, sets: dict[str, ChangeSet], tables: tuple[str, ...]) -> tuple[dict, dict]:
     """The named rows before and after."""
     before, after = {}, {}
     for table in tables:
         if table in sets:
             key = schema.PRIMARY_KEY[table]
-            before[table] = t[table].join(_named(sets[table], key), key, "left_semi")
+            before[table] = t[table].join(named_keys(sets[table], key), key, "left_semi")
             after[table] = sets[table].rows if sets[table].rows is not None else t[table].limit(0)
     return before, after
 

@@ -501,9 +501,13 @@ def page_of_every_buyer(spark, sf_dir) -> DataFrame:
 
 # --- data quality
 
-def _audit_sql() -> str:
-    """One SELECT per declared rule, written out for DuckDB."""
-    views = {name: f"m_{name}" for name in schema.TABLES}
+def _views(changed) -> dict[str, str]:
+    return {name: f"left_{name}" if f"left_{name}" in changed else f"m_{name}" for name in schema.TABLES}
+
+
+def audit_sql(changed=()) -> str:
+    """One SELECT per declared rule, written out for DuckDB; views of changed tables have names that begin with left_."""
+    views = _views(changed)
     parts = []
     for table, fields in schema.TABLES.items():
         for f in fields:
@@ -527,19 +531,25 @@ def _audit_sql() -> str:
               "(item_type = 'product' AND product_id IS NOT NULL AND pet_id IS NULL)"
     either = "(item_type = 'pet' AND pet_id IS NOT NULL) OR (item_type = 'product' AND product_id IS NOT NULL)"
     for table, fits in (("cart_items", exactly), ("reviews", either)):
-        parts.append(f"SELECT '{table}', 'check', 'item_ref', count(*) FILTER (NOT ({fits})) FROM m_{table}")
+        parts.append(f"SELECT '{table}', 'check', 'item_ref', count(*) FILTER (NOT ({fits})) FROM {views[table]}")
     return "\nUNION ALL ".join(parts)
 
 
-@query("audit_constraints", sql(_audit_sql()))
+def orphan_sql(changed=()) -> str:
+    """One SELECT per reference."""
+    views = _views(changed)
+    return "\nUNION ALL ".join(
+        f"""SELECT '{r.table}' AS table_name, '{r.column}' AS column_name, '{r.parent}' AS parent_table, count(*) AS orphans
+  FROM {views[r.table]} c WHERE c.{r.column} IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM {views[r.parent]} p WHERE p.{schema.PRIMARY_KEY[r.parent]} = c.{r.column})""" for r in schema.REFERENCES)
+
+
+@query("audit_constraints", sql(audit_sql()))
 def audit_constraints(spark, sf_dir) -> DataFrame:
     return quality.audit_constraints(marketplace(spark, sf_dir))
 
 
-@query("audit_foreign_keys", sql("\nUNION ALL ".join(
-    f"""SELECT '{r.table}' AS table_name, '{r.column}' AS column_name, '{r.parent}' AS parent_table, count(*) AS orphans
-  FROM m_{r.table} c WHERE c.{r.column} IS NOT NULL AND NOT EXISTS (
-  SELECT 1 FROM m_{r.parent} p WHERE p.{schema.PRIMARY_KEY[r.parent]} = c.{r.column})""" for r in schema.REFERENCES)))
+@query("audit_foreign_keys", sql(orphan_sql()))
 def audit_foreign_keys(spark, sf_dir) -> DataFrame:
     return quality.audit_foreign_keys(marketplace(spark, sf_dir))
 

@@ -2,14 +2,16 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tradewind.operators import changes, standing
+from tradewind.operators import changes, standing, standing_audit
 from tradewind.plans.cursor import cursor_of, newest, page_after
+from tradewind.plans.requests import ChangeSet
 from tradewind.session import work_folder
 from tradewind.sources import RequestLedger, apply_once, commit, load_marketplace, merge_snapshot, write_snapshot
 
 from .batches import (_ADD, _EDIT, _EVENT, _PAY, _PAY_STATE, _REVIEW, _STATUS, _add_requests, _edit, _now, _payment_state,
                       _payment_updates, _review, _status)
 from .registry import query
+from .reports import audit_sql, orphan_sql
 from .star import marketplace, sql
 
 
@@ -131,6 +133,28 @@ def standing_dashboard(spark, sf_dir) -> DataFrame:
     return orders.unionByName(state["revenue"].select(F.lit("payment").alias("kind"), "status", "n", "amount"))
 
 
+_FAULTY = {
+    "left_users": "SELECT * FROM m_users WHERE role <> 'buyer' OR CAST(substr(user_id, 2) AS BIGINT) % 3 <> 0",
+    "left_products": """SELECT * REPLACE (CASE WHEN price > 1500 THEN -stock ELSE stock END AS stock,
+  CASE WHEN price > 1500 THEN 'X' || seller_id ELSE seller_id END AS seller_id) FROM m_products""",
+}
+
+
+@query("standing_audit", sql(f"""SELECT table_name, rule, column_name, CAST(NULL AS VARCHAR) AS parent_table, violations AS n FROM ({audit_sql(_FAULTY)})
+  UNION ALL SELECT table_name, 'reference', column_name, parent_table, orphans FROM ({orphan_sql(_FAULTY)})""", **_FAULTY))
+def standing_audit_counts(spark, sf_dir) -> DataFrame:
+    """Both audits after a batch that breaks rules: a third of the buyers goes without what refers to them, dear
+    products get a negative stock and sellers that are nobody. Only what the batch names is checked again."""
+    t = marketplace(spark, sf_dir)
+    dear = t["products"].filter("price > 1500").withColumns({"stock": (-F.col("stock")).cast("int"), "seller_id": F.concat(F.lit("X"), F.col("seller_id"))})
+    buyers = t["users"].filter("role = 'buyer' AND bigint(substr(user_id, 2)) % 3 = 0").select("user_id")
+    state = standing_audit.find_violations(t)
+    state = standing_audit.advance_violations(state, t, {"users": ChangeSet(gone=buyers), "products": ChangeSet(dear)}).checkpoint()
+    rules = standing_audit.constraint_counts(state).withColumnRenamed("violations", "n")
+    orphans = standing_audit.orphan_counts(state).withColumnRenamed("orphans", "n").withColumn("rule", F.lit("reference"))
+    return rules.unionByName(orphans, allowMissingColumns=True)
+
+
 # --- pages by cursor
 
 _NEWEST = newest("product_id")
