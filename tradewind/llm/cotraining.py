@@ -244,6 +244,8 @@ def _gather(rows: DataFrame, labels: dict, page_cols: int, model: Model | None)
         flat = sums.reshape(-1)
         used = [i for i in range(0, len(flat), CHUNK) if flat[i:i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([flat[i:i + CHUNK].tobytes() for i in used], pa.binary())], ["at", "sums"])
+        del sums, flat
+        release_memory()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import slices, stored
+from tradewind.llm.common import release_memory, slices, stored
 from tradewind.llm.tokens import encoder
 
 CUT_UNIT = 0  # what remains of a document after full sequences stays whole; above 0 it is cut at a multiple of this
@@ -100,6 +100,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: in
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                                  ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        tool.forget()
+        release_memory()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")

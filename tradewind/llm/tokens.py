@@ -125,6 +125,11 @@ class Encoder:
                 out[i] += self.tails[tail]
         return out
 
+    def forget(self) -> None:
+        """Empties the caches: an idle worker process would otherwise keep them."""
+        for kept in (self.stems, self.tails, self.others):
+            kept.clear()
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; NULL counts as the empty text."""
         for kept in (self.stems, self.tails, self.others):
