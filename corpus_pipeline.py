@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,34 +17,53 @@ from tradewind.llm.packing import pack
 from tradewind.llm.tokens import tokenizer_path
 
 
+# Texts go to Python in batches of so many bytes (or one row): a number of rows says nothing about their size.
+BATCH_BYTES = 4 << 20
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage in a session whose batches are bounded by BATCH_BYTES; the session keeps that, since stages are lazy."""
+    @wraps(function)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return function(spark, docs, sf_dir)
+
+    return bounded
+
+
 def _with_text(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
     """The columns of `docs` with another text and its length."""
     changed = {"text": F.col(text), "n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; the labels are the ones of the corpus."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, labels).filter("kept").select(*docs.columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share. Copies are still there: they count as one document."""
     return _with_text(docs, drop_common_lines(docs, once_per_text=True), "kept_text")
 
 
+@_stage
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return one_of_each(docs)
 
 
+@_stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; those that are mostly such passages go."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _with_text(docs, found.filter("not dropped"), "clean_text")
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in sequences."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"), drops_space=True, end_id=1)
