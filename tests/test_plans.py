@@ -126,3 +126,27 @@ def test_a_batch_is_run_once(spark, name):
     QUERIES[name](spark, SF_DIR)
     spark.sparkContext.setJobGroup("", "")
     assert jobs(f"building-{name}") <= 12  # among them one per table for its schema
+
+
+def test_lines_are_not_shuffled_for_the_names_of_few_sellers(spark, monkeypatch):
+    t = tables(
+        spark, users=[{"user_id": "b1", "name": "B"}, {"user_id": "s1", "name": "S"}], pets=[{"pet_id": "p1"}],
+        orders=[{"order_id": "o1", "buyer_id": "b1"}],
+        order_items=[{"order_item_id": f"l{i}", "order_id": "o1", "item_type": "pet", "pet_id": "p1", "seller_id": seller} for i, seller in enumerate(["s1", "s2", None])])
+    monkeypatch.setitem(orders.__dict__, "NEAR_SELLERS", 0)
+    shuffled = sorted(map(str, orders.order_lines(t).collect()))
+    monkeypatch.undo()
+    near = orders.order_lines(t)
+    assert sorted(map(str, near.collect())) == shuffled and "'S'" in str(shuffled)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(orders.order_lines(t))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in text
+
+
+def test_pages_of_all_buyers_nest_lines_where_the_join_left_them(spark):
+    text = plan(QUERIES["buyer_orders"](spark, SF_DIR))
+    assert "REPARTITION_BY_COL" not in text

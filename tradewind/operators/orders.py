@@ -34,6 +34,18 @@ def _named(lines: DataFrame, t) -> DataFrame:
     return lines.withColumn("item_id", item_id()).join(items, ITEM_KEY, "left")
 
 
+# Sellers up to this number are counted first and broadcast, so that lines are not shuffled for a name.
+NEAR_SELLERS = 500_000
+
+
+def _with_sellers(lines: DataFrame, t) -> DataFrame:
+    """Lines with the name of their seller."""
+    sellers = t["users"].select(F.col("user_id").alias("seller_id"), F.col("name").alias("seller_name"))
+    ids = t["order_items"].select("seller_id").distinct()
+    sellers = sellers.join(ids, "seller_id", "left_semi")
+    return lines.join(F.broadcast(sellers) if sellers.count() <= NEAR_SELLERS else sellers, "seller_id", "left")
+
+
 _LINE = ["order_item_id", "item_type", "pet_id", "product_id", "quantity", "unit_price", "subtotal", "name", "image_url"]
 
 
@@ -42,8 +54,7 @@ def order_lines(t, ids=None) -> DataFrame:
     lines = t["order_items"]
     if ids is not None:
         lines = lines.filter(F.col("order_id").isin(list(ids)))
-    sellers = t["users"].select(F.col("user_id").alias("seller_id"), F.col("name").alias("seller_name"))
-    return _named(lines, t).join(sellers, "seller_id", "left").select("order_id", *_LINE, "seller_id", "seller_name")
+    return _with_sellers(_named(lines, t), t).select("order_id", *_LINE, "seller_id", "seller_name")
 
 
 def _of_buyer(t, status: str | None, buyer) -> DataFrame:
@@ -54,12 +65,17 @@ def _of_buyer(t, status: str | None, buyer) -> DataFrame:
 def buyer_orders(t, status: str | None = None, page: int | None = 1, limit: int | None = None, buyer=None) -> DataFrame:
     """The same page of every buyer's orders, newest first, with payment and nested lines.
 
-    Orders are paged before any line is read. An order is one row, with all its lines.
+    Orders are paged before any line is read. An order is one row, with all its lines. Pages of all buyers want most
+    lines: those are named first, so that the join with the chosen orders leaves them where they are nested.
     """
     orders = _of_buyer(t, status, buyer)
     chosen = orders if page is None else page_per_key(orders, "buyer_id", newest_first("order_id"), page, limit)
-    lines = t["order_items"].join(chosen.select("order_id"), "order_id", "left_semi")
-    nested = nest(_named(lines, t), ["order_id"], _LINE)
+    if buyer is None:
+        lines = _named(t["order_items"], t).join(chosen.select("order_id").distinct(), "order_id")
+        nested = nest(lines, ["order_id"], _LINE, placed=True)
+    else:
+        lines = t["order_items"].join(chosen.select("order_id"), "order_id", "left_semi")
+        nested = nest(_named(lines, t), ["order_id"], _LINE)
     return attach(chosen.join(_payments(t), "order_id", "left"), nested, ["order_id"])
 
 

@@ -3,14 +3,15 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal") -> DataFrame:
+def nest(lines: DataFrame, keys: list[str], element: list[Column | str], amount: str = "subtotal", placed: bool = False) -> DataFrame:
     """One row per parent: sorted items array, its length and its amount.
 
     A parent is always one row, whatever the number of its lines; whoever expects parents too large for one value
     reads the lines as rows instead. Collecting does not shrink anything before the shuffle, so the plain lines are
-    shuffled and collected once behind it, instead of collecting in every map task and merging the pieces.
+    shuffled and collected once behind it, instead of collecting in every map task and merging the pieces. Lines that
+    come from a join on the keys lie there already (`placed`) and are not shuffled again.
     """
-    return lines.repartition(*keys).groupBy(*keys).agg(
+    return (lines if placed else lines.repartition(*keys)).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(*element))).alias("items"),
         F.count(F.lit(1)).alias("item_count"),
         F.sum(amount).cast("decimal(22,2)").alias("items_total"),
