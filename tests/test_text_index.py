@@ -142,3 +142,14 @@ def test_nothing_indexed(spark, tmp_path):
     index.replace({"products": t["products"]})
     assert index.keys("products", "product_name", "bowl")[0].count() == 0
     assert index.narrowed(t, "products", {"product_name": None, "image_url": ""})["products"].columns == t["products"].columns
+
+
+def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "POSTINGS_PER_FILE", 20)
+    t = products(spark, [f"name {i:04d}" for i in range(60)])
+    index = TextIndex(spark, str(tmp_path))
+    index.replace({"products": t["products"]})
+    lists = spark.read.parquet(f"{index.path}/*/postings").withColumn("_file", F.input_file_name())
+    files = [r["count"] for r in lists.groupBy("_file").count().collect()]
+    assert len(files) > 10 and max(files) < 80 and sum(files) == 60 * 7
+    assert ids(index.narrowed(t, "products", {"product_name": "0042"})["products"].filter(contains("product_name", "0042"))) == ["p42"]

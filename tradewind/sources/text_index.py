@@ -3,6 +3,7 @@
 import hashlib
 from collections.abc import Iterable
 from functools import reduce
+from math import ceil
 from typing import NamedTuple
 from uuid import uuid4
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema
 from ..functions import contains
 from ..plans.requests import ChangeSet
-from ..session import checkpoint_dir, work_folder
+from ..session import checkpoint_dir, held, work_folder
 from .ledger import FANOUT
 from .snapshot import read_keys
 
@@ -21,6 +22,7 @@ SEARCHED = {"products": ("product_name",), "pets": ("pet_name", "species", "bree
 
 GRAM = 3
 NEAR = 100_000  # so many keys may be broadcast
+POSTINGS_PER_FILE = 500_000  # a task sorts so many, whatever their number
 SCAN_SHARE = 8  # a gram of more than one in so many rows is no help: the scan needs no shuffle
 
 _POSTINGS = "gram string, key string, text string, field string"
@@ -102,7 +104,12 @@ class TextIndex:
 
     def add_changes(self, sets: dict[str, ChangeSet], batch: str) -> None:
         """Adds the texts that a change wrote. Rows it removed stay in the lists, and are not found in the table."""
-        self.add({table: changed.rows for table, changed in sets.items() if changed.rows is not None}, batch)
+        written = {}
+        for table, changed in sets.items():
+            if table in SEARCHED and changed.rows is not None:
+                columns = [c for c in (schema.PRIMARY_KEY[table], *SEARCHED[table]) if c in changed.rows.columns]
+                written[table] = held(changed.rows.select(*columns), "changed")  # counted and listed
+        self.add(written, batch)
 
     def replace(self, tables: dict[str, DataFrame]) -> None:
         """Makes whole tables the only content."""
@@ -164,11 +171,10 @@ class TextIndex:
         return reduce(DataFrame.unionByName, made, empty), {f"{table}.{column}": number[table] for table, column in fields}
 
     def _put(self, name: str, level: int, lists: DataFrame, rows: dict[str, int], replaces: Iterable[str]) -> None:
-        held = work_folder(self.spark, "text-index")
-        lists.write.parquet(held)
-        lists = self.spark.read.schema(_POSTINGS).parquet(held)
+        lists = held(lists, "text-index")
         order = ["field", "gram", "key"]
-        (lists.repartitionByRange(*order).sortWithinPartitions(*order)
+        parts = max(1, ceil(lists.count() / POSTINGS_PER_FILE))
+        (lists.repartitionByRange(parts, *order).sortWithinPartitions(*order)
          .write.mode("overwrite").partitionBy("field").parquet(f"{self.path}/{name}/postings"))
         (lists.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("field", "gram").sortWithinPartitions("field", "gram")
          .write.mode("overwrite").partitionBy("field").parquet(f"{self.path}/{name}/counts"))
