@@ -149,3 +149,25 @@ def test_lists_beyond_the_old_limits(spark):
     assert dashboard.recent_orders(t, 0).count() == 0 and dashboard.recent_orders(t).count() == 10
     assert reviews.item_reviews(t, "pet", page=None).count() == 30
     assert tuple(reviews.item_reviews_meta(t, "pet", 2).first()) == ("p", 30, 2, 12, 3)
+
+
+def test_a_batch_is_read_from_files_by_column(spark):
+    batch = spark.createDataFrame([("a", 1, "x" * 50), ("b", 2, "y"), ("b", 3, "z")], "request_id string, request_ts int, body string")
+    rows, repeated = once(batch)
+    text = rows.select("request_id")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in text and sorted(r.body for r in rows.collect()) == ["x" * 50, "y"] and repeated.count() == 1
+
+
+def test_a_batch_with_a_column_without_a_type(spark):
+    rows, _ = once(spark.sql("SELECT 'a' AS request_id, 1 AS request_ts, NULL AS note"))
+    assert [tuple(r) for r in rows.collect()] == [("a", 1, None)]
+
+
+def test_status_requests_refused_by_themselves_are_not_looked_up(spark):
+    t = world(spark)
+    make = lambda i, **r: {"request_id": f"q{i}", "request_ts": at(i), "order_id": "o1", **r}
+    asked = [make(0, actor_role="buyer", actor_id="b1", status="shipped"), make(1, actor_role="admin", actor_id="a", status="lost"),
+             make(2, actor_role="seller", actor_id="zz", status="shipped"), make(3, actor_role="admin", actor_id="a", status="shipped")]
+    change = changes.set_order_status(t, frame(spark, REQUEST_SCHEMAS["set_status"] if "set_status" in REQUEST_SCHEMAS else REQUEST_SCHEMAS["order_status"], asked), ntz(NOW))
+    assert sorted((r.request_id, r.reason) for r in change.rejected.collect()) == [("q0", "forbidden"), ("q1", "bad_enum"), ("q2", "forbidden")]
+    assert [r.request_id for r in change.accepted.collect()] == ["q3"]
