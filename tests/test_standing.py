@@ -106,3 +106,15 @@ def test_only_named_orders_are_read_as_facts(spark):
     lines = t["order_items"].filter("order_id = 'o4'").count()
     assert before["order_items"].count() == after["order_items"].count() == lines
     assert before["orders"].count() == after["orders"].count() == 1
+
+
+def test_lines_that_a_batch_leaves_alone_are_summed_once(spark):
+    t = world(spark)
+    moved = t["orders"].filter("order_id in ('o1', 'o2', 'o3')").withColumn("status", F.lit("delivered"))
+    sets = {"orders": ChangeSet(moved, t["orders"].filter("order_id = 'o4'").select("order_id"))}
+    delta = standing.standing_delta(t, sets, ["seller_sales"])
+    text = delta["seller_sales"]._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("sum(subtotal") == 1
+    after = {**t, "orders": t["orders"].filter("order_id not in ('o1', 'o2', 'o3', 'o4')").unionByName(moved)}
+    state = standing.advance(standing.standing_state(t, ["seller_sales"]), delta)
+    assert rows(standing.seller_stats_by_status(state)) == rows(earnings.seller_stats_by_status(after))

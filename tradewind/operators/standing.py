@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema
 from ..functions.money import TOTAL, platform_fee, total_of
 from ..plans.requests import ChangeSet
+from ..session import held
 from .items import KINDS
 from .people import setting
 
@@ -42,7 +43,8 @@ def _order_lines(t, *keys: str) -> DataFrame:
     """One row per order (and further keys of its lines) with the order's columns, gross and number of lines."""
     sums = t["order_items"].groupBy("order_id", *keys).agg(
         F.sum("subtotal").cast(TOTAL).alias("gross"), F.count(F.lit(1)).alias("lines"))
-    return sums.join(t["orders"].select("order_id", "status", F.to_date("created_at").alias("day")), "order_id")
+    sign = ["n"] if "n" in t["orders"].columns else []
+    return sums.join(t["orders"].select("order_id", "status", F.to_date("created_at").alias("day"), *sign), "order_id")
 
 
 FACTS = {
@@ -72,6 +74,21 @@ def _signed(facts: Facts, t: dict, sign: int) -> DataFrame:
     return facts.rows(t).select(*facts.keys, *facts.sums).withColumn("n", F.lit(sign))
 
 
+# What the facts read of a table beside its key.
+_READ = {
+    "reviews": ("pet_id", "product_id", "rating"), "products": ("category_id", "is_active", "stock"), "pets": ("is_active", "stock"),
+    "users": ("is_active", "role"), "orders": ("status", "created_at"), "payments": ("status", "amount"),
+    "order_items": ("order_id", "seller_id", "subtotal"),
+}
+
+
+def _held_set(table: str, changed: ChangeSet) -> ChangeSet:
+    """A change set that is read several times, as far as facts read it."""
+    key = schema.PRIMARY_KEY[table]
+    rows = changed.rows and held(changed.rows.select(*[c for c in changed.rows.columns if c in (key, *_READ[table])]), "changed")
+    return ChangeSet(rows, changed.gone and held(changed.gone.select(key), "changed"))
+
+
 def standing_state(t, names: Iterable[str] = FACTS) -> State:
     """The sums behind each report, from all rows."""
     return {name: _summed(FACTS[name], _signed(FACTS[name], t, 1)) for name in names}
@@ -82,14 +99,19 @@ def standing_delta(t, sets: dict[str, ChangeSet], names: Iterable[str] = FACTS)
 
     Only rows that the batch names are read as facts, once as they were (taken out) and once as they are (put in).
     Facts of orders are made of all lines of an order, so distinct orders are plain sums over the orders that the batch
-    touches, by themselves or by a line. Reports whose tables the batch leaves alone are missing.
+    touches, by themselves or by a line. Reports whose tables the batch leaves alone are missing. The change sets are
+    written to the work folder first, since they are made by the whole batch and read several times.
     """
-    sets = {table: changed for table, changed in sets.items() if changed != ChangeSet()}
+    wanted = {table for name in names for table in FACTS[name].tables}
+    sets = {table: _held_set(table, changed) for table, changed in sets.items() if table in wanted and changed != ChangeSet()}
     out = {}
     for name in names:
         facts = FACTS[name]
         if not set(facts.tables) & set(sets):
             continue
+        if "order_items" in facts.tables and "order_items" not in sets:
+            out[name] = _summed(facts, facts.rows(_moved_orders(t, sets["orders"])).select(*facts.keys, *facts.sums, "n"))
+            continue
         before, after = _of_orders(t, sets) if "order_items" in facts.tables else touched_rows(t, sets, facts.tables)
         out[name] = _summed(facts, _signed(facts, after, 1).unionByName(_signed(facts, before, -1)))
     return out
@@ -130,6 +152,17 @@ def touched_rows(t, sets: dict[str, ChangeSet], tables: tuple[str, ...]) -> tupl
     return before, after
 
 
+def _moved_orders(t, changed: ChangeSet) -> dict:
+    """The orders that a batch names, out as they were and in as they are, with their lines, which it leaves alone and which
+    are therefore summed once."""
+    named = named_keys(changed, "order_id")
+    of = lambda df, sign: df.select("order_id", "status", "created_at", F.lit(sign).alias("n"))
+    orders = of(t["orders"].join(named, "order_id", "left_semi"), -1)
+    if changed.rows is not None:
+        orders = orders.unionByName(of(changed.rows, 1))
+    return {"orders": orders, "order_items": t["order_items"].join(named, "order_id", "left_semi")}
+
+
 def _of_orders(t, sets: dict[str, ChangeSet]) -> tuple[dict, dict]:
     """The orders that a batch touches, with all their lines, before and after."""
     touched = []
