@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schema
 from ..plans.requests import ChangeSet
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, held
 from ..sources.snapshot import folder_column, read_keys
 from .quality import KEY_RULES, _with_zeros, key_values, referred_values, row_rules
 from .standing import named_keys
@@ -54,9 +54,9 @@ def advance_violations(violations: DataFrame, t, sets: dict[str, ChangeSet], sna
         key = schema.PRIMARY_KEY[table]
         after[table] = t[table].limit(0)
         if changed.rows is not None:
-            after[table] = after[table].unionByName(changed.rows, allowMissingColumns=True).checkpoint()
-        named = named_keys(ChangeSet(after[table], changed.gone), key).filter(f"{key} IS NOT NULL").checkpoint()
-        before[table] = _by_key(t, table, named, snapshot).checkpoint()
+            after[table] = held(after[table].unionByName(changed.rows, allowMissingColumns=True), "changed")
+        named = held(named_keys(ChangeSet(after[table], changed.gone), key).filter(f"{key} IS NOT NULL"), "named")
+        before[table] = held(_by_key(t, table, named, snapshot), "before")
     rows = [_broken(table, df).withColumn("n", F.lit(sign).cast("bigint")) for side, sign in ((after, 1), (before, -1)) for table, df in side.items()]
     return _summed([violations, *rows, *_moved_keys(t, before, after), *_moved_references(violations, t, before, after, snapshot)])
 
