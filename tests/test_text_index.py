@@ -151,5 +151,5 @@ def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch)
     index.replace({"products": t["products"]})
     lists = spark.read.parquet(f"{index.path}/*/postings").withColumn("_file", F.input_file_name())
     files = [r["count"] for r in lists.groupBy("_file").count().collect()]
-    assert len(files) > 10 and max(files) < 80 and sum(files) == 60 * 7
+    assert len(files) > 10 and max(files) < 80 and sum(files) == 60 * 7 - 1  # "0000" holds one gram twice
     assert ids(index.narrowed(t, "products", {"product_name": "0042"})["products"].filter(contains("product_name", "0042"))) == ["p42"]
