@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import stored
+from tradewind.llm.common import bound_batches, stored
 from tradewind.llm.cotraining import score_quality
 from tradewind.llm.decontaminate import decontaminate
 from tradewind.llm.line_dedup import drop_common_lines
@@ -17,15 +17,11 @@ from tradewind.llm.packing import pack
 from tradewind.llm.tokens import tokenizer_path
 
 
-# Texts go to Python in batches of so many bytes (or one row): a number of rows says nothing about their size.
-BATCH_BYTES = 4 << 20
-
-
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """A stage in a session whose batches are bounded by BATCH_BYTES; the session keeps that, since stages are lazy."""
+    """A stage in a session whose batches are bounded in bytes."""
     @wraps(function)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        bound_batches(spark)
         return function(spark, docs, sf_dir)
 
     return bounded

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tradewind.llm import packing, wavelet
+from tradewind.llm import best_fit, packing, wavelet
 from tradewind.llm.tokens import encoder, tokenizer_path
 
 KINDS = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
@@ -141,3 +141,27 @@ def test_special_tokens_in_a_text(name, drops_space):
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [ids.tolist() for ids in encoder(tokenizer_path(name), drops_space).encode(pa.array(texts, pa.string()))] == want
     assert library.token_to_id("<|endoftext|>") in want[2]
+
+
+@pytest.mark.parametrize("operator", ["token_shards", "best_fit", "sequences"])
+def test_idle_workers_hold_no_caches(spark, operator):
+    def cached(batches):
+        from tradewind.llm import tokens
+
+        list(batches)
+        kept = sum(len(kind) for tool in tokens._encoders.values() for kind in (tool.stems, tool.tails, tool.others))
+        yield pa.RecordBatch.from_arrays([pa.array([kept], pa.int64())], ["kept"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, f"text {chr(97 + i % 26) * 3}, (word!) {i}") for i in range(200)], "doc_id long, text string").repartition(8)
+    name = tokenizer_path("word_bpe_49k.json")
+    if operator == "token_shards":
+        assert wavelet.token_shards(docs, tokenizer_path("byte_bpe_50k.json"), False, 2).count() == 200
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+    elif operator == "best_fit":
+        assert best_fit.pack_best_fit(docs, name, True, 0).count() == 200
+    else:
+        pieces = packing.stored(packing.pack(docs, name, True, 1), "test-pieces")
+        assert packing.sequences(docs, pieces, name, True, 1).count() > 0
+    kept = spark.range(0, 64, 1, 16).mapInArrow(cached, "kept long").collect()
+    assert len(kept) == 16 and sum(r.kept for r in kept) == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import slices, stored
+from tradewind.llm.common import release_memory, slices, stored
 from tradewind.llm.tokens import encoder
 
 
@@ -137,6 +137,8 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, drops_space: bool, end_id: i
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(columns[0], pa.int32()),
                      *[pa.array(c, pa.int64()) for c in columns[1:]]], schema.names)
+        tool.forget()
+        release_memory()
 
     return rows.mapInArrow(cut, schema)
 

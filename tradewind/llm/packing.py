@@ -171,6 +171,8 @@ def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, drops_space: b
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))],
                     ["sequence_id", "offset", "ids"])
+        tool.forget()
+        release_memory()
 
     parts = rows.select("text", "cut").mapInArrow(fill, "sequence_id bigint, offset bigint, ids array<int>")
     ordered = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))

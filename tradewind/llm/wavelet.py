@@ -13,13 +13,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import slices
+from tradewind.llm.common import bound_batches, release_memory, slices
 from tradewind.llm.tokens import encoder
 from tradewind.session import work_folder
 
 MAGIC = b"TWWM0001"
 BLOCK_BITS = 1 << 16  # bits of a plane that are compressed together and counted by the rank directory
 SHARD_TOKENS = 1 << 21  # a shard is closed by the document that reaches this
+SLICE_BYTES = 4 << 20  # texts that are encoded together: a worker takes some 13 bytes for each of theirs
 
 # File: MAGIC, header (tokens, planes, documents), document lengths, then per plane the number of zeros, the ones
 # before each block (rank directory), the end of each compressed block, and the blocks. Integers are little-endian.
@@ -170,7 +171,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, drops_space:
     ids come first; rows that repeat an id stand side by side. An empty table writes no shard. A shard is one
     Parquet file that holds one row: its place (`part`, `shard`), the ids of its documents (`docs`) and the
     wavelet matrix (`data`). Documents are dealt by range of (id, hash of the text), so that neither a part nor
-    a repeated id meets in one task; a task holds the ids of one shard, however many it writes.
+    a repeated id meets in one task; a task holds the ids of one shard, however many it writes. At its end it empties
+    the token caches, so that idle workers hold none.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,7 +191,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, drops_space:
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "docs", "tokens", "data"])
 
         for whole in batches:
-            for batch in slices(whole, rows=16_384, size=12 << 20):
+            for batch in slices(whole, rows=16_384, size=SLICE_BYTES):
                 for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                     held += [ids, end]
                     lengths.append(len(ids) + 1)
@@ -199,7 +201,11 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, drops_space:
                     held, lengths, names, shard = [], [], [], shard + 1
         if names:
             yield close()
+        held, lengths, names = [], [], []
+        tool.forget()
+        release_memory()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(number, "id", F.xxhash64("text")).sortWithinPartitions("id")
@@ -215,17 +221,18 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     """
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                matrix = WaveletFile(row["data"])
+            for part, shard, names, data in zip(*(batch.column(i) for i in range(4))):
+                matrix = WaveletFile(data.as_py())
                 ids = matrix.all_ids().astype("<u4")
                 lengths = matrix.lengths.astype(np.int64)
                 offsets = np.cumsum(lengths) - lengths
                 sums = [zlib.crc32(ids[o:o + n]) for o, n in zip(offsets.tolist(), lengths.tolist())]
                 count = len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * count, pa.int32()), pa.array([row["shard"]] * count, pa.int32()),
-                     pa.array(row["docs"], pa.int64()), pa.array(offsets), pa.array(lengths), pa.array(sums, pa.int64())],
+                    [pa.array([part.as_py()] * count, pa.int32()), pa.array([shard.as_py()] * count, pa.int32()),
+                     names.values, pa.array(offsets), pa.array(lengths), pa.array(sums, pa.int64())],
                     ["part", "shard", "doc_id", "offset", "n_tokens", "ids_crc32"])
+        release_memory()
 
     sizes = shards.select("part", "shard", "tokens")
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
