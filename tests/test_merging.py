@@ -192,3 +192,36 @@ def test_segments_are_merged_and_a_full_filter_stays_exact(spark, tmp_path, monk
     assert {r.request_id for r in repeated.collect()} == {f"q{i}" for i in range(100, 120)}
     assert book.split("b", asked)[1] is None
     assert book.split("a", asked.limit(0))[0].count() == 0
+
+
+def counted(spark, df):
+    """The rows of a DataFrame, and a count of how often they are made."""
+    made, rows = spark.sparkContext.accumulator(0), df.collect()
+
+    def make(row):
+        made.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(make), df.schema), made
+
+
+def test_snapshot_makes_rows_once(spark, tmp_path):
+    t = tables(spark, cart_items=[{"item_id": f"i{i}", "cart_id": f"c{i % 3}", "item_type": "pet", "pet_id": "p"} for i in range(20)])
+    lines, made = counted(spark, t["cart_items"])
+    write_snapshot({"cart_items": lines}, str(tmp_path / "s"))
+    assert made.value == 20
+    loaded = load_marketplace(spark, str(tmp_path / "s"), tables=["cart_items"])["cart_items"]
+    assert content(loaded, "cart_items") == content(t["cart_items"], "cart_items")
+
+
+def test_cart_requests_are_judged_once(spark):
+    t = tables(spark, pets=[{"pet_id": f"p{i}"} for i in range(6)], cart=[{"cart_id": "c1", "buyer_id": "b1"}],
+               cart_items=[{"item_id": "i1", "cart_id": "c1", "item_type": "pet", "pet_id": "p1"}])
+    t["pets"], made = counted(spark, t["pets"])
+    asked = [{"request_id": f"q{i}", "request_ts": at(i), "actor_id": "b1", "actor_role": "buyer", "item_type": "pet",
+              "pet_id": f"p{i}", "quantity": 1} for i in range(8)]
+    change = changes.add_to_cart(t, frame(spark, REQUEST_SCHEMAS["add_to_cart"], asked))
+    assert change.rejected.count() == 2 and change.accepted.count() == 6
+    lines = {r.pet_id: r.quantity for r in change.sets["cart_items"].rows.collect()}
+    assert lines == {"p0": 1, "p1": 2, "p2": 1, "p3": 1, "p4": 1, "p5": 1} and change.sets["cart"].rows.count() == 0
+    assert made.value == 6

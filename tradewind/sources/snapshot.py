@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from .. import schema
 from ..plans.requests import ChangeSet
-from ..session import checkpoint_dir, work_folder
+from ..session import checkpoint_dir, held, work_folder
 
 # Rows are clustered by the column most lookups use, so that row groups can be skipped on it.
 CLUSTER_BY = {
@@ -56,7 +56,8 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, format: str = "parqu
     """One folder per table; orders, their lines and payments are partitioned by the order's month, others by key.
 
     Monthly reports read the folders of their months. A line or payment without an order has the month of none.
-    The other large tables lie in folders by a hash of their key, one per million rows.
+    The other large tables lie in folders by a hash of their key, one per million rows. They are counted and ranged as
+    well as written, so their rows are made once and held in files of the work folder.
     Write to a new folder and switch readers to it when this returns.
     """
     for table, df in tables.items():
@@ -68,6 +69,7 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, format: str = "parqu
         elif folder == "month":
             df = df.join(_months(tables["orders"]), "order_id", "left") if "orders" in tables else df.withColumn("month", F.lit(None).cast("string"))
         elif folder == "part":
+            df = held(df, f"snapshot-{table}")
             parts = max(1, min(MOST_PARTS, ceil(df.count() / ROWS_PER_PART)))
             df = df.withColumn("part", _part(table, parts))
         _write(df, table, location, format)
