@@ -8,6 +8,7 @@ from ...plans.requests import Change, ChangeSet, first_reason, last, new_id, one
 from ...plans.sequence import ordered_blocks
 from ...plans.serving import serve
 from ...plans.skew import look_up
+from ...session import held
 from ..items import ITEM_KEY, item_id, item_view
 
 
@@ -32,7 +33,8 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         (F.col("stock") < F.col("quantity"), "out_of_stock"),
         ((F.col("quantity") < 1) | both, "constraint"),
     )).drop("stock", "is_active")
-    judged = _within_int(t, judged)
+    # read by the sums below, by the rejected requests and by each table's new rows
+    judged = _within_int(t, held(judged, "judged"))
     accepted, rejected = split(judged)
 
     # one row per buyer and item, summed map-side, before anything is joined
@@ -41,9 +43,9 @@ def add_to_cart(t, requests: DataFrame) -> Change:
         F.max("pet_id").alias("pet_id"), F.max("product_id").alias("product_id"),
     )
     owners = t["cart"].select("buyer_id", "cart_id")
-    placed = added.join(owners, "buyer_id", "left").withColumn(
+    placed = held(added.join(owners, "buyer_id", "left").withColumn(
         "cart_id", F.coalesce("cart_id", new_id("cart", "buyer_id"))
-    )
+    ), "placed")
     new_carts = (
         accepted.groupBy(F.col("actor_id").alias("buyer_id")).agg(F.min("request_ts").alias("created_at"))
         .join(owners, "buyer_id", "left_anti")

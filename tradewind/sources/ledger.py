@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.requests import Change, rejections
-from ..session import checkpoint_dir, work_folder
+from ..session import checkpoint_dir, held, work_folder
 from .snapshot import merge_snapshot
 
 BITS_PER_ID = 16
@@ -80,7 +80,7 @@ class RequestLedger:
             "request_id", "mask", "s.segment", F.pmod("h", "s.words").alias("word"), F.pmod("h", "s.buckets").alias("bucket"))
         filters = reduce(DataFrame.unionByName, [self._read(s.name, "filter", "word long, bits long").withColumn("segment", F.lit(s.name)) for s in live])
         maybe = probes.join(filters, ["segment", "word"]).filter(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-        maybe = maybe.select("segment", "bucket", "request_id").checkpoint()
+        maybe = held(maybe.select("segment", "bucket", "request_id"), "ledger-maybe")
         places: dict[str, list[int]] = {}
         for r in maybe.select("segment", "bucket").distinct().collect():
             places.setdefault(r.segment, []).append(r.bucket)
@@ -89,7 +89,8 @@ class RequestLedger:
         found = reduce(DataFrame.unionByName, [
             self._read(name, "ids", "kind string, request_id string, bucket long").filter(F.col("bucket").isin(buckets) & (F.col("kind") == kind))
             .select("request_id").join(maybe.filter(F.col("segment") == name).select("request_id"), "request_id", "left_semi")
-            for name, buckets in places.items()]).distinct().checkpoint()
+            for name, buckets in places.items()]).distinct()
+        found = held(found, "ledger-found")
         return None if found.isEmpty() else found
 
     def split(self, kind: str, requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -110,9 +111,9 @@ class RequestLedger:
         return self.spark.read.schema(declared).parquet(f"{self.path}/{name}/{part}")
 
     def _put(self, name: str, level: int, ids: DataFrame, replaces: list[str]) -> None:
-        held = work_folder(self.spark, "ledger-ids")
-        ids.write.parquet(held)
-        ids = self.spark.read.schema("kind string, request_id string").parquet(held)
+        folder = work_folder(self.spark, "ledger-ids")
+        ids.write.parquet(folder)
+        ids = self.spark.read.schema("kind string, request_id string").parquet(folder)
         n = ids.count()
         words = 1 << max(0, ceil(max(n, 1) * BITS_PER_ID / 64) - 1).bit_length()
         buckets = max(1, min(MOST_BUCKETS, ceil(n / ROWS_PER_BUCKET)))

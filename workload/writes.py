@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from tradewind.operators import changes, standing, standing_audit
 from tradewind.plans.cursor import cursor_of, newest, page_after
 from tradewind.plans.requests import ChangeSet
-from tradewind.session import work_folder
+from tradewind.session import held, work_folder
 from tradewind.sources import RequestLedger, apply_once, commit, load_marketplace, merge_snapshot, write_snapshot
 
 from .batches import (_ADD, _EDIT, _EVENT, _PAY, _PAY_STATE, _REVIEW, _STATUS, _add_requests, _edit, _now, _payment_state,
@@ -61,7 +61,7 @@ def _in_two_batches(spark, sf_dir):
     for batch, mine in (("views", requests.filter("is_view")), ("all", requests)):
         mine = mine.drop("is_view")
         change = apply_once(ledger, "add_to_cart", changes.add_to_cart, _loaded(spark, t, folder, *names), mine)
-        rejected = change.rejected.checkpoint()  # made from the tables that the commit replaces
+        rejected = held(change.rejected, "rejected")  # made from the tables that the commit replaces
         commit(spark, folder, ledger, "add_to_cart", batch, mine, change)
     return rejected, load_marketplace(spark, folder, tables=names)
 
