@@ -1,6 +1,7 @@
 """Encoding, wavelet-matrix shards and packing: equal to the library, round trips, gapless sequences."""
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tradewind.llm import best_fit, packing, wavelet
-from tradewind.llm.tokens import encoder, tokenizer_path
+from tradewind.llm.tokens import Encoder, encoder, tokenizer_path
 
 KINDS = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
 BITS = [" ", "  ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", " ", "\x1c", "a", "The", "'s", "'ll", "42", "!?", "é", "ß", "日本", "́",
@@ -28,6 +29,22 @@ def test_same_ids_as_the_library(name, drops_space):
         assert [ids.tolist() for ids in tool.encode(pa.array(part, pa.string()))] == [e.ids for e in want]
 
 
+@pytest.mark.parametrize("name, drops_space", KINDS)
+def test_known_words_take_no_calls_of_their_own(name, drops_space):
+    stems = ["".join(pair) for pair in zip("abcdefghij" * 10, "klmnopqrst" * 10, "éuvwxyzABC" * 10)]
+    stems = [f"{stem}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i, stem in enumerate(stems)]
+    text = " ".join(f"{lead}{stem}{tail}" for stem in stems for tail in ("", ",", ".", "!?", "),") for lead in ("", "\n"))
+    tool, calls = Encoder(tokenizer_path(name), drops_space), Counter()
+    tool.encode(pa.array([text]))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids = tool.encode(pa.array([text]))[0].tolist()
+    finally:
+        sys.setprofile(None)
+    assert ids == tool.tokenizer.encode(text, add_special_tokens=False).ids
+    assert calls["call"] + calls["c_call"] < 400  # the text has 1,000 words
+
+
 def test_wavelet_queries():
     dice = random.Random(1)
     for size in (0, 1, 7, 70_000, 140_000):

@@ -30,7 +30,7 @@ _HEADER = struct.Struct("<QIQ")
 def _planes(ids: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Zeros and packed bits of each plane, top bit first; after each plane zeros go before ones, both in their order."""
     for level in range(bits - 1, -1, -1):
-        packed = np.packbits(((ids >> ids.dtype.type(level)) & ids.dtype.type(1)).astype(np.uint8), bitorder="little")
+        packed = np.packbits((ids & np.array(1 << level).astype(ids.dtype)) != 0, bitorder="little")
         ones, values = pa.BooleanArray.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(packed)]), pa.array(ids)
         low, high = values.filter(pc.invert(ones)), values.filter(ones)
         yield len(low), packed
